@@ -1,0 +1,40 @@
+"""Join of a large side with hot keys to a side with few rows for each key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1 / 256
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that each hold more than 1/256 of the rows; so there are at most 255 of them."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    return counts.filter(F.col("_rows") > total * F.lit(HOT_SHARE)).select(
+        *keys, F.lit(True).alias("_hot")
+    )
+
+
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: list[str], salt_from: list[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join where the rows of a hot key in ``big`` spread over 64 tasks.
+
+    ``salt_from`` names columns that differ between the rows of one key; the salt
+    is a hash of them, so a task that runs again makes the same choice. Rows of
+    ``small`` are repeated for hot keys only. The list of hot keys is broadcast: it
+    cannot grow beyond 255 rows. ``how`` may be inner, left, left_semi or left_anti.
+    """
+    hot = F.broadcast(hot_keys(big, keys))
+    salt = F.pmod(F.xxhash64(*salt_from), F.lit(SALTS))
+    salted_big = big.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0).cast("long"))
+    ).drop("_hot")
+    all_salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    salted_small = small.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0).cast("long"))))
+    ).drop("_hot")
+    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
