@@ -13,13 +13,15 @@ from venuesift import contracts as C
 from venuesift.functions import rules as R
 from venuesift.functions import text as X
 from venuesift.operators.ordering import rank_rows
-from venuesift.operators.skew import salted_join
+from venuesift.operators.skew import HotKeys, find_hot_keys, salted_join
+
+MATCH = ["key_kind", "match_key"]
 
 # A cell of a Spark row cannot pass 2 GB. Groups with more evidence than this stay flat.
 MAX_CELL_BYTES = 512 * 1024 * 1024
 
 
-def isolate_failures(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def isolate_failures(rows: DataFrame, hot: HotKeys | None = None) -> tuple[DataFrame, DataFrame]:
     """Evidence of sources that worked, and one error for each key of one that did not.
 
     An entry without a snippet spoils all that its source has for that key; other
@@ -30,8 +32,11 @@ def isolate_failures(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("key_kind", "match_key", "source_ord", "source_name").distinct()
         .withColumn("error", F.lit(C.ERROR_MISSING_SNIPPET))
     )
-    keys = ["key_kind", "match_key", "source_ord"]
-    good = salted_join(rows, errors.select(*keys), keys, salt_from=["item_pos"], how="left_anti")
+    keys = [*MATCH, "source_ord"]
+    good = salted_join(
+        rows, errors.select(*keys), keys, hot or find_hot_keys(rows, MATCH),
+        salt_from=["item_pos"], how="left_anti",
+    )
     return good, errors
 
 
@@ -45,18 +50,17 @@ def match_keys(units: DataFrame) -> DataFrame:
     return units.select("name", "city", F.inline(kinds))
 
 
-def gather_sources(units: DataFrame, rows: DataFrame) -> DataFrame:
+def gather_sources(units: DataFrame, rows: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Evidence of all sources for each venue, in one equi-join; misses give no rows."""
-    keys = ["key_kind", "match_key"]
     matched = salted_join(
-        rows, match_keys(units), keys, salt_from=["source_ord", "item_pos"], how="inner"
+        rows, match_keys(units), MATCH, hot or find_hot_keys(rows, MATCH),
+        salt_from=["source_ord", "item_pos"], how="inner",
     )
-    return matched.drop(*keys)
+    return matched.drop(*MATCH)
 
 
 def match_errors(units: DataFrame, errors: DataFrame) -> DataFrame:
-    keys = ["key_kind", "match_key"]
-    return errors.join(match_keys(units), keys).drop(*keys)
+    return errors.join(match_keys(units), MATCH).drop(*MATCH)
 
 
 def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:

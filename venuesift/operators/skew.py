@@ -2,39 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 256
+MAX_HOT_KEYS = 255
+HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that each hold more than 1/256 of the rows; so there are at most 255 of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.filter(F.col("_rows") > total * F.lit(HOT_SHARE)).select(
-        *keys, F.lit(True).alias("_hot")
-    )
+@dataclass(frozen=True)
+class HotKeys:
+    """Key columns, and the values of them that hold very many rows: at most 255."""
+
+    columns: list[str]
+    values: list[Row]
+
+
+def find_hot_keys(df: DataFrame, columns: list[str], min_rows: int = HOT_ROWS) -> HotKeys:
+    """The largest keys with at least ``min_rows`` rows.
+
+    One pass over the key columns only, combined before its shuffle. If more than 255
+    keys are that large, each one left out holds less than 1/256 of the rows.
+    """
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    top = counts.filter(F.col("_rows") >= min_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
+    return HotKeys(columns, top.select(*columns).collect())
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], salt_from: list[str], how: str = "inner"
+    big: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    hot: HotKeys,
+    salt_from: list[str],
+    how: str = "inner",
 ) -> DataFrame:
     """Equi-join where the rows of a hot key in ``big`` spread over 64 tasks.
 
-    ``salt_from`` names columns that differ between the rows of one key; the salt
-    is a hash of them, so a task that runs again makes the same choice. Rows of
-    ``small`` are repeated for hot keys only. The list of hot keys is broadcast: it
-    cannot grow beyond 255 rows. ``how`` may be inner, left, left_semi or left_anti.
+    Without hot keys it is a plain join. ``salt_from`` names columns that differ between the
+    rows of one key; the salt is a hash of them, so a task that runs again makes the
+    same choice. Rows of ``small`` are repeated for hot keys only. ``how`` may be inner,
+    left, left_semi or left_anti.
     """
-    hot = F.broadcast(hot_keys(big, keys))
+    if not hot.values:
+        return big.join(small, keys, how)
+
+    zero = F.lit(0).cast("long")
+    kinds = ", ".join(f"`{c}` {big.schema[c].dataType.simpleString()}" for c in hot.columns)
+    listed = big.sparkSession.createDataFrame(hot.values, kinds).withColumn("_hot", F.lit(True))
+    listed = F.broadcast(listed)  # at most 255 rows
+
     salt = F.pmod(F.xxhash64(*salt_from), F.lit(SALTS))
-    salted_big = big.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0).cast("long"))
+    salted_big = big.join(listed, hot.columns, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(zero)
     ).drop("_hot")
-    all_salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    salted_small = small.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0).cast("long"))))
+    salts = F.when(
+        F.col("_hot"), F.sequence(zero, F.lit(SALTS - 1).cast("long"))
+    ).otherwise(F.array(zero))
+    repeated_small = small.join(listed, hot.columns, "left").withColumn(
+        "_salt", F.explode(salts)
     ).drop("_hot")
-    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
+    return salted_big.join(repeated_small, [*keys, "_salt"], how).drop("_salt")

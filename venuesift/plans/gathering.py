@@ -10,7 +10,7 @@ from venuesift.functions import text as X
 from venuesift.operators import merging as M
 from venuesift.operators.classify import keyword_extract
 from venuesift.operators.cleaning import clean_evidence
-from venuesift.operators.skew import salted_join
+from venuesift.operators.skew import find_hot_keys, salted_join
 from venuesift.operators.validation import validate_predictions
 from venuesift.plans.batch import Extract
 from venuesift.session import configure
@@ -31,11 +31,13 @@ def merged_evidence(
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct evidence of each venue, and the errors of its sources."""
     asked = venues(requests)
-    rows, errors = M.isolate_failures(union_sources(catalog))
+    listed = union_sources(catalog)
+    hot = find_hot_keys(listed, M.MATCH)
+    rows, errors = M.isolate_failures(listed, hot)
     reported = union_errors(catalog)
     if reported is not None:
         errors = errors.unionByName(reported)
-    deduped = M.dedup_evidence(M.gather_sources(asked, rows), VENUE)
+    deduped = M.dedup_evidence(M.gather_sources(asked, rows, hot), VENUE)
     return deduped, M.match_errors(asked, errors)
 
 
@@ -111,7 +113,8 @@ def answer_requests(
     asked = requests.select("seq", *VENUE).withColumn(
         "restaurant_id", X.entity_slug(F.col("name"), F.col("city"))
     )
-    return salted_join(asked, decided, VENUE, salt_from=["seq"], how="left")
+    hot = find_hot_keys(requests, VENUE)
+    return salted_join(asked, decided, VENUE, hot, salt_from=["seq"], how="left")
 
 
 def run_gather_job(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions.text import strip
-from venuesift.operators.skew import salted_join
+from venuesift.operators.skew import find_hot_keys, salted_join
 from venuesift.sources.catalog import EvidenceSource
 
 _BAD_JSON = "response is not valid JSON"
@@ -107,10 +107,11 @@ def places_source(
     )
     failed = asked.withColumn("error", search_error).filter(F.col("error").isNotNull())
     found = asked.filter(F.col("place_id").isNotNull() & search_error.isNull())
+    found = found.select("match_key", "place_id")
     joined = salted_join(
-        found.select("match_key", "place_id"),
+        found,
         place_items(details, max_reviews, max_chars).withColumn("stored", F.lit(True)),
-        ["place_id"], salt_from=["match_key"], how="left",
+        ["place_id"], find_hot_keys(found, ["place_id"]), salt_from=["match_key"], how="left",
     ).withColumn("error", F.when(F.col("stored").isNull(), F.lit(_NO_DETAILS)).otherwise(F.col("error")))
 
     rows = joined.select("match_key", F.posexplode("items").alias("item_pos", "item")).select(

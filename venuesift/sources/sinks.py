@@ -20,6 +20,8 @@ def results_rows(state: DataFrame) -> DataFrame:
 
 
 def review_queue(state: DataFrame) -> DataFrame:
+    """Rows for people to look at. Call it on saved rows: Spark would move the filter
+    below the stages that compute the flag and run them once more for it."""
     return results_rows(state.filter("needs_review"))
 
 

@@ -309,9 +309,9 @@ def gather_results_rows(spark, sf_dir):
 
 @query("gather_review_queue", gather_sql(_ONE_EACH, "WHERE review"))
 def gather_review_queue(spark, sf_dir):
-    return sinks.gather_review_queue(
-        G.process_requests(_customer_requests(spark, sf_dir), build_catalog(spark, sf_dir))
-    )
+    out = new_table_path(spark, "gather-queue")
+    G.run_gather_job(_customer_requests(spark, sf_dir), build_catalog(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/review_queue")
 
 
 @query("gather_job", gather_sql(_ORDERS))

@@ -248,7 +248,9 @@ def results_rows(spark, sf_dir):
 @query("review_queue", f"""
     WITH {state_sql(lift.LINEITEM_RECORDS_SQL)} SELECT {_RESULTS} FROM state WHERE needs_review""")
 def review_queue(spark, sf_dir):
-    return sinks.review_queue(process_records(lift.lineitem_records(spark, sf_dir)))
+    out = new_table_path(spark, "review-queue")
+    run_job(lift.lineitem_records(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/review_queue")
 
 
 @query("run_job", f"WITH {state_sql(lift.DOCUMENT_RECORDS_SQL)} SELECT {_RESULTS} FROM state")

@@ -133,8 +133,8 @@ _PROMPT_SQL = f"{S.quote(P._USER_HEAD)} || body || {S.quote(P._USER_TAIL)}"
 @query("prompt_evidence", f"""
     WITH {_TEXTS_SQL}, prompts AS (SELECT kind, id,
         CASE WHEN id % 2 = 0 THEN {_PROMPT_SQL} ELSE body END AS prompt FROM texts),
-    found AS (SELECT *, position('Evidence:' || chr(10) IN prompt) AS at FROM prompts)
-    SELECT kind, id, CASE WHEN at > 0 THEN {S.cut('substr(prompt, at + 10)')}
+    found AS (SELECT *, position('Evidence:' || chr(10) IN prompt) AS start_ FROM prompts)
+    SELECT kind, id, CASE WHEN start_ > 0 THEN {S.cut('substr(prompt, start_ + 10)')}
         ELSE {S.strip('prompt')} END AS out FROM found""")
 def prompt_evidence(spark, sf_dir):
     body = F.col("body")
