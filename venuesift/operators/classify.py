@@ -13,7 +13,9 @@ from venuesift.functions import text as X
 
 
 def _any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(or_, [text.contains(word) for word in words])
+    """True when any word occurs; a word that contains another one need not be looked for."""
+    needed = [w for w in words if not any(other != w and other in w for other in words)]
+    return reduce(or_, [text.contains(word) for word in needed])
 
 
 def keyword_classify(
@@ -33,10 +35,8 @@ def keyword_classify(
     """
     whole = F.col(text_col)
     evidence = X.prompt_evidence(whole) if is_prompt else X.cut_evidence(whole)
-    low = F.col("_low")
+    low, outdoor, indoor = F.col("_low"), F.col("_outdoor"), F.col("_indoor")
 
-    outdoor = _any_of(low, outdoor_hints)
-    indoor = _any_of(low, indoor_hints)
     contradictory = (
         low.contains(C.DENIAL_EXCEPTION)
         & _any_of(low, C.DENIAL_PHRASES)
@@ -54,10 +54,8 @@ def keyword_classify(
     )
     label = F.col("_verdict.label")
     confidence = F.col("_verdict.confidence")
-    quote = X.first_sentence(F.col("_evidence"))
-    quotes = F.when(
-        label != "unknown", F.filter(F.array(quote), lambda q: q != "")
-    ).otherwise(F.array().cast("array<string>"))
+    quote = F.col("_quote")
+    quotes = F.when(quote != "", F.array(quote)).otherwise(F.array().cast("array<string>"))
     before, after = C.KEYWORD_REASON
     reason = F.when(confidence == 0.5, F.lit(C.REPAIR_REASON)).otherwise(
         F.concat(F.lit(before), label, F.lit(after))
@@ -65,7 +63,9 @@ def keyword_classify(
     return (
         df.withColumn("_evidence", evidence)
         .withColumn("_low", F.lower(F.col("_evidence")))
+        .withColumns({"_outdoor": _any_of(low, outdoor_hints), "_indoor": _any_of(low, indoor_hints)})
         .withColumn("_verdict", label_and_confidence)
+        .withColumn("_quote", F.when(label != "unknown", X.first_sentence(F.col("_evidence"))))
         .withColumn(
             out,
             F.struct(
@@ -73,7 +73,7 @@ def keyword_classify(
                 quotes.alias("evidence"), reason.alias("reasoning"),
             ),
         )
-        .drop("_evidence", "_low", "_verdict")
+        .drop("_evidence", "_low", "_outdoor", "_indoor", "_verdict", "_quote")
     )
 
 

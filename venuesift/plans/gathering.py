@@ -107,9 +107,10 @@ def answer_requests(
     requests: DataFrame, deduped: DataFrame, errors: DataFrame, *,
     threshold: float, extract: Extract, max_cell_bytes: int = M.MAX_CELL_BYTES,
 ) -> DataFrame:
-    decided = decide(
+    """Decide each venue and attach the outcome, with lists as JSON text, to its requests."""
+    decided = sinks.lists_as_json(decide(
         gather_state(requests, deduped, errors, max_cell_bytes), threshold=threshold, extract=extract
-    ).drop("venue", "raw_text", "cleaned_text")
+    )).drop("venue", "raw_text", "cleaned_text")
     asked = requests.select("seq", *VENUE).withColumn(
         "restaurant_id", X.entity_slug(F.col("name"), F.col("city"))
     )

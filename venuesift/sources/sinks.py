@@ -25,16 +25,23 @@ def review_queue(state: DataFrame) -> DataFrame:
     return results_rows(state.filter("needs_review"))
 
 
+GATHER_LISTS = (
+    "evidence", "source_evidence_snippets", "source_urls", "source_types", "gather_errors",
+)
+
+
+def lists_as_json(venues: DataFrame) -> DataFrame:
+    """The list columns as JSON text. Done for each venue, before requests are attached."""
+    return venues.withColumns({name: json_list(F.col(name)) for name in GATHER_LISTS})
+
+
 def gather_results_rows(state: DataFrame) -> DataFrame:
-    """The gather columns, with every list as JSON text, in request order."""
-    lists = (
-        "evidence", "source_evidence_snippets", "source_urls", "source_types", "gather_errors",
-    )
-    rows = state.withColumns({name: json_list(F.col(name)) for name in lists})
-    return rows.orderBy("seq").select(*C.GATHER_COLUMNS)
+    """The gather columns in request order."""
+    return state.orderBy("seq").select(*C.GATHER_COLUMNS)
 
 
 def gather_review_queue(state: DataFrame) -> DataFrame:
+    """As ``review_queue``, for gathered rows; call it on saved rows."""
     return gather_results_rows(state.filter("needs_review"))
 
 

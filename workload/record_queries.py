@@ -242,7 +242,9 @@ _RESULTS = ", ".join(C.RESULT_COLUMNS)
 
 @query("results_rows", f"WITH {state_sql(lift.LINEITEM_RECORDS_SQL)} SELECT {_RESULTS} FROM state")
 def results_rows(spark, sf_dir):
-    return sinks.results_rows(process_records(lift.lineitem_records(spark, sf_dir)))
+    out = new_table_path(spark, "results")
+    run_job(lift.lineitem_records(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/results")
 
 
 @query("review_queue", f"""
