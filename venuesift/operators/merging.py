@@ -67,7 +67,8 @@ def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:
     """Of equal snippets in a group the first in source order, then item order, stays.
 
     A minimum is combined before the shuffle, so a snippet with very many copies sends one
-    row from each task. The grouping key is a digest; the text crosses once.
+    row from each task. The grouping key is a digest; the text crosses once. The size of
+    a snippet is kept beside it, so that sizes are summed without reading texts.
     """
     place = ["source_ord", "item_pos"]
     payload = place + [c for c in evidence.columns if c not in group and c not in place]
@@ -75,7 +76,7 @@ def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:
     return (
         evidence.groupBy(*group, digest.alias("_digest"))
         .agg(F.min(F.struct(*payload)).alias("_first"))
-        .select(*group, "_first.*")
+        .select(*group, "_first.*", F.octet_length("_first.snippet").alias("snippet_bytes"))
     )
 
 
@@ -98,7 +99,7 @@ def rank_evidence(deduped: DataFrame, group: list[str]) -> DataFrame:
 
 def oversize_groups(deduped: DataFrame, group: list[str], max_bytes: int) -> DataFrame:
     """Groups whose evidence cannot be held in one cell."""
-    sizes = deduped.groupBy(*group).agg(F.sum(F.octet_length("snippet")).alias("bytes"))
+    sizes = deduped.groupBy(*group).agg(F.sum("snippet_bytes").alias("bytes"))
     return sizes.filter(F.col("bytes") > max_bytes)
 
 

@@ -13,7 +13,7 @@ from venuesift.operators.cleaning import clean_evidence
 from venuesift.operators.skew import find_hot_keys, salted_join
 from venuesift.operators.validation import validate_predictions
 from venuesift.plans.batch import Extract
-from venuesift.session import configure
+from venuesift.session import configure, new_table_path
 from venuesift.sources import sinks
 from venuesift.sources.catalog import EvidenceSource, union_errors, union_sources
 
@@ -42,16 +42,16 @@ def merged_evidence(
 
 
 def gather_state(
-    requests: DataFrame, deduped: DataFrame, errors: DataFrame,
+    requests: DataFrame, evidence: DataFrame, errors: DataFrame,
     max_cell_bytes: int = M.MAX_CELL_BYTES,
 ) -> DataFrame:
     """One working row for each venue: combined text, provenance, errors, gate.
 
     ``venue`` is a one-column key of the row, for stages that need one (the model hook).
     """
-    oversize = M.oversize_groups(deduped, VENUE, max_cell_bytes)
+    oversize = M.oversize_groups(evidence, VENUE, max_cell_bytes)
     # Few groups can be this large; Spark broadcasts the list if it is small when it runs.
-    fitting = deduped.join(oversize.select(*VENUE), VENUE, "left_anti")
+    fitting = evidence.join(oversize.select(*VENUE), VENUE, "left_anti")
     rows = (
         venues(requests)
         .join(M.assemble_evidence(fitting, VENUE), VENUE, "left")
@@ -89,33 +89,29 @@ def process_requests(
     threshold: float = C.DEFAULT_THRESHOLD,
     extract: Extract = keyword_extract,
     max_cell_bytes: int = M.MAX_CELL_BYTES,
+    evidence_path: str | None = None,
 ) -> DataFrame:
-    """Working rows of all requests; ``requests`` carries a unique ``seq``.
+    """Result rows of all requests, with ``seq``, which must be unique in ``requests``.
 
     Sources, merge and decision run once for each venue. The decisions are then joined to
-    the requests, where a venue that very many requests ask for is salted.
+    the requests, where a venue that very many requests ask for is salted. The distinct
+    evidence is written first: several steps read it, and it keeps the whole evidence of
+    venues that are too large for one result row.
     """
-    configure(requests.sparkSession)
+    spark = configure(requests.sparkSession)
     deduped, errors = merged_evidence(requests, catalog)
-    return answer_requests(
-        requests, deduped, errors,
-        threshold=threshold, extract=extract, max_cell_bytes=max_cell_bytes,
-    )
-
+    path = evidence_path or new_table_path(spark, "evidence")
+    deduped.write.mode("overwrite").parquet(path)
+    state = gather_state(requests, spark.read.parquet(path), errors, max_cell_bytes)
+    decided = sinks.lists_as_json(decide(state, threshold=threshold, extract=extract))
 
-def answer_requests(
-    requests: DataFrame, deduped: DataFrame, errors: DataFrame, *,
-    threshold: float, extract: Extract, max_cell_bytes: int = M.MAX_CELL_BYTES,
-) -> DataFrame:
-    """Decide each venue and attach the outcome, with lists as JSON text, to its requests."""
-    decided = sinks.lists_as_json(decide(
-        gather_state(requests, deduped, errors, max_cell_bytes), threshold=threshold, extract=extract
-    )).drop("venue", "raw_text", "cleaned_text")
     asked = requests.select("seq", *VENUE).withColumn(
         "restaurant_id", X.entity_slug(F.col("name"), F.col("city"))
     )
-    hot = find_hot_keys(requests, VENUE)
-    return salted_join(asked, decided, VENUE, hot, salt_from=["seq"], how="left")
+    return salted_join(
+        asked, decided.drop("venue", "raw_text", "cleaned_text"), VENUE,
+        find_hot_keys(requests, VENUE), salt_from=["seq"], how="left",
+    )
 
 
 def run_gather_job(
@@ -128,20 +124,13 @@ def run_gather_job(
     max_cell_bytes: int = M.MAX_CELL_BYTES,
     csv: bool = False,
 ) -> DataFrame:
-    """Write evidence, results and review queue below ``out_dir``; return the results.
-
-    The deduplicated evidence is written first: it feeds several later steps, and it
-    keeps the whole evidence of venues that are too large for one result row.
-    """
-    spark = configure(requests.sparkSession)
-    deduped, errors = merged_evidence(requests, catalog)
-    deduped.write.mode("overwrite").parquet(f"{out_dir}/evidence")
-    evidence = spark.read.parquet(f"{out_dir}/evidence")
-    state = answer_requests(
-        requests, evidence, errors,
-        threshold=threshold, extract=extract, max_cell_bytes=max_cell_bytes,
+    """Write evidence, results and review queue below ``out_dir``; return the results."""
+    spark = requests.sparkSession
+    rows = process_requests(
+        requests, catalog, threshold=threshold, extract=extract,
+        max_cell_bytes=max_cell_bytes, evidence_path=f"{out_dir}/evidence",
     )
-    state.write.mode("overwrite").parquet(f"{out_dir}/state")
+    rows.write.mode("overwrite").parquet(f"{out_dir}/state")
     saved = spark.read.parquet(f"{out_dir}/state")
     results, queue = sinks.gather_results_rows(saved), sinks.gather_review_queue(saved)
     results.write.mode("overwrite").parquet(f"{out_dir}/results")

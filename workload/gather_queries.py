@@ -226,7 +226,7 @@ def collect_errors(spark, sf_dir):
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, source_ord, source_name, source_type, item_pos, url, snippet, reliability FROM deduped""")
 def dedup_evidence(spark, sf_dir):
-    return _deduped(spark, sf_dir)
+    return _deduped(spark, sf_dir).drop("snippet_bytes")
 
 
 @query("rank_evidence", f"""
