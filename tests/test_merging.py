@@ -164,6 +164,24 @@ def test_an_entry_without_snippet_spoils_its_source_only(spark, tmp_path):
         ("THE QUAY", "static_search", "'snippet'"), ("The Quay", "static_search", "'snippet'")]
 
 
+def test_malformed_keys_do_not_spoil_a_file(spark, tmp_path):
+    good = {"url": None, "snippet": "fine [\"x\"] é"}
+    path = folder(tmp_path, search={
+        "ok": [good, {"snippet": ""}], "text": "str", "object": {"url": "u"}, "number": [good, 5], "item": ["s"],
+        "null snippet": [{"snippet": None}], "number snippet": [{"snippet": 5}], "bad url": [{"url": 5, "snippet": "s"}],
+        "nothing": None, "empty": [], "zero": 0,
+    })
+    got = {}
+    for row in CAT.read_entries(spark, f"{path}/search.json").orderBy("key", "pos").collect():
+        got.setdefault(row.key, []).append(row.snippet)
+    assert got == {
+        "ok": ["fine [\"x\"] é", ""], "text": [None], "object": [None], "number": ["fine [\"x\"] é", None],
+        "item": [None], "null snippet": [None], "number snippet": [None], "bad url": [None],
+    }
+    (tmp_path / "broken.json").write_text("{not json", encoding="utf-8")
+    assert CAT.read_entries(spark, f"{path}/broken.json").count() == 0
+
+
 def test_catalog_roles(spark):
     live = CAT.static_source("live", "maps", spark.createDataFrame([], "key string, pos int, url string, snippet string"))
     roles = CAT.build_catalog(spark, live={"live": live}, live_source="live")

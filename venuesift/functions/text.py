@@ -46,7 +46,8 @@ def strip(text: Column) -> Column:
 
 def normalise_whitespace(text: Column) -> Column:
     """One newline style, single blanks, trimmed lines, at most one empty line in a row."""
-    text = F.regexp_replace(text, r"\r\n?", "\n")
+    for line_end in ("\r\n", "\r"):
+        text = F.replace(text, F.lit(line_end), F.lit("\n"))
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.array_join(F.transform(F.split(text, "\n", -1), strip), "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")

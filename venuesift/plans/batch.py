@@ -25,12 +25,19 @@ def process_records(
     threshold: float = C.DEFAULT_THRESHOLD,
     limit: int | None = None,
     extract: Extract = keyword_extract,
+    spread: int | None = None,
 ) -> DataFrame:
-    """Working rows after all stages. With the keyword stage this is one scan, no shuffle."""
+    """Working rows after all stages. With the keyword stage this is one scan, no shuffle.
+
+    ``spread`` is for an input of a few files that cannot be split: its rows go to that many
+    tasks by ``seq`` before the text stages.
+    """
     configure(records.sparkSession)
     valid = REC.validate_records(records)
     if limit is not None:
         valid = limit_records(valid, limit)
+    if spread is not None:
+        valid = valid.repartition(spread, "seq")
     cleaned = clean_evidence(REC.seed_state(valid), "raw_text")
     return validate_predictions(extract(cleaned), threshold)
 
@@ -42,6 +49,7 @@ def run_job(
     threshold: float = C.DEFAULT_THRESHOLD,
     limit: int | None = None,
     extract: Extract = keyword_extract,
+    spread: int | None = None,
     csv: bool = False,
 ) -> DataFrame:
     """Write results, review queue, rejected rows and summary below ``out_dir``; return the summary.
@@ -50,7 +58,9 @@ def run_job(
     that table: no stage runs twice, also when executors are lost between outputs.
     """
     spark = records.sparkSession
-    state = process_records(records, threshold=threshold, limit=limit, extract=extract)
+    state = process_records(
+        records, threshold=threshold, limit=limit, extract=extract, spread=spread
+    )
     state.drop("raw_text", "cleaned_text").write.mode("overwrite").parquet(f"{out_dir}/state")
     saved = spark.read.parquet(f"{out_dir}/state")
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
+from venuesift.functions import jsontext as J
 from venuesift.functions import rules as R
 
 _ENTRY_SCHEMA = "key string, pos int, url string, snippet string"
-_JSON_SCHEMA = "map<string, array<struct<url: string, snippet: string>>>"
+# --- fixed values: JSON texts of a key that count as no entries --------------
+_NO_ENTRIES = ("", "[]", "{}", "0", "0.0", "false")
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,9 @@ def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = Fal
     """Entries ``(key, pos, url, snippet)`` of JSON objects ``{key: [entry, ...]}``.
 
     A file holds one object, or one object on each line for catalogs of any size.
-    A missing path is an empty source.
+    A missing path is an empty source. An entry that is not an object with a text snippet,
+    or a value that is not a list, gives an entry without snippet: the source has failed for
+    that key, and other keys of the file are not affected.
     """
     try:
         text = spark.read.text(path, wholetext=not one_object_per_line)
@@ -37,9 +41,24 @@ def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = Fal
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _ENTRY_SCHEMA)
-    lists = text.select(F.explode(F.from_json("value", _JSON_SCHEMA)).alias("key", "entries"))
-    return lists.select("key", F.posexplode("entries").alias("pos", "entry")).select(
-        "key", "pos", "entry.url", "entry.snippet"
+    raw = F.col("raw")
+    listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
+    lists = (
+        text.select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "raw"))
+        .filter(raw.isNotNull() & ~raw.isin(*_NO_ENTRIES))
+        .select("key", F.coalesce(listed, F.array(F.lit(None).cast("string"))).alias("entries"))
+    )
+    entries = lists.select("key", F.posexplode("entries").alias("pos", "entry")).withColumn(
+        "entry", F.try_parse_json("entry")
+    )
+    url, snippet = J.variant_at(F.col("entry"), "$.url"), J.variant_at(F.col("entry"), "$.snippet")
+    sound = J.is_type(snippet, "STRING") & (
+        url.isNull() | J.is_type(url, "STRING") | J.is_type(url, "VOID")
+    )
+    return entries.select(
+        "key", "pos",
+        F.try_variant_get("entry", "$.url", "string").alias("url"),
+        F.when(sound, F.try_variant_get("entry", "$.snippet", "string")).alias("snippet"),
     )
 
 

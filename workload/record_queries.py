@@ -10,7 +10,7 @@ from venuesift.functions import rules as R
 from venuesift.operators.metrics import evaluate, join_expected
 from venuesift.operators.ordering import limit_records
 from venuesift.operators.validation import route_records, validate_predictions
-from venuesift.plans.batch import process_records, run_job
+from venuesift.plans.batch import run_job
 from venuesift.session import new_table_path
 from venuesift.sources import records as REC
 from venuesift.sources import sinks
@@ -240,27 +240,32 @@ def state_sql(records_sql: str) -> str:
 _RESULTS = ", ".join(C.RESULT_COLUMNS)
 
 
+def _job(spark, records, table):
+    """Run the whole job and read one of the tables it wrote.
+
+    Each test table is one file with one row group, so one task would read and clean it all.
+    """
+    out = new_table_path(spark, "run-job")
+    run_job(records, out, spread=spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{out}/{table}")
+
+
 @query("results_rows", f"WITH {state_sql(lift.LINEITEM_RECORDS_SQL)} SELECT {_RESULTS} FROM state")
 def results_rows(spark, sf_dir):
-    out = new_table_path(spark, "results")
-    run_job(lift.lineitem_records(spark, sf_dir), out)
-    return spark.read.parquet(f"{out}/results")
+    return _job(spark, lift.lineitem_records(spark, sf_dir), "results")
 
 
 @query("review_queue", f"""
     WITH {state_sql(lift.LINEITEM_RECORDS_SQL)} SELECT {_RESULTS} FROM state WHERE needs_review""")
 def review_queue(spark, sf_dir):
-    out = new_table_path(spark, "review-queue")
-    run_job(lift.lineitem_records(spark, sf_dir), out)
-    return spark.read.parquet(f"{out}/review_queue")
+    return _job(spark, lift.lineitem_records(spark, sf_dir), "review_queue")
 
 
 @query("run_job", f"WITH {state_sql(lift.DOCUMENT_RECORDS_SQL)} SELECT {_RESULTS} FROM state")
 def run_job_(spark, sf_dir):
-    return sinks.results_rows(process_records(lift.document_records(spark, sf_dir)))
+    return _job(spark, lift.document_records(spark, sf_dir), "results")
 
 
 @query("run_job_summary", f"WITH {state_sql(lift.CUSTOMER_RECORDS_SQL)}, {summary_sql('state')}")
 def run_job_summary(spark, sf_dir):
-    """The whole job with its written tables; the summary comes from the saved rows."""
-    return run_job(lift.customer_records(spark, sf_dir), new_table_path(spark, "run-job"))
+    return _job(spark, lift.customer_records(spark, sf_dir), "summary")

@@ -64,30 +64,30 @@ def extract_with_repair_(spark, sf_dir):
     return done.withColumn("evidence", json_list(F.col("evidence"))).select(*_PREDICTION)
 
 
-def _make_stub():
-    """A model stand-in: quotes the evidence, stumbles once on French, always on Spanish."""
-    import json
+def _stub_factory():
+    """A model stand-in: quotes the evidence, stumbles once on French, always on Spanish.
 
-    def complete(system: str, user: str) -> str:
-        repair = "could not be parsed" in user
-        evidence = user.split("vidence:\n")[-1].split("\n\n")[0]
-        if evidence.startswith("es ") or (evidence.startswith("fr ") and not repair):
-            return "sorry"
-        if evidence.startswith("de "):
-            raise RuntimeError("quota used up")
-        return json.dumps({
-            "label": "unknown" if repair else "yes", "confidence": 0.7,
-            "evidence": [evidence[:2]], "reasoning": "stub",
-        })
+    The functions are nested so that they ship to executors by value.
+    """
 
-    return complete
+    def make():
+        import json
 
+        def complete(system: str, user: str) -> str:
+            repair = "could not be parsed" in user
+            evidence = user.split("vidence:\n")[-1].split("\n\n")[0]
+            if evidence.startswith("es ") or (evidence.startswith("fr ") and not repair):
+                return "sorry"
+            if evidence.startswith("de "):
+                raise RuntimeError("quota used up")
+            return json.dumps({
+                "label": "unknown" if repair else "yes", "confidence": 0.7,
+                "evidence": [evidence[:2]], "reasoning": "stub",
+            })
 
-def _hook_factory():
-    # Built in a function so that it ships to executors by value, wherever this module lives.
-    import types
+        return complete
 
-    return types.FunctionType(_make_stub.__code__, {"__builtins__": __builtins__}, "make_stub")
+    return make
 
 
 @query("completion_hook", """
@@ -109,5 +109,5 @@ def completion_hook(spark, sf_dir):
         F.concat_ws(" ", "lang", "text").alias("cleaned_text"),
         F.lit(None).cast("string").alias("error"),
     )
-    done = extract_with_repair(docs, collect_replies(docs, _hook_factory()))
+    done = extract_with_repair(docs, collect_replies(docs, _stub_factory()))
     return done.withColumn("evidence", json_list(F.col("evidence"))).select(*_PREDICTION)
