@@ -129,6 +129,21 @@ def test_gather_job(spark, requests, catalog, tmp_path):
     assert list(read_csv(tmp_path / "out" / "review_queue_csv").name) == ["Empty"]
 
 
+def test_a_source_that_fails_as_a_whole_is_told_to_every_venue(spark, requests, catalog, tmp_path):
+    (tmp_path / "maps.json").write_text("{broken", encoding="utf-8")
+    out = run_gather_job(requests, catalog(), str(tmp_path / "out"))
+    told = {r.name: json.loads(r.gather_errors) for r in out.collect()}
+    bad = "static_maps: catalog is not valid JSON"
+    assert told == {"Pier House": [bad], "Cellar": ["static_search: 'snippet'", bad], "Empty": [bad]}
+
+
+def test_hot_keys_do_not_change_the_result(spark, requests, catalog, tmp_path, monkeypatch):
+    plain = run_gather_job(requests, catalog(), str(tmp_path / "plain")).collect()
+    monkeypatch.setattr("venuesift.operators.skew.HOT_ROWS", 1)
+    salted = run_gather_job(requests, catalog(), str(tmp_path / "salted")).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, salted))
+
+
 def test_gather_with_places_in_the_maps_role(spark, requests, catalog, tmp_path):
     searches = spark.createDataFrame(
         [("Empty, Bern", '{"places": [{"id": "e"}]}', None), ("Cellar, Rome", None, "boom")],

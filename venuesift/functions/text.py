@@ -55,11 +55,11 @@ def normalise_whitespace(text: Column) -> Column:
 
 
 def drop_tags(text: Column) -> Column:
-    return F.regexp_replace(text, _TAG, " ")
+    return F.when(text.contains("<"), F.regexp_replace(text, _TAG, " ")).otherwise(text)
 
 
 def has_rare_entity(text: Column) -> Column:
-    return text.rlike(_RARE_ENTITY)
+    return text.contains("&") & text.rlike(_RARE_ENTITY)
 
 
 def decode_common_entities(text: Column) -> Column:

@@ -17,8 +17,9 @@ from venuesift.operators.skew import HotKeys, find_hot_keys, salted_join
 
 MATCH = ["key_kind", "match_key"]
 
-# A cell of a Spark row cannot pass 2 GB. Groups with more evidence than this stay flat.
-MAX_CELL_BYTES = 512 * 1024 * 1024
+# A Spark row cannot pass 2 GB, and the row of a group holds its evidence several times
+# over (list, combined text, cleaned text, JSON). Groups with more than this stay flat.
+MAX_CELL_BYTES = 64 * 1024 * 1024
 
 
 def isolate_failures(rows: DataFrame, hot: HotKeys | None = None) -> tuple[DataFrame, DataFrame]:

@@ -20,14 +20,15 @@ class HotKeys:
     values: list[Row]
 
 
-def find_hot_keys(df: DataFrame, columns: list[str], min_rows: int = HOT_ROWS) -> HotKeys:
-    """The largest keys with at least ``min_rows`` rows.
+def find_hot_keys(df: DataFrame, columns: list[str], min_rows: int | None = None) -> HotKeys:
+    """The largest keys with at least ``min_rows`` rows (``HOT_ROWS`` if not given).
 
     One pass over the key columns only, combined before its shuffle. If more than 255
     keys are that large, each one left out holds less than 1/256 of the rows.
     """
     counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counts.filter(F.col("_rows") >= min_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
+    least = HOT_ROWS if min_rows is None else min_rows
+    top = counts.filter(F.col("_rows") >= least).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
     return HotKeys(columns, top.select(*columns).collect())
 
 

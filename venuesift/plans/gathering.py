@@ -15,7 +15,12 @@ from venuesift.operators.validation import validate_predictions
 from venuesift.plans.batch import Extract
 from venuesift.session import configure, new_table_path
 from venuesift.sources import sinks
-from venuesift.sources.catalog import EvidenceSource, union_errors, union_sources
+from venuesift.sources.catalog import (
+    EvidenceSource,
+    failed_sources,
+    union_errors,
+    union_sources,
+)
 
 VENUE = ["name", "city"]
 ERROR_OVERSIZE = "Evidence is too large for one cell; it is kept in the evidence table"
@@ -38,7 +43,9 @@ def merged_evidence(
     if reported is not None:
         errors = errors.unionByName(reported)
     deduped = M.dedup_evidence(M.gather_sources(asked, rows, hot), VENUE)
-    return deduped, M.match_errors(asked, errors)
+    matched = M.match_errors(asked, errors)
+    failed = failed_sources(catalog, asked)
+    return deduped, matched if failed is None else matched.unionByName(failed)
 
 
 def gather_state(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -14,17 +14,40 @@ from venuesift.functions import jsontext as J
 from venuesift.functions import rules as R
 
 _ENTRY_SCHEMA = "key string, pos int, url string, snippet string"
+_BAD_FILE = "catalog is not valid JSON"
 # --- fixed values: JSON texts of a key that count as no entries --------------
 _NO_ENTRIES = ("", "[]", "{}", "0", "0.0", "false")
 
 
 @dataclass(frozen=True)
 class EvidenceSource:
-    """Rows of ``EVIDENCE_COLUMNS`` without ``source_ord``, and errors known at reading."""
+    """Rows of ``EVIDENCE_COLUMNS`` without ``source_ord``, and what went wrong at reading.
+
+    ``errors`` holds failures for single keys. ``failure`` tells why the source as a whole
+    did not work; every venue then gets this error and nothing of the rows.
+    """
 
     name: str
     rows: DataFrame
     errors: DataFrame | None = None
+    failure: str | None = None
+
+
+def _read_text(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
+    try:
+        return spark.read.text(path, wholetext=whole)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def is_broken(spark: SparkSession, path: str) -> bool:
+    """True when a file that should hold one JSON object does not."""
+    text = _read_text(spark, path, whole=True)
+    if text is None:
+        return False
+    return not text.filter(F.from_json("value", "map<string, string>").isNull()).isEmpty()
 
 
 def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = False) -> DataFrame:
@@ -35,11 +58,8 @@ def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = Fal
     or a value that is not a list, gives an entry without snippet: the source has failed for
     that key, and other keys of the file are not affected.
     """
-    try:
-        text = spark.read.text(path, wholetext=not one_object_per_line)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    text = _read_text(spark, path, whole=not one_object_per_line)
+    if text is None:
         return spark.createDataFrame([], _ENTRY_SCHEMA)
     raw = F.col("raw")
     listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
@@ -119,14 +139,17 @@ def static_catalog(
     live_source: str | None = None,
 ) -> dict[str, EvidenceSource]:
     """Catalog over ``search.json``, ``reviews.json`` and ``maps.json`` of one folder."""
-    def entries(file: str) -> DataFrame:
-        return read_entries(spark, f"{folder}/{file}", one_object_per_line)
+    def source(name: str, source_type: str, file: str) -> EvidenceSource:
+        path = f"{folder}/{file}"
+        found = static_source(name, source_type, read_entries(spark, path, one_object_per_line))
+        broken = not one_object_per_line and is_broken(spark, path)
+        return replace(found, failure=_BAD_FILE) if broken else found
 
     return build_catalog(
         spark,
-        search=static_source("static_search", "search", entries("search.json")),
-        reviews=static_source("static_reviews", "review", entries("reviews.json")),
-        maps=static_source("static_maps", "maps", entries("maps.json")),
+        search=source("static_search", "search", "search.json"),
+        reviews=source("static_reviews", "review", "reviews.json"),
+        maps=source("static_maps", "maps", "maps.json"),
         live=live,
         live_source=live_source,
     )
@@ -135,18 +158,32 @@ def static_catalog(
 def union_sources(catalog: dict[str, EvidenceSource]) -> DataFrame:
     """Evidence of all roles in one table; ``source_ord`` is the place in the catalog."""
     parts = [
-        source.rows.withColumn("source_ord", F.lit(place)).select(*C.EVIDENCE_COLUMNS)
+        (source.rows.limit(0) if source.failure else source.rows)
+        .withColumn("source_ord", F.lit(place)).select(*C.EVIDENCE_COLUMNS)
         for place, source in enumerate(catalog.values())
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def failed_sources(catalog: dict[str, EvidenceSource], venues: DataFrame) -> DataFrame | None:
+    """An error for each venue and each source that failed as a whole, if any did."""
+    failed = [
+        F.struct(
+            F.lit(place).alias("source_ord"), F.lit(source.name).alias("source_name"),
+            F.lit(source.failure).alias("error"),
+        )
+        for place, source in enumerate(catalog.values()) if source.failure
+    ]
+    return venues.select("*", F.inline(F.array(*failed))) if failed else None
+
+
 def union_errors(catalog: dict[str, EvidenceSource]) -> DataFrame | None:
     """Errors that sources reported when they were read, if any source reports them."""
     parts = [
         source.errors.withColumns({
             "source_ord": F.lit(place), "source_name": F.lit(source.name),
         }).select(*C.SOURCE_ERROR_COLUMNS)
-        for place, source in enumerate(catalog.values()) if source.errors is not None
+        for place, source in enumerate(catalog.values())
+        if source.errors is not None and not source.failure
     ]
     return reduce(DataFrame.unionByName, parts) if parts else None
