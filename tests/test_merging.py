@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from venuesift.operators import merging as M
 from venuesift.operators import skew
 from venuesift.operators.ordering import rank_rows
+from venuesift.plans.gathering import matched_evidence
 from venuesift.sources import catalog as CAT
 from venuesift.sources import places as PL
 
@@ -127,9 +128,8 @@ def folder(tmp_path, **files):
 
 
 def gathered(spark, catalog):
-    rows, errors = M.isolate_failures(CAT.union_sources(catalog))
-    found = M.gather_sources(units(spark), rows).orderBy("name", "source_ord", "item_pos").collect()
-    return found, M.match_errors(units(spark), errors).collect()
+    evidence, errors = matched_evidence(units(spark), catalog)
+    return evidence.orderBy("name", "source_ord", "item_pos").collect(), errors.collect()
 
 
 def test_static_catalog(spark, tmp_path):

@@ -2,9 +2,6 @@ from __future__ import annotations
 
 import json
 
-import pytest
-from pyspark.sql import functions as F
-
 from venuesift.operators.replies import collect_replies, extract_with_repair, parse_response
 
 

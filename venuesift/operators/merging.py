@@ -13,7 +13,7 @@ from venuesift import contracts as C
 from venuesift.functions import rules as R
 from venuesift.functions import text as X
 from venuesift.operators.ordering import rank_rows
-from venuesift.operators.skew import HotKeys, find_hot_keys, salted_join
+from venuesift.operators.skew import HotKeys, salted_join
 
 MATCH = ["key_kind", "match_key"]
 
@@ -22,7 +22,7 @@ MATCH = ["key_kind", "match_key"]
 MAX_CELL_BYTES = 64 * 1024 * 1024
 
 
-def isolate_failures(rows: DataFrame, hot: HotKeys | None = None) -> tuple[DataFrame, DataFrame]:
+def isolate_failures(rows: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     """Evidence of sources that worked, and one error for each key of one that did not.
 
     An entry without a snippet spoils all that its source has for that key; other
@@ -35,8 +35,8 @@ def isolate_failures(rows: DataFrame, hot: HotKeys | None = None) -> tuple[DataF
     )
     keys = [*MATCH, "source_ord"]
     good = salted_join(
-        rows, errors.select(*keys), keys, hot or find_hot_keys(rows, MATCH),
-        salt_from=["item_pos"], how="left_anti",
+        rows, errors.select(*keys), keys, hot,
+        salt_from=["item_pos", "snippet"], how="left_anti",
     )
     return good, errors
 
@@ -51,11 +51,11 @@ def match_keys(units: DataFrame) -> DataFrame:
     return units.select("name", "city", F.inline(kinds))
 
 
-def gather_sources(units: DataFrame, rows: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def gather_sources(units: DataFrame, rows: DataFrame, hot: HotKeys) -> DataFrame:
     """Evidence of all sources for each venue, in one equi-join; misses give no rows."""
     matched = salted_join(
-        rows, match_keys(units), MATCH, hot or find_hot_keys(rows, MATCH),
-        salt_from=["source_ord", "item_pos"], how="inner",
+        rows, match_keys(units), MATCH, hot,
+        salt_from=["source_ord", "item_pos", "snippet"], how="inner",
     )
     return matched.drop(*MATCH)
 

@@ -178,9 +178,14 @@ def collect_replies(
 
 
 def hook_extract(make_complete: Callable[[], Complete], key: str = "seq"):
-    """Extraction stage that calls a model; takes the place of the keyword stage."""
+    """Extraction stage that calls a model; takes the place of the keyword stage.
+
+    The cleaned rows are written first: both passes and the final join read them, and all
+    must see the same keys.
+    """
 
     def extract(df: DataFrame) -> DataFrame:
-        return extract_with_repair(df, collect_replies(df, make_complete, key), key)
+        rows = cut_lineage(df)
+        return extract_with_repair(rows, collect_replies(rows, make_complete, key), key)
 
     return extract

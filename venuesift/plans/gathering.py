@@ -31,21 +31,22 @@ def venues(requests: DataFrame) -> DataFrame:
     return requests.select(*VENUE).distinct()
 
 
-def merged_evidence(
-    requests: DataFrame, catalog: dict[str, EvidenceSource]
+def matched_evidence(
+    asked: DataFrame, catalog: dict[str, EvidenceSource]
 ) -> tuple[DataFrame, DataFrame]:
-    """Distinct evidence of each venue, and the errors of its sources."""
-    asked = venues(requests)
+    """Evidence of each venue from all sources, and the errors of its sources."""
     listed = union_sources(catalog)
     hot = find_hot_keys(listed, M.MATCH)
     rows, errors = M.isolate_failures(listed, hot)
     reported = union_errors(catalog)
     if reported is not None:
         errors = errors.unionByName(reported)
-    deduped = M.dedup_evidence(M.gather_sources(asked, rows, hot), VENUE)
     matched = M.match_errors(asked, errors)
     failed = failed_sources(catalog, asked)
-    return deduped, matched if failed is None else matched.unionByName(failed)
+    return (
+        M.gather_sources(asked, rows, hot),
+        matched if failed is None else matched.unionByName(failed),
+    )
 
 
 def gather_state(
@@ -106,9 +107,9 @@ def process_requests(
     venues that are too large for one result row.
     """
     spark = configure(requests.sparkSession)
-    deduped, errors = merged_evidence(requests, catalog)
+    evidence, errors = matched_evidence(venues(requests), catalog)
     path = evidence_path or new_table_path(spark, "evidence")
-    deduped.write.mode("overwrite").parquet(path)
+    M.dedup_evidence(evidence, VENUE).write.mode("overwrite").parquet(path)
     state = gather_state(requests, spark.read.parquet(path), errors, max_cell_bytes)
     decided = sinks.lists_as_json(decide(state, threshold=threshold, extract=extract))
 

@@ -31,15 +31,14 @@ def build_catalog(spark, sf_dir, **more):
 def places(spark, sf_dir):
     configure(spark)
     return PL.places_source(
-        "google_places", lift.stored_searches(spark, sf_dir), lift.stored_details(spark, sf_dir)
+        "stored_places", lift.stored_searches(spark, sf_dir), lift.stored_details(spark, sf_dir)
     )
 
 
 def _gathered(spark, sf_dir):
     """Evidence of every customer venue from all sources, before the merge."""
     units = G.venues(lift.customer_venues(spark, sf_dir))
-    rows, errors = M.isolate_failures(CAT.union_sources(build_catalog(spark, sf_dir)))
-    return M.gather_sources(units, rows), M.match_errors(units, errors)
+    return G.matched_evidence(units, build_catalog(spark, sf_dir))
 
 
 def _deduped(spark, sf_dir):
@@ -184,7 +183,7 @@ _PLACES_ROWS_SQL = f"""
 
 @query("places_source", f"""
     WITH {_PLACES_ROWS_SQL}
-    SELECT match_key, 'google_places' AS source_name, n.source_type, CAST(item_pos AS BIGINT) AS item_pos, n.url,
+    SELECT match_key, 'stored_places' AS source_name, n.source_type, CAST(item_pos AS BIGINT) AS item_pos, n.url,
         n.snippet, n.reliability FROM asked JOIN numbered n ON pid = place_id""")
 def places_source(spark, sf_dir):
     return places(spark, sf_dir).rows.drop("key_kind")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from venuesift import contracts as C
 from venuesift.functions.jsontext import json_list
 from venuesift.operators.replies import collect_replies, extract_with_repair, parse_response
 from venuesift.session import configure

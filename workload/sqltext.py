@@ -1,4 +1,4 @@
-"""SQL expressions of the reference results, for the check against another engine."""
+"""SQL expressions of the expected results, for the check with another engine."""
 
 from __future__ import annotations
 
