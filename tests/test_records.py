@@ -85,21 +85,17 @@ def test_seed_state_starts_empty(spark):
     assert row.cleaned_text is row.prediction is row.confidence is row.error is row.validation_status is None
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 3_000_000, 10_000_000_000])
-def test_large_and_small_limits_agree(spark, n):
-    blocks = spark.range(3000).select((F.col("id") * 1500).alias("seq"), F.col("id").alias("v"))
-    expected = [(i * 1500, i) for i in range(min(n, 3000))]
-    for small in (-1, 10**12):
-        if n > 2**31 - 1 and small > 0:
-            continue
-        got = limit_records(blocks, n, small=small).orderBy("seq").collect()
-        assert [tuple(r) for r in got] == expected
-
-
-def test_limit_in_the_middle_of_a_block(spark):
-    rows = spark.range(0, 4_000_000, 2000).withColumnRenamed("id", "seq")
-    for n in (524, 525, 526, 1049, 1999):
-        got = limit_records(rows, n, small=0)
-        assert got.count() == n and got.agg(F.max("seq")).first()[0] == (n - 1) * 2000
+@pytest.mark.parametrize("n", [0, 1, 7, 2999, 3000, 10_000_000_000])
+def test_limit(spark, n):
+    rows = spark.range(3000).select((F.col("id") * 1500).alias("seq"), F.col("id").alias("v"))
+    got = limit_records(rows.repartition(5), n).orderBy("seq").collect()
+    assert [tuple(r) for r in got] == [(i * 1500, i) for i in range(min(n, 3000))]
+
+
+def test_limit_at_the_edges_of_a_block(spark):
+    rows = spark.range(0, 1_000_000, 512).withColumnRenamed("id", "seq")
+    for n in (255, 256, 257, 512, 1000):
+        got = limit_records(rows, n)
+        assert got.count() == n and got.agg(F.max("seq")).first()[0] == (n - 1) * 512
     with pytest.raises(ValueError):
         limit_records(rows, -1)

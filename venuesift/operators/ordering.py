@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from venuesift.session import cut_lineage
 
-SMALL_LIMIT = 100_000
-_BLOCK_BITS = 20
+# Rows are counted by blocks of 131,072 sequence numbers.
+_BLOCK_BITS = 17
 
 
-def limit_records(df: DataFrame, n: int, seq_col: str = "seq", small: int = SMALL_LIMIT) -> DataFrame:
-    """The first ``n`` rows in input order.
+def limit_records(df: DataFrame, n: int, seq_col: str = "seq") -> DataFrame:
+    """The first ``n`` rows in input order; ``seq_col`` must be unique.
 
-    A small limit is a plain top-n. A large one would pull all its rows into one
-    task, so rows are counted by blocks of about a million sequence numbers; whole blocks
-    pass a filter and only the block with the boundary is sorted.
+    A plain top-n would send up to ``n`` whole rows of every task to one task. Here the counts
+    of blocks of sequence numbers find the block with the boundary: earlier blocks pass a
+    filter where they are, and only rows of the boundary block are sorted.
     """
     if n < 0:
         raise ValueError("limit must not be negative")
-    if n <= small:
-        return df.orderBy(seq_col).limit(n)
+    if n == 0:
+        return df.limit(0)
 
     block = F.shiftright(F.col(seq_col), _BLOCK_BITS)
     counts = df.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
