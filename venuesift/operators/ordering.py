@@ -46,7 +46,7 @@ def rank_rows(df: DataFrame, group: list[str], order: list[str], out: str = "ran
     group in earlier partitions.
     """
     placed = cut_lineage(
-        df.orderBy(*group, *order).withColumn("_at", F.monotonically_increasing_id())
+        df.orderBy(*group, *order).withColumn("_at", F.monotonically_increasing_id()), "ranked"
     ).withColumn("_part", F.shiftright(F.col("_at"), 33))
     runs = placed.groupBy(*group, "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_start")

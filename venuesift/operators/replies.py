@@ -164,7 +164,7 @@ def collect_replies(
     first = cut_lineage(call_model(
         ready.select(key, P.user_prompt(F.col("cleaned_text")).alias("prompt")),
         make_complete, 1, key,
-    ))
+    ), "replies")
     unparsed = (
         parse_response(first.filter(F.col("call_error").isNull()), "reply")
         .filter(~F.col("parsed.schema_ok"))
@@ -173,7 +173,7 @@ def collect_replies(
     again = ready.join(unparsed, key).select(
         key, P.repair_prompt(F.col("reply"), F.col("cleaned_text")).alias("prompt")
     )
-    second = cut_lineage(call_model(again, make_complete, 2, key))
+    second = cut_lineage(call_model(again, make_complete, 2, key), "replies")
     return first.unionByName(second)
 
 
@@ -185,7 +185,7 @@ def hook_extract(make_complete: Callable[[], Complete], key: str = "seq"):
     """
 
     def extract(df: DataFrame) -> DataFrame:
-        rows = cut_lineage(df)
+        rows = cut_lineage(df, "cleaned")
         return extract_with_repair(rows, collect_replies(rows, make_complete, key), key)
 
     return extract

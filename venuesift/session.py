@@ -1,4 +1,4 @@
-"""Session settings and the shared folder for checkpoints and written tables."""
+"""Session settings and the shared folder for tables written between steps."""
 
 from __future__ import annotations
 
@@ -16,15 +16,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, else a local one in tests."""
+    """Folder all executors reach: the one the cluster names, else a local one in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
@@ -32,9 +34,12 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder once and go on from the copy."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "rows") -> DataFrame:
+    """Write the rows once to a table in the shared folder and go on from that table.
+
+    Later steps read only the columns they need, and nothing is computed again when an
+    executor is lost.
+    """
+    path = new_table_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
