@@ -10,19 +10,20 @@ import pytest
 from venuesift import contracts as C
 from venuesift.operators.replies import hook_extract
 from venuesift.plans.batch import process_records, run_job
-from venuesift.plans.gathering import ERROR_OVERSIZE, run_gather_job
+from venuesift.plans.gathering import job_review_queue, run_gather_job
 from venuesift.sources import catalog as CAT
 from venuesift.sources import places as PL
+from venuesift.sources import sinks
 from venuesift.sources.records import read_records
 
 ROWS = [
     # id, text, label, expected outcome: prediction, confidence, status, correct
     ("v1", "Lunch on our leafy patio, all year. Ask for rugs.", "yes", "yes", 0.92, "ok", "True"),
     ("v2", "A rooftop bar!\nMENU\n---", "yes", "yes", 0.92, "ok", "True"),
-    ("v3", "Warm rooms. We do not offer seats on the sidewalk.", "no", "no", 0.91, "ok", "True"),
-    ("v4", "<p>Basement club</p>", "yes", "no", 0.91, "ok", "False"),
-    ("v5", "Outdoor seats weather permitting; inside otherwise.", "unknown", "unknown", 0.55, "flagged", "True"),
-    ("v6", "We do not have outdoor seats. The patio opens on Sundays.", "unknown", "unknown", 0.45, "flagged", "True"),
+    ("v3", "Tapas bar. We do not offer the sidewalk to groups.", "no", "no", 0.91, "ok", "True"),
+    ("v4", "<p>Jazz in a basement</p>", "yes", "no", 0.91, "ok", "False"),
+    ("v5", "Brunch outdoor, weather permitting, else inside.", "unknown", "unknown", 0.55, "flagged", "True"),
+    ("v6", "In May we do not have outdoor service; the patio opens on request.", "unknown", "unknown", 0.45, "flagged", "True"),
     ("v7", "Noodles, \"spicy\".", "unknown", "unknown", 0.35, "flagged", "True"),
     ("v8", "Steaks — and wine.", "", "unknown", 0.35, "flagged", None),
 ]
@@ -58,7 +59,7 @@ def test_records_job(spark, records, tmp_path):
         assert row.needs_review == str(status != "ok") and pd.isna(row.error)
     assert json.loads(results.evidence[0]) == ["Lunch on our leafy patio, all year."]
     assert json.loads(results.evidence[1]) == ["A rooftop bar!"]
-    assert json.loads(results.evidence[3]) == ["Basement club"]
+    assert json.loads(results.evidence[3]) == ["Jazz in a basement"]
     queue = read_csv(tmp_path / "out" / "review_queue_csv")
     assert list(queue.restaurant_id) == ["v5", "v6", "v7", "v8"]
     rejected = spark.read.parquet(str(tmp_path / "out" / "rejected"))
@@ -137,13 +138,6 @@ def test_a_source_that_fails_as_a_whole_is_told_to_every_venue(spark, requests,
     assert told == {"Pier House": [bad], "Cellar": ["static_search: 'snippet'", bad], "Empty": [bad]}
 
 
-def test_hot_keys_do_not_change_the_result(spark, requests, catalog, tmp_path, monkeypatch):
-    plain = run_gather_job(requests, catalog(), str(tmp_path / "plain")).collect()
-    monkeypatch.setattr("venuesift.operators.skew.HOT_ROWS", 1)
-    salted = run_gather_job(requests, catalog(), str(tmp_path / "salted")).collect()
-    assert sorted(map(str, plain)) == sorted(map(str, salted))
-
-
 def test_gather_with_places_in_the_maps_role(spark, requests, catalog, tmp_path):
     searches = spark.createDataFrame(
         [("Empty, Bern", '{"places": [{"id": "e"}]}', None), ("Cellar, Rome", None, "boom")],
@@ -180,10 +174,46 @@ def test_the_gate_spares_the_model(requests, catalog, tmp_path):
     assert len(list(log.iterdir())) == 2
 
 
-def test_evidence_too_large_for_a_cell_stays_flat(spark, requests, catalog, tmp_path):
-    out = run_gather_job(requests, catalog(), str(tmp_path / "out"), max_cell_bytes=30)
-    rows = {r.name: r for r in out.collect()}
-    assert rows["Pier House"].error == ERROR_OVERSIZE and rows["Pier House"].needs_review
-    assert rows["Cellar"].prediction == "no"
-    kept = spark.read.parquet(str(tmp_path / "out" / "evidence")).filter("name = 'Pier House'")
-    assert kept.count() == 2
+def test_requests_without_name_or_city_are_set_aside(spark, requests, catalog, tmp_path):
+    more = requests.unionByName(spark.createDataFrame(
+        [(20, None, "Oslo"), (21, "Pier House", None), (22, None, None)], requests.schema))
+    out = run_gather_job(more, catalog(), str(tmp_path / "out"))
+    assert out.count() == 4 and out.filter("validation_status is null").count() == 0
+    aside = spark.read.parquet(str(tmp_path / "out" / "rejected"))
+    assert sorted((r.seq, r.reject_reason) for r in aside.collect()) == [
+        (20, "name is missing"), (21, "city is missing"), (22, "name is missing")]
+
+
+def test_evidence_is_kept_flat_and_ranked(spark, requests, catalog, tmp_path):
+    run_gather_job(requests, catalog(), str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out" / "evidence")).filter("name = 'Pier House'").orderBy("rank")
+    assert [(r["rank"], r.source_type, r.snippet) for r in kept.collect()] == [
+        (1, "search", "A terrace by the water."), (2, "review", "We liked the deck.")]
+    assert [r.name for r in job_review_queue(spark, str(tmp_path / "out")).collect()] == ["Empty"]
+
+
+def test_rejected_records_do_not_reach_the_model(records, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    folder = str(log)
+
+    def make():
+        import os
+        import uuid
+
+        def complete(system, user):
+            open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+            return '{"label": "yes", "confidence": 0.9, "evidence": ["q"], "reasoning": "r"}'
+
+        return complete
+
+    run_job(records, str(tmp_path / "out"), extract=hook_extract(make, partitions=3))
+    assert len(list(log.iterdir())) == len(ROWS)
+
+
+def test_padded_cells_survive_the_export(spark, tmp_path):
+    frame = spark.createDataFrame([("  a ", 'q "x"\nline ', True), (None, "", False)], "name string, error string, needs_review boolean")
+    sinks.write_csv(frame, str(tmp_path / "out"))
+    got = read_csv(tmp_path / "out").sort_values("needs_review", ascending=False)
+    assert got.iloc[0].tolist() == ["  a ", 'q "x"\nline ', "True"]
+    assert got.iloc[1].isna().tolist() == [True, True, False]

@@ -1,4 +1,4 @@
-"""Sources, merge and skew-safe joins."""
+"""Sources, merge, joins of skewed keys, decisions from flat rows."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from venuesift.operators import merging as M
-from venuesift.operators import skew
+from venuesift.operators.classify import keyword_extract
+from venuesift.operators.cleaning import clean_evidence
+from venuesift.operators.flat import keyword_decisions
 from venuesift.operators.ordering import rank_rows
 from venuesift.plans.gathering import matched_evidence
 from venuesift.sources import catalog as CAT
@@ -66,10 +68,10 @@ def test_unknown_rank_is_an_error(spark):
 
 def test_errors_in_source_order(spark):
     errors = spark.createDataFrame(
-        [("g", 2, "late", "gone"), ("g", 1, "broken", "timeout"), ("g", 0, "quiet", ""), ("h", 0, "quiet", "")],
+        [("g", 2, "late", "gone"), ("g", 1, "first", "lost key"), ("g", 0, "quiet", ""), ("h", 0, "quiet", "")],
         "g string, source_ord int, source_name string, error string")
     rows = {r.g: r.gather_errors for r in M.collect_errors(errors, ["g"]).collect()}
-    assert rows == {"g": ["broken: timeout", "late: gone"]}
+    assert rows == {"g": ["first: lost key", "late: gone"]}
 
 
 def test_flat_rank_equals_array_rank_for_a_hot_group(spark):
@@ -93,23 +95,81 @@ def test_rank_splits_a_group_over_partitions(spark):
     assert got == list(range(1, 50_001))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
-    rng = random.Random(11)
-    big = spark.createDataFrame(
-        [(rng.choice(["hot"] * 5 + ["warm", "cold", "gone", None]), n) for n in range(4000)], "k string, n long")
-    small = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("warm", "z"), ("new", "w")], "k string, v string")
-    hot = skew.find_hot_keys(big.filter("k is not null"), ["k"], min_rows=1000)
-    assert [r.k for r in hot.values] == ["hot"]
-    salted = skew.salted_join(big, small, ["k"], hot, salt_from=["n"], how=how)
-    plain = big.join(small, ["k"], how)
-    assert salted.columns == plain.columns
-    assert Counter(map(tuple, salted.collect())) == Counter(map(tuple, plain.collect()))
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_adaptive_joins_split_many_hot_keys(spark, how):
+    """More hot keys than any list would hold, with thresholds lowered to the size of a test."""
+    keep = {name: spark.conf.get(name) for name in SKEW}
+    try:
+        for name, value in SKEW.items():
+            spark.conf.set(name, value)
+        big = spark.range(400_000).select(
+            F.when(F.col("id") % 3 > 0, F.col("id") % 300).otherwise(F.col("id")).alias("k"),
+            F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        small = spark.range(0, 600).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+        joined = big.join(small, "k", how)
+        count = joined.count()
+        plain = big.join(F.broadcast(small), "k", how).count()
+        assert count == plain
+    finally:
+        for name, value in keep.items():
+            spark.conf.set(name, value)
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+}
+
+
+# --- decisions from flat rows -----------------------------------------------
+
+BLOCK = "g string, rank long, source_type string, url string, snippet string"
+BITS = [
+    "patio", "no", " ", "patio", "We do not have outdoor seats", "opens on", "sidewalk", "inside", "basement", "deck", ".", "!",
+    "weather permitting", "<", ">", "<b>", "<>", "<i", "MENU", "\n", "\n---\n", "Return JSON", "\nReturn JSON now", "&lt;b&gt;",
+    "&amp;", "&nbsp;", "&eacute;", "\u00a0", "Your previous response could not be parsed", "bread", "a < b", "x > y", "no <b",
+]
+
+
+def combined_answer(spark, rows):
+    """The rules on the whole text of each group."""
+    ranked = spark.createDataFrame(rows, BLOCK)
+    items = F.array_sort(F.collect_list(F.struct("rank", "source_type", "url", "snippet")))
+    whole = ranked.groupBy("g").agg(items.alias("items")).select(
+        "g", M.combine_evidence(F.col("items")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    answer = keyword_extract(clean_evidence(whole, "raw"))
+    return {r.g: (r.prediction, r.confidence, r.evidence, r.reasoning) for r in answer.collect()}
+
+
+def flat_answer(spark, rows):
+    flat = keyword_decisions(spark.createDataFrame(rows, BLOCK), ["g"])
+    return {r.g: (r.prediction, r.confidence, r.evidence, r.reasoning) for r in flat.collect()}
+
+
+def random_blocks(seed, groups, most):
+    rng = random.Random(seed)
+    return [
+        (f"g{g}", n + 1, rng.choice(["maps", "search", "review"]), rng.choice([None, "", "https://x.test/1", "u"]),
+         "".join(rng.choices(BITS, k=rng.randrange(0, 7))))
+        for g in range(groups) for n in range(rng.randrange(1, most))
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_flat_decision_equals_combined_decision(spark, seed):
+    rows = random_blocks(seed, 400, 9)
+    assert flat_answer(spark, rows) == combined_answer(spark, rows)
 
 
-def test_hot_keys_are_few(spark):
-    frame = spark.range(1000).select((F.col("id") % 500).alias("k"))
-    assert len(skew.find_hot_keys(frame, ["k"], min_rows=1).values) == skew.MAX_HOT_KEYS
+def test_flat_decision_of_a_hot_group(spark, monkeypatch):
+    """One group with most of the evidence, and tags that reach over many blocks and stretches."""
+    monkeypatch.setattr("venuesift.operators.flat._STRETCH", 16)
+    rng = random.Random(4)
+    hot = [("hot", n + 1, "review", None, "bread " * rng.randrange(9)) for n in range(2000)]
+    for at, text in ((5, "we love it <b"), (40, "and then"), (90, "style> no <i"), (130, "x"), (700, "> patio"), (1200, "a terrace. <")):
+        hot[at] = (*hot[at][:4], text)
+    rows = hot + random_blocks(9, 20, 40)
+    assert flat_answer(spark, rows) == combined_answer(spark, rows)
 
 
 # --- sources ----------------------------------------------------------------
@@ -182,6 +242,22 @@ def test_malformed_keys_do_not_spoil_a_file(spark, tmp_path):
     assert CAT.read_entries(spark, f"{path}/broken.json").count() == 0
 
 
+@pytest.mark.parametrize("text", ["{not json", '{"a": []} junk', "[1]", '"text"', "", '{"a": []}\n{"b": []}'])
+def test_files_that_are_not_one_object_fail(spark, tmp_path, text):
+    (tmp_path / "search.json").write_text(text, encoding="utf-8")
+    assert CAT.is_broken(spark, str(tmp_path / "search.json"))
+    assert CAT.read_entries(spark, str(tmp_path / "search.json")).count() == 0
+
+
+def test_a_bad_line_fails_its_source(spark, tmp_path):
+    good = '{"the quay|oslo": [{"snippet": "Pier"}]}'
+    for name, lines in {"search": [good, "", " "], "reviews": [good, "junk"], "maps": [good + " more", good]}.items():
+        (tmp_path / f"{name}.json").write_text("\n".join(lines), encoding="utf-8")
+    found, errors = gathered(spark, CAT.static_catalog(spark, str(tmp_path), one_object_per_line=True))
+    assert {r.source_name for r in found} == {"static_search"} and len(found) == 2
+    assert Counter(r.source_name for r in errors) == {"static_reviews": len(UNITS), "static_maps": len(UNITS)}
+
+
 def test_catalog_roles(spark):
     live = CAT.static_source("live", "maps", spark.createDataFrame([], "key string, pos int, url string, snippet string"))
     roles = CAT.build_catalog(spark, live={"live": live}, live_source="live")
@@ -252,3 +328,31 @@ def test_place_failures_are_reported(spark):
     assert source.rows.count() == 0
     assert {r.match_key: r.error for r in source.errors.collect()} == {
         "a": "boom", "b": "response is not valid JSON", "c": "no stored details for the place", "d": "quota"}
+
+
+@pytest.mark.parametrize("search", [[{"id": "p1"}], "text", 5, {"places": [7]}, {"places": {"id": "p1"}}, {"places": "p1"}, {"places": [None]}, {"places": True}])
+def test_misshapen_searches_fail(spark, search):
+    assert place_rows(spark, DETAILS, search) == ([], ["response does not have the expected shape"])
+
+
+@pytest.mark.parametrize("search", [{"places": 0}, {"places": {}}, {"places": ""}, {"places": None}, {"places": False}])
+def test_searches_with_nothing_in_them_are_no_failure(spark, search):
+    assert place_rows(spark, DETAILS, search) == ([], [])
+
+
+@pytest.mark.parametrize("change", [
+    {"reviews": {"text": "x"}}, {"reviews": ["plain"]}, {"reviews": [None]}, {"reviews": "plain"}, {"reviews": 3}, {"googleMapsUri": 5},
+    {"googleMapsUri": 0}, {"websiteUri": 5}, {"googleMapsUri": [1], "outdoorSeating": None, "reviewSummary": None, "reviews": [{"text": "x"}]},
+])
+def test_misshapen_details_fail(spark, change):
+    assert place_rows(spark, {**DETAILS, **change}) == ([], ["response does not have the expected shape"])
+
+
+@pytest.mark.parametrize(("change", "n"), [
+    ({"reviews": None}, 3), ({"reviews": {}}, 3), ({"reviews": 0}, 3), ({"websiteUri": 0}, 5), ({"websiteUri": 5, "editorialSummary": None}, 4),
+    ({"reviews": [*DETAILS["reviews"][:3], "past the limit"]}, 5),
+    ({"googleMapsUri": 5, "outdoorSeating": None, "reviewSummary": None, "reviews": []}, 1),
+])
+def test_odd_details_that_are_no_failure(spark, change, n):
+    rows, errors = place_rows(spark, {**DETAILS, **change})
+    assert (len(rows), errors) == (n, [])

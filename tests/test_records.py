@@ -65,6 +65,17 @@ def test_many_files_are_numbered_by_path(spark, tmp_path):
     assert len({r.seq for r in rows}) == 54
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    write(folder / "a.csv", ["id", "name", "evidence_text", "expected_label"], [["1", "n1", "t1\nx", "yes"]])
+    write(folder / "b.csv", ["evidence_text", "expected_label", "id, too", "id", "extra", "name"], [["t2", "no", "?", "2", "e", "n2"]])
+    write(folder / "c.csv", ["name"], [["n3"], ["n4"]])
+    write(folder / "d.csv", ["id", "name", "evidence_text", "expected_label"], [])
+    rows = REC.read_records(spark, str(folder)).orderBy("seq").collect()
+    assert [tuple(r)[1:] for r in rows] == [
+        ("1", "n1", "t1\nx", "yes"), ("2", "n2", "t2", "no"), (None, "n3", None, None), (None, "n4", None, None)]
+
+
 def test_bad_rows_are_set_aside(spark):
     frame = spark.createDataFrame([
         (0, "a", "n", "t", "yes"), (1, None, "n", "t", "yes"), (2, "c", "n", "t", "maybe"),
@@ -92,6 +103,22 @@ def test_limit(spark, n):
     assert [tuple(r) for r in got] == [(i * 1500, i) for i in range(min(n, 3000))]
 
 
+@pytest.mark.parametrize("n", [1, 4999, 70_000, 199_999, 200_000])
+def test_limit_of_numbers_all_over_the_range(spark, n):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("seq"))
+    got = limit_records(rows, n)
+    want = sorted(r.seq for r in rows.collect())[:n]
+    assert sorted(r.seq for r in got.collect()) == want
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_limit_with_most_numbers_in_one_place(spark):
+    rows = spark.range(300_000).select(F.col("id").alias("seq")).unionByName(
+        spark.createDataFrame([(-(1 << 62),), (1 << 62,)], "seq long"))
+    got = limit_records(rows, 250_000)
+    assert got.count() == 250_000 and got.agg(F.max("seq")).first()[0] == 249_998
+
+
 def test_limit_at_the_edges_of_a_block(spark):
     rows = spark.range(0, 1_000_000, 512).withColumnRenamed("id", "seq")
     for n in (255, 256, 257, 512, 1000):

@@ -97,7 +97,7 @@ def test_hook_calls_once_and_repairs_once(spark, tmp_path):
         import uuid
 
         def complete(system, user):
-            repair = "Previous response:" in user
+            repair = "You answered:" in user
             word = "again" if repair else "first"
             kind = next(k for k in ("good", "fixed", "never", "broken") if f"kind-{k}" in user)
             open(os.path.join(log, f"{kind}-{word}-{uuid.uuid4().hex}"), "w").close()
@@ -121,3 +121,33 @@ def test_hook_calls_once_and_repairs_once(spark, tmp_path):
     calls = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
     assert calls == sorted(
         ["good-first", "fixed-first", "fixed-again", "never-first", "never-again", "broken-first"] * 5)
+
+
+def test_a_second_run_only_asks_for_what_is_missing(spark, tmp_path):
+    log = str(tmp_path / "log")
+    (tmp_path / "log").mkdir()
+
+    def make():
+        import os
+        import uuid
+
+        def complete(system, user):
+            open(os.path.join(log, uuid.uuid4().hex), "w").close()
+            return "junk" if "odd" in user else '{"label": "yes", "confidence": 0.9, "evidence": [], "reasoning": ""}'
+
+        return complete
+
+    def run(n):
+        state = spark.createDataFrame([(i, "odd" if i % 2 else "even", None) for i in range(n)], STATE)
+        return collect_replies(state, make, path=str(tmp_path / "replies"), partitions=2, waves=3).count()
+
+    calls = lambda: len(list((tmp_path / "log").iterdir()))
+    assert (run(10), calls()) == (15, 15)
+    assert (run(10), calls()) == (15, 15)
+    assert (run(14), calls()) == (21, 21)
+
+
+def test_an_older_error_gives_way(spark):
+    state = spark.createDataFrame([(1, None, "older")], STATE)
+    replies = spark.createDataFrame([], "seq long, attempt int, reply string, call_error string")
+    assert extract_with_repair(state, replies).first().error.startswith("Missing cleaned_text")

@@ -104,19 +104,19 @@ def metrics(spark, rows, threshold=0.6):
 
 
 def test_metrics_core(spark):
-    m = metrics(spark, [("a", "yes", .9, "yes"), ("b", "no", .85, "no"),
-                        ("c", "unknown", .5, "unknown"), ("d", "yes", .55, "no")])
+    m = metrics(spark, [("p", "yes", .7, "yes"), ("q", "yes", .95, "no"), ("r", "yes", .61, "unknown"),
+                        ("s", "no", .4, "yes"), ("t", "no", .8, "no"), ("u", "unknown", .2, "no")])
     assert m == {
-        "accuracy": .75, "precision_yes": .5, "recall_yes": 1.0, "false_positives": 1,
-        "false_negatives": 0, "low_confidence_count": 2, "total_records": 4, "failure_count": 0,
+        "accuracy": 2 / 6, "precision_yes": 1 / 3, "recall_yes": .5, "false_positives": 2,
+        "false_negatives": 1, "low_confidence_count": 2, "total_records": 6, "failure_count": 0,
         "review_queue_count": 0,
     }
 
 
 def test_metrics_failures_count_once(spark):
-    m = metrics(spark, [("a", "yes", .9, "yes"), ("b", None, None, "yes", "failed", "x"),
-                        ("c", "yes", .9, "no", "failed"), ("d", None, None, "no"), ("e", "yes", .9, "yes", "ok", "")])
-    assert (m["total_records"], m["failure_count"], m["accuracy"]) == (5, 4, 1.0)
+    m = metrics(spark, [("p", "no", .9, "no"), ("q", None, None, "no", "failed", "lost"), ("r", "no", .8, "yes", "failed"),
+                        ("s", "unknown", .7, "unknown"), ("t", None, None, "yes"), ("u", "no", .9, "no", "ok", "")])
+    assert (m["total_records"], m["failure_count"], m["accuracy"]) == (6, 4, 1.0)
 
 
 def test_metrics_of_nothing(spark):
@@ -124,15 +124,15 @@ def test_metrics_of_nothing(spark):
 
 
 def test_metrics_without_yes(spark):
-    m = metrics(spark, [("a", "unknown", .3, "unknown"), ("b", "unknown", .3, "unknown")])
-    assert (m["accuracy"], m["precision_yes"], m["recall_yes"], m["low_confidence_count"]) == (1, 0, 0, 2)
-    m = metrics(spark, [("a", "no", .9, "yes"), ("b", "unknown", .9, "yes")])
-    assert (m["accuracy"], m["false_negatives"], m["recall_yes"]) == (0, 2, 0)
+    m = metrics(spark, [("p", "no", .2, "no"), ("q", "unknown", .5, "unknown"), ("r", "no", .9, "unknown")])
+    assert (m["accuracy"], m["precision_yes"], m["recall_yes"], m["low_confidence_count"]) == (2 / 3, 0, 0, 2)
+    m = metrics(spark, [("p", "unknown", .9, "yes"), ("q", "no", .7, "yes"), ("r", "no", .7, "yes")])
+    assert (m["accuracy"], m["false_negatives"], m["recall_yes"]) == (0, 3, 0)
 
 
-@pytest.mark.parametrize(("threshold", "low"), [(.6, 1), (.5, 0)])
+@pytest.mark.parametrize(("threshold", "low"), [(.75, 1), (.7, 0)])
 def test_metrics_threshold_and_unlabelled(spark, threshold, low):
-    rows = [("a", "yes", .55, "yes"), ("b", "yes", .1, None)]
+    rows = [("p", "no", .7, "no"), ("q", "yes", .2, None)]
     assert metrics(spark, rows, threshold)["low_confidence_count"] == low
 
 

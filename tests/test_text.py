@@ -1,8 +1,7 @@
-"""Text functions against fixed cases and against Python on many random texts."""
+"""Text functions against fixed cases, and what must hold for many random texts."""
 
 from __future__ import annotations
 
-import html
 import json
 import random
 import re
@@ -16,19 +15,6 @@ from venuesift.operators.cleaning import clean_evidence, strip_boilerplate
 from pyspark.sql import functions as F
 
 
-def py_normalise(text):
-    lines = re.split("\r\n|\r|\n", text)
-    kept = "\n".join(re.sub("[\t ]+", " ", line).strip() for line in lines)
-    return re.sub("\n\n\n+", "\n\n", kept).strip()
-
-
-def py_boilerplate(text):
-    text = html.unescape(re.sub("<[^>]+>", " ", text)).replace("\xa0", " ")
-    for pattern in (r"^\s*(?:menu|our menu|navigation|skip to content)\s*$", r"^\s*[-=*_]{3,}\s*$"):
-        text = re.sub(pattern, "", text, flags=re.I | re.M)
-    return text
-
-
 PIECES = [
     " ", "  ", "\t", "\n", "\r\n", "\r", "\n\n\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0",
     "\u2003", "\u2028", "\u3000", "MENU", "menu\n", "Our Menu", "NAVIGATION", "skip to content",
@@ -44,9 +30,22 @@ def random_texts():
     return ["".join(rng.choices(PIECES, k=rng.randint(0, 25))) for _ in range(3000)]
 
 
-def test_normalise_matches_python(out_of, random_texts):
+def test_normalised_text_has_its_form(out_of, random_texts):
     got = out_of(X.normalise_whitespace, random_texts)
-    assert got == [py_normalise(t) for t in random_texts]
+    assert out_of(X.normalise_whitespace, got) == got
+    for text, out in zip(random_texts, got):
+        assert out.split() == text.split()
+        assert not any(bad in out for bad in ("\r", "\t", "  ", "\n\n\n"))
+        assert all(line == line.strip() for line in out.split("\n"))
+        assert out == out.strip()
+
+
+@pytest.mark.parametrize(("raw", "out"), [
+    ("a\rb\r\nc", "a\nb\nc"), ("a\n \n\t\n\nb", "a\n\nb"), ("\u3000a \x1c b\x85", "a \x1c b"), ("x\u2028y", "x\u2028y"),
+    ("\n\n a\t\tb \n", "a b"),
+])
+def test_normalise_more_cases(out_of, raw, out):
+    assert out_of(X.normalise_whitespace, [raw]) == [out]
 
 
 def test_normalise_cases(out_of):
@@ -59,15 +58,24 @@ def _frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "i int, t string")
 
 
-def test_boilerplate_matches_python(spark, random_texts):
-    rows = strip_boilerplate(_frame(spark, random_texts), "t", "o").orderBy("i").collect()
-    for text, row in zip(random_texts, rows):
-        assert row.o == py_boilerplate(text), repr(text)
+@pytest.mark.parametrize(("raw", "out"), [
+    ("<b>x</b><i\nclass=a>y", " x  y"), ("a <> b", "a <> b"), ("a < b", "a < b"), ("1 < 2 <b> 3", "1   3"),
+    ("&lt;p&gt; &amp;lt;", "<p> &lt;"), ("&eacute;&#233;&#x41;", "ééA"), ("&copy x &notit; &unknown;", "© x ¬it; &unknown;"),
+    ("top\n MENU \nend", "top\nend"), ("menu", ""), ("Our Menu\nx", "\nx"), ("a\n\u017fkip to content\nb", "a\nb"),
+    ("the menu", "the menu"), ("a\n=====\nb", "a\nb"), ("a\n--\nb", "a\n--\nb"), ("*_*-", ""), ("x ---", "x ---"), ("a&nbsp;b", "a b"),
+])
+def test_boilerplate_cases(spark, raw, out):
+    got = strip_boilerplate(_frame(spark, [raw]), "t", "o").first().o
+    assert got.split() == out.split() and got.replace("\n", "") == out.replace("\n", "")
 
 
-def test_clean_matches_python(spark, random_texts):
+def test_cleaned_text_has_its_form(spark, random_texts):
     rows = clean_evidence(_frame(spark, random_texts), "t", "o").orderBy("i").collect()
-    assert [r.o for r in rows] == [py_normalise(py_boilerplate(t)) for t in random_texts]
+    for text, row in zip(random_texts, rows):
+        assert row.o == row.o.strip() and "\xa0" not in row.o and "\n\n\n" not in row.o
+        if "&" not in text:
+            assert not re.search("<[^>]+>", row.o)
+            assert "".join(row.o.split()) in "".join(text.split()) or "<" in text or re.search("(?i)menu|navig|kip to|[-=*_]{3}", text)
 
 
 def test_clean_cases(spark):
@@ -85,17 +93,15 @@ def test_common_entities_skip_python(spark):
         False] * 4
 
 
-def test_snippet_key_matches_python(out_of, random_texts):
-    expected = [re.sub(r"\s+", " ", t.strip().lower()) for t in random_texts]
-    assert out_of(X.snippet_key, random_texts) == expected
+def test_snippet_key_folds_white_space_and_case(out_of, random_texts):
+    got = out_of(X.snippet_key, random_texts)
+    assert got == [" ".join(t.lower().split()) for t in random_texts]
 
 
 def test_first_sentence(out_of):
-    texts = ["One. Two.", "no stop", "...", "", ".  ", "!? Yes! No", "a" * 200, "." * 130]
-    def python(text):
-        found = re.search(r"[^.!?]+[.!?]?", text)
-        return (found.group() if found else text[:120]).strip()
-    assert out_of(X.first_sentence, texts) == [python(t) for t in texts]
+    cases = {"One. Two.": "One.", "no stop": "no stop", "...": "...", "": "", ".  ": "", "!? Yes! No": "Yes!",
+             "a" * 200: "a" * 200, "." * 130: "." * 120, "x\ny? z": "x\ny?"}
+    assert out_of(X.first_sentence, list(cases)) == list(cases.values())
 
 
 @pytest.mark.parametrize(("raw", "bare"), [
@@ -135,7 +141,7 @@ def test_prompts_hold_the_evidence_verbatim(out_of):
 def test_repair_prompt(spark):
     frame = spark.createDataFrame([("{bad}", "ev {x}")], "r string, e string")
     prompt = frame.select(P.repair_prompt(F.col("r"), F.col("e")).alias("p")).first().p
-    assert prompt.index("Previous response:") < prompt.index("{bad}") < prompt.index("Original evidence:")
+    assert prompt.index("You answered:") < prompt.index("{bad}") < prompt.index("The evidence once more:")
     assert "ev {x}" in prompt and prompt.startswith("Your previous response could not be parsed")
 
 

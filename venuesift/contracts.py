@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 # --- fixed values: labels, statuses, thresholds -----------------------------
 LABELS = ("yes", "no", "unknown")
-STATUSES = ("ok", "flagged", "failed")
 DEFAULT_THRESHOLD = 0.6
 DEFAULT_MAX_REVIEWS = 3
 DEFAULT_REVIEW_CHARS = 300
@@ -88,12 +87,6 @@ EXTRACTION_TYPE = T.StructType([
     T.StructField("reasoning", T.StringType()),
 ])
 
-REQUEST_SCHEMA = T.StructType([
-    T.StructField("name", T.StringType(), False),
-    T.StructField("city", T.StringType(), False),
-    T.StructField("website_url", T.StringType(), True),
-])
-
 # One evidence row of a source, before it is matched to a request. ``key_kind`` says
 # which text of a request ``match_key`` is compared with: "lookup" or "place".
 EVIDENCE_COLUMNS = [

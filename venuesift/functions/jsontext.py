@@ -14,6 +14,11 @@ _ESCAPES = {
 }
 
 
+# Levels read by path, and the least number of characters one more level takes.
+_PLAIN_LEVELS = 5
+_LEVEL_CHARS = len('{"text":')
+
+
 def _quoted(value: Column) -> Column:
     for char, escape in _ESCAPES.items():
         value = F.replace(value, F.lit(char), F.lit(escape))
@@ -40,6 +45,17 @@ def variant_at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def is_nothing(value: Column) -> Column:
+    """True for a missing value, null, false, zero, and an empty text, list or object."""
+    number = ~is_type(value, "STRING") & (F.try_variant_get(value, "$", "double") == 0)
+    return (
+        value.isNull() | is_type(value, "VOID") | F.coalesce(number, F.lit(False))
+        | (is_type(value, "STRING") & (F.try_variant_get(value, "$", "string") == ""))
+        | (is_type(value, "ARRAY") & variant_at(value, "$[0]").isNull())
+        | (is_type(value, "OBJECT<>"))
+    )
+
+
 def strict_json(text: Column) -> Column:
     """The one JSON value the text holds, or null when there is anything else in it.
 
@@ -57,13 +73,27 @@ def strict_json(text: Column) -> Column:
     return F.when(whole, variant_at(wrapped, "$[0]"))
 
 
-def localized_text(value: Column, depth: int = 4) -> Column:
-    """A string, or an object whose ``text`` holds one, up to ``depth`` objects deep."""
+def localized_text(value: Column) -> Column:
+    """A string, or an object whose ``text`` holds one, however many objects deep.
+
+    What is still an object after a few levels is followed step by step; its length bounds the
+    number of steps, because each level is spelled out in it.
+    """
     path = "$"
     found = []
-    for _ in range(depth + 1):
-        level = variant_at(value, path)
-        stripped = X.strip(F.try_variant_get(value, path, "string"))
-        found.append(F.when(is_type(level, "STRING"), F.nullif(stripped, F.lit(""))))
+    for _ in range(_PLAIN_LEVELS):
+        found.append(_own_text(variant_at(value, path)))
         path += ".text"
+    deep = variant_at(value, path)
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(F.to_json(deep)) / _LEVEL_CHARS).cast("int")))
+    inner = F.aggregate(
+        steps, deep,
+        lambda level, _: F.when(is_type(level, "OBJECT"), variant_at(level, "$.text")).otherwise(level),
+    )
+    found.append(F.when(is_type(deep, "OBJECT"), _own_text(inner)).otherwise(_own_text(deep)))
     return F.coalesce(*found)
+
+
+def _own_text(level: Column) -> Column:
+    stripped = X.strip(F.try_variant_get(level, "$", "string"))
+    return F.when(is_type(level, "STRING"), F.nullif(stripped, F.lit("")))

@@ -25,8 +25,8 @@ SYSTEM_PROMPT = (
 _USER_HEAD = "Does this venue have seats outside?\n\n" + C.EVIDENCE_MARKER
 _USER_TAIL = C.EVIDENCE_END_MARKERS[0] + " that follows the schema and nothing else."
 
-_REPAIR_HEAD = C.REPAIR_SENTENCE + ".\n\nPrevious response:\n"
-_REPAIR_MIDDLE = "\n\nOriginal evidence:\n"
+_REPAIR_HEAD = C.REPAIR_SENTENCE + ".\n\nYou answered:\n"
+_REPAIR_MIDDLE = "\n\nThe evidence once more:\n"
 _REPAIR_TAIL = "\n\nSend one JSON object of this form, with no fences or prose:\n" + _SCHEMA
 
 

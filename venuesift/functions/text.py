@@ -39,6 +39,11 @@ COMMON_ENTITIES = {
 _RARE_ENTITY = rf"&(?=[^\t\n\f <&;])(?!(?:{'|'.join(COMMON_ENTITIES)});)"
 
 
+# --- fixed values: fenced blocks of a reply, and what ends a sentence -------
+_FENCE = rf"(?isu)```(?:json)?{_SPACE}*\n?(.*?)\n?```"
+_SENTENCE = r"[^.!?]+[.!?]?"
+
+
 def strip(text: Column) -> Column:
     """Drop white space of any kind at both ends."""
     return F.btrim(text, F.lit(SPACES))
@@ -113,16 +118,14 @@ def entity_slug(name: Column, city: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Inside of the first fenced block, or the trimmed text when there is none."""
-    fence = rf"(?isu)```(?:json)?{_SPACE}*\n?(.*?)\n?```"
     text = strip(text)
-    return F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text)
+    return F.when(text.rlike(_FENCE), strip(F.regexp_extract(text, _FENCE, 1))).otherwise(text)
 
 
 def first_sentence(text: Column) -> Column:
     """Text up to the first full stop, or the head of text that is only punctuation."""
-    sentence = r"[^.!?]+[.!?]?"
     return (
-        F.when(text.rlike("[^.!?]"), strip(F.regexp_extract(text, sentence, 0)))
+        F.when(text.rlike("[^.!?]"), strip(F.regexp_extract(text, _SENTENCE, 0)))
         .otherwise(strip(F.substring(text, 1, 120)))
     )
 

@@ -18,6 +18,50 @@ def _any_of(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [text.contains(word) for word in needed])
 
 
+def rule_flags(
+    low: Column,
+    outdoor_hints: tuple[str, ...] = C.OUTDOOR_HINTS,
+    indoor_hints: tuple[str, ...] = C.INDOOR_HINTS,
+    explicit_no: tuple[str, ...] = C.EXPLICIT_NO_PHRASES,
+) -> dict[str, Column]:
+    """What the rules ask of lower-case evidence. No phrase holds a line break, so that a flag
+    of a text is the disjunction of the flags of its lines."""
+    return {
+        "outdoor": _any_of(low, outdoor_hints),
+        "indoor": _any_of(low, indoor_hints),
+        "explicit_no": _any_of(low, explicit_no),
+        "exception": low.contains(C.DENIAL_EXCEPTION),
+        "denial": _any_of(low, C.DENIAL_PHRASES),
+        "denied_place": _any_of(low, C.DENIED_PLACE_HINTS),
+        "conditional": low.contains(C.CONDITIONAL_HINT),
+    }
+
+
+def verdict(flag: dict[str, Column], repair: Column) -> Column:
+    """Struct of label and confidence."""
+    # --- fixed values: order of the rules, their labels and confidences -----
+    return (
+        F.when(repair, _verdict("unknown", 0.5))
+        .when(flag["exception"] & flag["denial"] & flag["denied_place"], _verdict("unknown", 0.45))
+        .when(flag["explicit_no"], _verdict("no", 0.91))
+        .when(flag["indoor"] & ~flag["outdoor"], _verdict("no", 0.91))
+        .when(flag["outdoor"] & ~flag["indoor"], _verdict("yes", 0.92))
+        .when(flag["conditional"], _verdict("unknown", 0.55))
+        .otherwise(_verdict("unknown", 0.35))
+    )
+
+
+def reason(label: Column, confidence: Column) -> Column:
+    before, after = C.KEYWORD_REASON
+    return F.when(confidence == 0.5, F.lit(C.REPAIR_REASON)).otherwise(
+        F.concat(F.lit(before), label, F.lit(after))
+    )
+
+
+def quotes(quote: Column) -> Column:
+    return F.when(quote != "", F.array(quote)).otherwise(F.array().cast("array<string>"))
+
+
 def keyword_classify(
     df: DataFrame,
     text_col: str,
@@ -35,42 +79,21 @@ def keyword_classify(
     """
     whole = F.col(text_col)
     evidence = X.prompt_evidence(whole) if is_prompt else X.cut_evidence(whole)
-    low, outdoor, indoor = F.col("_low"), F.col("_outdoor"), F.col("_indoor")
-
-    contradictory = (
-        low.contains(C.DENIAL_EXCEPTION)
-        & _any_of(low, C.DENIAL_PHRASES)
-        & _any_of(low, C.DENIED_PLACE_HINTS)
-    )
-    # --- fixed values: order of the rules, their labels and confidences -----
-    label_and_confidence = (
-        F.when(whole.contains(C.REPAIR_SENTENCE), _verdict("unknown", 0.5))
-        .when(contradictory, _verdict("unknown", 0.45))
-        .when(_any_of(low, explicit_no), _verdict("no", 0.91))
-        .when(indoor & ~outdoor, _verdict("no", 0.91))
-        .when(outdoor & ~indoor, _verdict("yes", 0.92))
-        .when(low.contains(C.CONDITIONAL_HINT), _verdict("unknown", 0.55))
-        .otherwise(_verdict("unknown", 0.35))
-    )
-    label = F.col("_verdict.label")
-    confidence = F.col("_verdict.confidence")
-    quote = F.col("_quote")
-    quotes = F.when(quote != "", F.array(quote)).otherwise(F.array().cast("array<string>"))
-    before, after = C.KEYWORD_REASON
-    reason = F.when(confidence == 0.5, F.lit(C.REPAIR_REASON)).otherwise(
-        F.concat(F.lit(before), label, F.lit(after))
-    )
+    flag = rule_flags(F.col("_low"), outdoor_hints, indoor_hints, explicit_no)
+    kept = {name: flag[name] for name in ("outdoor", "indoor")}  # each is asked for twice
+    flag |= {name: F.col(f"_{name}") for name in kept}
+    label, confidence = F.col("_verdict.label"), F.col("_verdict.confidence")
     return (
         df.withColumn("_evidence", evidence)
         .withColumn("_low", F.lower(F.col("_evidence")))
-        .withColumns({"_outdoor": _any_of(low, outdoor_hints), "_indoor": _any_of(low, indoor_hints)})
-        .withColumn("_verdict", label_and_confidence)
+        .withColumns({f"_{name}": column for name, column in kept.items()})
+        .withColumn("_verdict", verdict(flag, whole.contains(C.REPAIR_SENTENCE)))
         .withColumn("_quote", F.when(label != "unknown", X.first_sentence(F.col("_evidence"))))
         .withColumn(
             out,
             F.struct(
                 label.alias("label"), confidence.alias("confidence"),
-                quotes.alias("evidence"), reason.alias("reasoning"),
+                quotes(F.col("_quote")).alias("evidence"), reason(label, confidence).alias("reasoning"),
             ),
         )
         .drop("_evidence", "_low", "_outdoor", "_indoor", "_verdict", "_quote")
@@ -91,5 +114,5 @@ def keyword_extract(df: DataFrame) -> DataFrame:
         "evidence": F.when(ready, F.col("extraction.evidence"))
         .otherwise(F.array().cast("array<string>")),
         "reasoning": F.when(ready, F.col("extraction.reasoning")),
-        "error": F.when(~ready, F.coalesce(F.col("error"), F.lit(C.ERROR_NO_CLEANED_TEXT))),
+        "error": F.when(~ready, F.lit(C.ERROR_NO_CLEANED_TEXT)),
     }).drop("extraction")

@@ -12,33 +12,24 @@ from pyspark.sql import functions as F
 from venuesift import contracts as C
 from venuesift.functions import rules as R
 from venuesift.functions import text as X
+from venuesift.operators.flat import block_text
 from venuesift.operators.ordering import rank_rows
-from venuesift.operators.skew import HotKeys, salted_join
 
 MATCH = ["key_kind", "match_key"]
 
-# A Spark row cannot pass 2 GB, and the row of a group holds its evidence several times
-# over (list, combined text, cleaned text, JSON). Groups with more than this stay flat.
-MAX_CELL_BYTES = 64 * 1024 * 1024
 
+def isolate_failures(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Evidence of sources that worked, and one error for each group and source that did not.
 
-def isolate_failures(rows: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
-    """Evidence of sources that worked, and one error for each key of one that did not.
-
-    An entry without a snippet spoils all that its source has for that key; other
-    keys and other sources are untouched.
+    An entry without a snippet spoils all that its source has for that group; other
+    groups and other sources are untouched.
     """
     errors = (
-        rows.filter(F.col("snippet").isNull())
-        .select("key_kind", "match_key", "source_ord", "source_name").distinct()
+        rows.filter(F.col("snippet").isNull()).select(*group, "source_ord", "source_name").distinct()
         .withColumn("error", F.lit(C.ERROR_MISSING_SNIPPET))
     )
-    keys = [*MATCH, "source_ord"]
-    good = salted_join(
-        rows, errors.select(*keys), keys, hot,
-        salt_from=["item_pos", "snippet"], how="left_anti",
-    )
-    return good, errors
+    keys = [*group, "source_ord"]
+    return rows.join(errors.select(*keys), keys, "left_anti"), errors
 
 
 def match_keys(units: DataFrame) -> DataFrame:
@@ -51,13 +42,12 @@ def match_keys(units: DataFrame) -> DataFrame:
     return units.select("name", "city", F.inline(kinds))
 
 
-def gather_sources(units: DataFrame, rows: DataFrame, hot: HotKeys) -> DataFrame:
-    """Evidence of all sources for each venue, in one equi-join; misses give no rows."""
-    matched = salted_join(
-        rows, match_keys(units), MATCH, hot,
-        salt_from=["source_ord", "item_pos", "snippet"], how="inner",
-    )
-    return matched.drop(*MATCH)
+def gather_sources(units: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of all sources for each venue, in one equi-join; misses give no rows.
+
+    A key with very many rows is split by Spark's adaptive skew join.
+    """
+    return rows.join(match_keys(units), MATCH).drop(*MATCH)
 
 
 def match_errors(units: DataFrame, errors: DataFrame) -> DataFrame:
@@ -67,18 +57,18 @@ def match_errors(units: DataFrame, errors: DataFrame) -> DataFrame:
 def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:
     """Of equal snippets in a group the first in source order, then item order, stays.
 
-    A minimum is combined before the shuffle, so a snippet with very many copies sends one
-    row from each task. The grouping key is a digest; the text crosses once. The size of
-    a snippet is kept beside it, so that sizes are summed without reading texts.
+    The first is found by digests and places alone, which a hash aggregation combines before its
+    shuffle; the texts then cross once, in the join that fetches the rows of the first. Places
+    are unique in a group; rows that share one are cut to the smallest.
     """
     place = ["source_ord", "item_pos"]
-    payload = place + [c for c in evidence.columns if c not in group and c not in place]
     digest = F.sha2(X.snippet_key(F.col("snippet")), 256)
-    return (
-        evidence.groupBy(*group, digest.alias("_digest"))
-        .agg(F.min(F.struct(*payload)).alias("_first"))
-        .select(*group, "_first.*", F.octet_length("_first.snippet").alias("snippet_bytes"))
-    )
+    keyed = evidence.withColumn("_digest", digest)
+    first = keyed.groupBy(*group, "_digest").agg(F.min(F.struct(*place)).alias("_first"))
+    keys = [*group, "_digest", *place]
+    met = keyed.join(first.select(*group, "_digest", "_first.*"), keys, "left_semi")
+    others = [c for c in evidence.columns if c not in [*group, *place]]
+    return met.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*group, *place, "_row.*")
 
 
 def with_rank_columns(evidence: DataFrame) -> DataFrame:
@@ -98,17 +88,8 @@ def rank_evidence(deduped: DataFrame, group: list[str]) -> DataFrame:
     return rank_rows(with_rank_columns(deduped), group, RANK_ORDER)
 
 
-def oversize_groups(deduped: DataFrame, group: list[str], max_bytes: int) -> DataFrame:
-    """Groups whose evidence cannot be held in one cell."""
-    sizes = deduped.groupBy(*group).agg(F.sum("snippet_bytes").alias("bytes"))
-    return sizes.filter(F.col("bytes") > max_bytes)
-
-
 def assemble_evidence(deduped: DataFrame, group: list[str]) -> DataFrame:
-    """One row for each group with its evidence as a ranked array.
-
-    Only for groups known to fit a cell; see ``oversize_groups``.
-    """
+    """One row for each group with its evidence as a ranked array: the form of an export."""
     item = F.struct(*RANK_ORDER, "source_type", "url", "snippet", "reliability")
     ranked = with_rank_columns(deduped).groupBy(*group).agg(
         F.array_sort(F.collect_list(item)).alias("items")
@@ -136,12 +117,8 @@ def collect_errors(errors: DataFrame, group: list[str]) -> DataFrame:
 
 def combine_evidence(items: Column) -> Column:
     """Blocks of ``[kind] url`` and snippet with an empty line between them."""
-
-    def block(i: Column) -> Column:
-        url = F.when(i.url != "", F.concat(F.lit(" "), i.url)).otherwise("")
-        return F.concat(F.lit("["), i.source_type, F.lit("]"), url, F.lit("\n"), i.snippet)
-
-    return F.array_join(F.transform(items, block), "\n\n")
+    blocks = F.transform(items, lambda i: block_text(i.source_type, i.url, i.snippet))
+    return F.array_join(blocks, "\n\n")
 
 
 def provenance(items: Column) -> dict[str, Column]:
@@ -153,9 +130,9 @@ def provenance(items: Column) -> dict[str, Column]:
     }
 
 
-def no_evidence_gate(df: DataFrame) -> DataFrame:
-    """Set error, status and review flag of rows whose ``items`` are missing or empty."""
-    empty = F.coalesce(F.size("items"), F.lit(0)) <= 0
+def no_evidence_gate(df: DataFrame, found: Column) -> DataFrame:
+    """Set error, status and review flag of rows for which nothing was ``found``."""
+    empty = ~F.coalesce(found, F.lit(False))
     return df.withColumns({
         "error": F.when(empty, F.lit(C.ERROR_NO_EVIDENCE)),
         "validation_status": F.when(empty, F.lit("failed")),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from venuesift import contracts as C
 from venuesift.functions import rules as R
-from venuesift.operators.skew import find_hot_keys, salted_join
 
 
 def expected_labels(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFrame:
@@ -21,8 +20,7 @@ def expected_labels(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFra
 def join_expected(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFrame:
     """Attach to each row the label that counts for its id."""
     labels = expected_labels(df, id_col, seq_col)
-    hot = find_hot_keys(df, [id_col])
-    return salted_join(df, labels, [id_col], hot, salt_from=[seq_col], how="left")
+    return df.join(labels, id_col, "left")
 
 
 def evaluate(

@@ -7,33 +7,41 @@ from pyspark.sql import functions as F
 
 from venuesift.session import cut_lineage
 
-# Rows are counted by blocks of 131,072 sequence numbers.
-_BLOCK_BITS = 17
+#: Blocks that are counted at once, and rows of the last block that are sorted.
+_BLOCKS, _LAST_ROWS = 1 << 16, 1 << 17
 
 
 def limit_records(df: DataFrame, n: int, seq_col: str = "seq") -> DataFrame:
     """The first ``n`` rows in input order; ``seq_col`` must be unique.
 
-    A plain top-n would send up to ``n`` whole rows of every task to one task. Here the counts
-    of blocks of sequence numbers find the block with the boundary: earlier blocks pass a
-    filter where they are, and only rows of the boundary block are sorted.
+    A plain top-n would send up to ``n`` whole rows of every task to one task. Here the range of
+    sequence numbers is cut into at most 65,536 blocks, whose counts find the block with the
+    boundary; that block is cut again until few rows are left in it. Earlier blocks pass a filter where
+    they are, and only rows of the last block are sorted.
     """
     if n < 0:
         raise ValueError("limit must not be negative")
     if n == 0:
         return df.limit(0)
 
-    block = F.shiftright(F.col(seq_col), _BLOCK_BITS)
-    counts = df.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.select("block", "n", F.sum("n").over(Window.orderBy("block")).alias("upto"))
-    edge = (
-        running.filter(F.col("upto") >= n).orderBy("block")
-        .select("block", (F.col("upto") - F.col("n")).alias("before")).first()
-    )
-    if edge is None:
+    seq = F.col(seq_col)
+    low, high, inside = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
+    if inside <= n:
         return df
-    head = df.filter(block < edge.block)
-    tail = df.filter(block == edge.block).orderBy(seq_col).limit(n - edge.before)
+    before = 0
+    while inside > _LAST_ROWS and low < high:
+        shift = max(0, (high - low).bit_length() - _BLOCKS.bit_length() + 2)
+        counts = (
+            df.filter(seq.between(low, high)).groupBy(F.shiftright(seq, shift).alias("block"))
+            .agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65,536 pairs of numbers
+        )
+        for block, inside in sorted(map(tuple, counts)):
+            if before + inside >= n:
+                low, high = max(low, block << shift), min(high, ((block + 1) << shift) - 1)
+                break
+            before += inside
+    head = df.filter(seq < low)
+    tail = df.filter(seq.between(low, high)).orderBy(seq).limit(n - before)
     return head.unionByName(tail)
 
 

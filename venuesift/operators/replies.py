@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,7 @@ from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions import prompts as P
 from venuesift.functions import text as X
-from venuesift.session import cut_lineage
+from venuesift.session import cut_lineage, new_table_path
 
 _NUMBER_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
@@ -96,7 +97,7 @@ def extract_with_repair(df: DataFrame, replies: DataFrame, key: str = "seq") ->
         .when(ready & ~first_failed & second_ok, F.col("_try2.parsed.extraction"))
     )
     error = (
-        F.when(~ready, F.coalesce(F.col("error"), F.lit(C.ERROR_NO_CLEANED_TEXT)))
+        F.when(~ready, F.lit(C.ERROR_NO_CLEANED_TEXT))
         .when(first_failed, F.col("_try1.call_error"))
         .when(first_ok, F.lit(None).cast("string"))
         .when(second_failed, F.col("_try2.call_error"))
@@ -152,19 +153,52 @@ def call_model(
     return prompts.select(key, "prompt").mapInPandas(answer, schema)
 
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _call_missing(
+    prompts: DataFrame, make_complete: Callable[[], Complete], attempt: int, key: str, path: str,
+    partitions: int | None, waves: int,
+) -> DataFrame:
+    """The replies of one attempt; keys that ``path`` already has are not asked again."""
+    spark = prompts.sparkSession
+    folder = f"{path}/{attempt}"
+    schema = call_model(prompts, make_complete, attempt, key).schema
+    have = _stored(spark, folder, schema).select(key)
+    missing = prompts.join(have, key, "left_anti")
+    for wave in range(waves):
+        asked = missing.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave) if waves > 1 else missing
+        if partitions is not None:
+            asked = asked.repartition(partitions, key)
+        call_model(asked, make_complete, attempt, key).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
 def collect_replies(
-    df: DataFrame, make_complete: Callable[[], Complete], key: str = "seq"
+    df: DataFrame,
+    make_complete: Callable[[], Complete],
+    key: str = "seq",
+    path: str | None = None,
+    partitions: int | None = None,
+    waves: int = 1,
 ) -> DataFrame:
     """Reply table of both passes for the rows of ``df`` that have cleaned text.
 
-    Each pass is written to the shared folder before it is used, so that a lost
-    executor or a second consumer does not call the model again for finished rows.
+    The table at ``path`` is keyed by (key, attempt). A job that is started again with the same
+    ``path`` only asks for what is not there; calls are kept after each of ``waves`` parts of the
+    keys. Calls run one after another in each partition: as many at once as ``df`` has
+    partitions that run, or as ``partitions`` says.
     """
+    path = path or new_table_path(df.sparkSession, "replies")
     ready = df.filter(F.col("cleaned_text").isNotNull()).select(key, "cleaned_text")
-    first = cut_lineage(call_model(
-        ready.select(key, P.user_prompt(F.col("cleaned_text")).alias("prompt")),
-        make_complete, 1, key,
-    ), "replies")
+    prompts = ready.select(key, P.user_prompt(F.col("cleaned_text")).alias("prompt"))
+    first = _call_missing(prompts, make_complete, 1, key, path, partitions, waves)
     unparsed = (
         parse_response(first.filter(F.col("call_error").isNull()), "reply")
         .filter(~F.col("parsed.schema_ok"))
@@ -173,19 +207,19 @@ def collect_replies(
     again = ready.join(unparsed, key).select(
         key, P.repair_prompt(F.col("reply"), F.col("cleaned_text")).alias("prompt")
     )
-    second = cut_lineage(call_model(again, make_complete, 2, key), "replies")
+    second = _call_missing(again, make_complete, 2, key, path, partitions, waves)
     return first.unionByName(second)
 
 
-def hook_extract(make_complete: Callable[[], Complete], key: str = "seq"):
+def hook_extract(make_complete: Callable[[], Complete], key: str = "seq", **options):
     """Extraction stage that calls a model; takes the place of the keyword stage.
 
     The cleaned rows are written first: both passes and the final join read them, and all
-    must see the same keys.
+    must see the same keys. ``options`` are those of ``collect_replies``.
     """
 
     def extract(df: DataFrame) -> DataFrame:
         rows = cut_lineage(df, "cleaned")
-        return extract_with_repair(rows, collect_replies(rows, make_complete, key), key)
+        return extract_with_repair(rows, collect_replies(rows, make_complete, key, **options), key)
 
     return extract

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from venuesift import contracts as C
 from venuesift.operators.classify import keyword_extract
@@ -19,6 +20,14 @@ from venuesift.sources import sinks
 Extract = Callable[[DataFrame], DataFrame]
 
 
+def _stages(seeds: DataFrame, threshold: float, extract: Extract) -> DataFrame:
+    """Clean, extract, validate; rows without text (rejected ones) get no cleaned text either."""
+    cleaned = clean_evidence(seeds, "raw_text").withColumn(
+        "cleaned_text", F.when(F.col("raw_text").isNotNull(), F.col("cleaned_text"))
+    )
+    return validate_predictions(extract(cleaned), threshold)
+
+
 def process_records(
     records: DataFrame,
     *,
@@ -38,8 +47,7 @@ def process_records(
         valid = limit_records(valid, limit)
     if spread is not None:
         valid = valid.repartition(spread, "seq")
-    cleaned = clean_evidence(REC.seed_state(valid), "raw_text")
-    return validate_predictions(extract(cleaned), threshold)
+    return _stages(REC.seed_state(valid), threshold, extract)
 
 
 def run_job(
@@ -54,20 +62,28 @@ def run_job(
 ) -> DataFrame:
     """Write results, review queue, rejected rows and summary below ``out_dir``; return the summary.
 
-    The working rows are written once, without the texts, and the outputs are made from
-    that table: no stage runs twice, also when executors are lost between outputs.
+    Rows are checked once. The valid go through the stages and are written without their texts, the
+    rejected beside them as they came, in one pass over the input; all outputs are made from that
+    table. A limit takes further passes to find its boundary, and one for the rejected rows.
     """
-    spark = records.sparkSession
-    state = process_records(
-        records, threshold=threshold, limit=limit, extract=extract, spread=spread
-    )
+    spark = configure(records.sparkSession)
+    checked = REC.check_records(records)
+    valid = F.col("reject_reason").isNull()
+    if limit is not None:
+        checked = limit_records(checked.filter(valid), limit).unionByName(checked.filter(~valid))
+    if spread is not None:
+        checked = checked.repartition(spread, "seq")
+    as_read = F.when(~valid, F.struct(*checked.columns))
+    tagged = checked.withColumns({"rejected": as_read, "evidence_text": F.when(valid, F.col("evidence_text"))})
+    state = _stages(REC.seed_state(tagged, keep=("rejected",)), threshold, extract)
     state.drop("raw_text", "cleaned_text").write.mode("overwrite").parquet(f"{out_dir}/state")
-    saved = spark.read.parquet(f"{out_dir}/state")
+    written = spark.read.parquet(f"{out_dir}/state")
+    saved = written.filter(F.col("rejected").isNull()).drop("rejected")
 
     results, queue = sinks.results_rows(saved), sinks.review_queue(saved)
     results.write.mode("overwrite").parquet(f"{out_dir}/results")
     queue.write.mode("overwrite").parquet(f"{out_dir}/review_queue")
-    REC.rejected_records(records).write.mode("overwrite").parquet(f"{out_dir}/rejected")
+    written.filter(F.col("rejected").isNotNull()).select("rejected.*").write.mode("overwrite").parquet(f"{out_dir}/rejected")
     if csv:
         sinks.write_csv(results, f"{out_dir}/results_csv")
         sinks.write_csv(queue, f"{out_dir}/review_queue_csv")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
 from venuesift.functions import text as X
 from venuesift.operators import merging as M
-from venuesift.operators.classify import keyword_extract
 from venuesift.operators.cleaning import clean_evidence
-from venuesift.operators.skew import find_hot_keys, salted_join
+from venuesift.operators.flat import keyword_decisions
 from venuesift.operators.validation import validate_predictions
 from venuesift.plans.batch import Extract
-from venuesift.session import configure, new_table_path
+from venuesift.session import configure, cut_lineage, new_table_path
+from venuesift.sources import requests as REQ
 from venuesift.sources import sinks
 from venuesift.sources.catalog import (
     EvidenceSource,
@@ -23,7 +23,6 @@ from venuesift.sources.catalog import (
 )
 
 VENUE = ["name", "city"]
-ERROR_OVERSIZE = "Evidence is too large for one cell; it is kept in the evidence table"
 
 
 def venues(requests: DataFrame) -> DataFrame:
@@ -34,60 +33,81 @@ def venues(requests: DataFrame) -> DataFrame:
 def matched_evidence(
     asked: DataFrame, catalog: dict[str, EvidenceSource]
 ) -> tuple[DataFrame, DataFrame]:
-    """Evidence of each venue from all sources, and the errors of its sources."""
-    listed = union_sources(catalog)
-    hot = find_hot_keys(listed, M.MATCH)
-    rows, errors = M.isolate_failures(listed, hot)
+    """Evidence of each venue from all sources, and the errors of its sources.
+
+    The sources are read once: what they have for the asked keys is written, and evidence and
+    errors come from that table.
+    """
+    rows = cut_lineage(M.gather_sources(asked, union_sources(catalog)), "matched")
+    evidence, errors = M.isolate_failures(rows, VENUE)
     reported = union_errors(catalog)
     if reported is not None:
-        errors = errors.unionByName(reported)
-    matched = M.match_errors(asked, errors)
+        errors = errors.unionByName(M.match_errors(asked, reported))
     failed = failed_sources(catalog, asked)
-    return (
-        M.gather_sources(asked, rows, hot),
-        matched if failed is None else matched.unionByName(failed),
-    )
+    return evidence, errors if failed is None else errors.unionByName(failed)
 
 
 def gather_state(
-    requests: DataFrame, evidence: DataFrame, errors: DataFrame,
-    max_cell_bytes: int = M.MAX_CELL_BYTES,
+    asked: DataFrame, ranked: DataFrame, errors: DataFrame, threshold: float, extract: Extract | None
 ) -> DataFrame:
-    """One working row for each venue: combined text, provenance, errors, gate.
+    """One decided row for each venue: prediction, errors, gate.
 
-    ``venue`` is a one-column key of the row, for stages that need one (the model hook).
+    The keyword rules decide from the ranked rows as they are, a venue of any size. With
+    ``extract`` (a model) the combined text of a venue is put into one prompt; such rows have
+    ``venue`` as a key, and venues without evidence do not reach the model.
     """
-    oversize = M.oversize_groups(evidence, VENUE, max_cell_bytes)
-    # Few groups can be this large; Spark broadcasts the list if it is small when it runs.
-    fitting = evidence.join(oversize.select(*VENUE), VENUE, "left_anti")
-    rows = (
-        venues(requests)
-        .join(M.assemble_evidence(fitting, VENUE), VENUE, "left")
-        .join(M.collect_errors(errors, VENUE), VENUE, "left")
-        .join(oversize.select(*VENUE, F.lit(True).alias("_oversize")), VENUE, "left")
+    counted = ranked.groupBy(*VENUE).agg(F.count(F.lit(1)).alias("found"))
+    told = M.collect_errors(errors, VENUE)
+    rows = M.no_evidence_gate(asked.join(counted, VENUE, "left"), F.col("found") > 0).drop("found")
+    stopped = rows.filter("needs_review").withColumns({
+        "prediction": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"),
+        "evidence": F.array().cast("array<string>"), "reasoning": F.lit(None).cast("string"),
+    })
+    if extract is None:
+        open_rows = keyword_decisions(ranked, VENUE)
+    else:
+        key = F.sha2(F.concat_ws("|", F.length("name"), "name", "city"), 256)
+        texts = M.assemble_evidence(ranked, VENUE).select(
+            *VENUE, key.alias("venue"), M.combine_evidence(F.col("items")).alias("raw_text"),
+            F.lit(None).cast("string").alias("error"),
+        )
+        open_rows = extract(clean_evidence(texts, "raw_text")).drop("venue", "raw_text", "cleaned_text")
+    decided = validate_predictions(
+        open_rows.withColumns({"validation_status": F.lit(None).cast("string"), "needs_review": F.lit(False)}), threshold
     )
-    empty = F.array().cast("array<string>")
-    gated = M.no_evidence_gate(rows).withColumn(
-        "error", F.when(F.col("_oversize"), F.lit(ERROR_OVERSIZE)).otherwise(F.col("error"))
+    return stopped.unionByName(decided).join(told, VENUE, "left").withColumn(
+        "gather_errors", F.coalesce("gather_errors", F.array().cast("array<string>"))
     )
-    has_items = F.size("items") > 0
-    venue = F.sha2(F.concat_ws("|", F.length("name"), "name", "city"), 256)
-    return gated.withColumns({
-        "venue": venue,
-        "raw_text": F.when(has_items, M.combine_evidence(F.col("items"))),
-        "gather_errors": F.coalesce("gather_errors", empty),
-        **{name: F.coalesce(c, empty) for name, c in M.provenance(F.col("items")).items()},
-    }).drop("items", "_oversize")
-
-
-def decide(
-    state: DataFrame, *, threshold: float = C.DEFAULT_THRESHOLD, extract: Extract = keyword_extract
+
+
+def decided_venues(
+    asked: DataFrame,
+    catalog: dict[str, EvidenceSource],
+    threshold: float,
+    extract: Extract | None,
+    evidence_path: str,
+    venues_path: str,
 ) -> DataFrame:
-    """Clean, extract and validate; rows stopped by the gate have no text and pass through."""
-    cleaned = clean_evidence(state, "raw_text").withColumn(
-        "cleaned_text", F.when(F.col("raw_text").isNotNull(), F.col("cleaned_text"))
+    """Write the ranked evidence of the asked venues, and from it one decided row for each."""
+    spark = configure(asked.sparkSession)
+    evidence, errors = matched_evidence(asked, catalog)
+    M.rank_evidence(M.dedup_evidence(evidence, VENUE), VENUE).write.mode("overwrite").parquet(evidence_path)
+    state = gather_state(asked, spark.read.parquet(evidence_path), errors, threshold, extract)
+    sinks.lists_as_json(state, ["evidence", "gather_errors"]).write.mode("overwrite").parquet(venues_path)
+    return spark.read.parquet(venues_path)
+
+
+def attach_requests(requests: DataFrame, decided: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Result rows with ``seq``: the decision of its venue and its evidence for each request.
+
+    The lists of a venue are made once, then joined to the requests that ask for it.
+    """
+    lists = M.assemble_evidence(ranked, VENUE).withColumns(M.provenance(F.col("items"))).drop("items")
+    listed = sinks.lists_as_json(decided.join(lists, VENUE, "left"), sinks.PROVENANCE_LISTS)
+    asked = requests.select("seq", *VENUE).withColumn(
+        "restaurant_id", X.entity_slug(F.col("name"), F.col("city"))
     )
-    return validate_predictions(extract(cleaned), threshold)
+    return asked.join(listed, VENUE)
 
 
 def process_requests(
@@ -95,31 +115,16 @@ def process_requests(
     catalog: dict[str, EvidenceSource],
     *,
     threshold: float = C.DEFAULT_THRESHOLD,
-    extract: Extract = keyword_extract,
-    max_cell_bytes: int = M.MAX_CELL_BYTES,
-    evidence_path: str | None = None,
+    extract: Extract | None = None,
 ) -> DataFrame:
-    """Result rows of all requests, with ``seq``, which must be unique in ``requests``.
-
-    Sources, merge and decision run once for each venue. The decisions are then joined to
-    the requests, where a venue that very many requests ask for is salted. The distinct
-    evidence is written first: several steps read it, and it keeps the whole evidence of
-    venues that are too large for one result row.
-    """
-    spark = configure(requests.sparkSession)
-    evidence, errors = matched_evidence(venues(requests), catalog)
-    path = evidence_path or new_table_path(spark, "evidence")
-    M.dedup_evidence(evidence, VENUE).write.mode("overwrite").parquet(path)
-    state = gather_state(requests, spark.read.parquet(path), errors, max_cell_bytes)
-    decided = sinks.lists_as_json(decide(state, threshold=threshold, extract=extract))
-
-    asked = requests.select("seq", *VENUE).withColumn(
-        "restaurant_id", X.entity_slug(F.col("name"), F.col("city"))
-    )
-    return salted_join(
-        asked, decided.drop("venue", "raw_text", "cleaned_text"), VENUE,
-        find_hot_keys(requests, VENUE), salt_from=["seq"], how="left",
+    """Result rows of all valid requests, with ``seq``, which must be unique in ``requests``."""
+    spark = requests.sparkSession
+    valid = REQ.validate_requests(requests)
+    evidence_path = new_table_path(spark, "evidence")
+    decided = decided_venues(
+        venues(valid), catalog, threshold, extract, evidence_path, new_table_path(spark, "venues")
     )
+    return attach_requests(valid, decided, spark.read.parquet(evidence_path))
 
 
 def run_gather_job(
@@ -128,22 +133,40 @@ def run_gather_job(
     out_dir: str,
     *,
     threshold: float = C.DEFAULT_THRESHOLD,
-    extract: Extract = keyword_extract,
-    max_cell_bytes: int = M.MAX_CELL_BYTES,
+    extract: Extract | None = None,
     csv: bool = False,
 ) -> DataFrame:
-    """Write evidence, results and review queue below ``out_dir``; return the results."""
+    """Write the tables of a job below ``out_dir``; return the results.
+
+    ``evidence`` holds ranked rows, ``venues`` a decision for each venue, ``requests`` who asked for
+    what, ``rejected`` the requests that cannot be answered. Results and review queue are these
+    tables joined; only an export as CSV writes the lists of a venue for each request.
+    """
     spark = requests.sparkSession
-    rows = process_requests(
-        requests, catalog, threshold=threshold, extract=extract,
-        max_cell_bytes=max_cell_bytes, evidence_path=f"{out_dir}/evidence",
+    checked = REQ.check_requests(requests)
+    checked.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{out_dir}/rejected")
+    valid = checked.filter(F.col("reject_reason").isNull()).select("seq", *VENUE)
+    valid.write.mode("overwrite").parquet(f"{out_dir}/requests")
+    decided_venues(
+        venues(spark.read.parquet(f"{out_dir}/requests")), catalog, threshold, extract,
+        f"{out_dir}/evidence", f"{out_dir}/venues",
     )
-    rows.write.mode("overwrite").parquet(f"{out_dir}/state")
-    saved = spark.read.parquet(f"{out_dir}/state")
-    results, queue = sinks.gather_results_rows(saved), sinks.gather_review_queue(saved)
-    results.write.mode("overwrite").parquet(f"{out_dir}/results")
-    queue.write.mode("overwrite").parquet(f"{out_dir}/review_queue")
     if csv:
-        sinks.write_csv(results, f"{out_dir}/results_csv")
-        sinks.write_csv(queue, f"{out_dir}/review_queue_csv")
-    return spark.read.parquet(f"{out_dir}/results")
+        for name, rows in (("results", job_results(spark, out_dir)), ("review_queue", job_review_queue(spark, out_dir))):
+            sinks.write_csv(rows, f"{out_dir}/{name}_csv")
+    return job_results(spark, out_dir)
+
+
+def _joined(spark: SparkSession, out_dir: str) -> DataFrame:
+    tables = (spark.read.parquet(f"{out_dir}/{name}") for name in ("requests", "venues", "evidence"))
+    return attach_requests(*tables)
+
+
+def job_results(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The results of a job that has run, in request order."""
+    return sinks.gather_results_rows(_joined(spark, out_dir))
+
+
+def job_review_queue(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Results for people to look at."""
+    return sinks.gather_review_queue(_joined(spark, out_dir))

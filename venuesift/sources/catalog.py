@@ -6,12 +6,13 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions import rules as R
+from venuesift.functions.text import strip
 
 _ENTRY_SCHEMA = "key string, pos int, url string, snippet string"
 _BAD_FILE = "catalog is not valid JSON"
@@ -42,12 +43,28 @@ def _read_text(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
         return None
 
 
-def is_broken(spark: SparkSession, path: str) -> bool:
-    """True when a file that should hold one JSON object does not."""
-    text = _read_text(spark, path, whole=True)
+def _object_text(value: Column) -> Column:
+    """The text of the one JSON object in ``value``, null when there is anything else in it.
+
+    As in ``jsontext.strict_json`` a digest at the end of an array around the text shows that the
+    parser went through the whole of it; lists of texts also hold catalogs too large for a variant.
+    """
+    digest = F.sha2(value, 256)
+    parts = F.from_json(F.concat(F.lit("["), value, F.lit(',"'), digest, F.lit('"]')), "array<string>")
+    whole = (F.size(parts) == 2) & (F.element_at(parts, 2) == digest) & F.element_at(parts, 1).startswith("{")
+    return F.when(whole, F.element_at(parts, 1))
+
+
+def is_broken(spark: SparkSession, path: str, one_object_per_line: bool = False) -> bool:
+    """True when a file, or a line that is not blank, should hold one JSON object and does not."""
+    text = _read_text(spark, path, whole=not one_object_per_line)
     if text is None:
         return False
-    return not text.filter(F.from_json("value", "map<string, string>").isNull()).isEmpty()
+    if one_object_per_line:
+        text = text.filter(strip(F.col("value")) != "")
+    elif text.isEmpty():  # Spark passes over files without a byte
+        return True
+    return not text.filter(_object_text(F.col("value")).isNull()).isEmpty()
 
 
 def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = False) -> DataFrame:
@@ -56,7 +73,8 @@ def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = Fal
     A file holds one object, or one object on each line for catalogs of any size.
     A missing path is an empty source. An entry that is not an object with a text snippet,
     or a value that is not a list, gives an entry without snippet: the source has failed for
-    that key, and other keys of the file are not affected.
+    that key, and other keys of the file are not affected. Text that is not one JSON object gives
+    no entries; ``is_broken`` tells of it.
     """
     text = _read_text(spark, path, whole=not one_object_per_line)
     if text is None:
@@ -64,7 +82,7 @@ def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = Fal
     raw = F.col("raw")
     listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
     lists = (
-        text.select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "raw"))
+        text.select(F.explode(F.from_json(_object_text(F.col("value")), "map<string, string>")).alias("key", "raw"))
         .filter(raw.isNotNull() & ~raw.isin(*_NO_ENTRIES))
         .select("key", F.coalesce(listed, F.array(F.lit(None).cast("string"))).alias("entries"))
     )
@@ -142,7 +160,7 @@ def static_catalog(
     def source(name: str, source_type: str, file: str) -> EvidenceSource:
         path = f"{folder}/{file}"
         found = static_source(name, source_type, read_entries(spark, path, one_object_per_line))
-        broken = not one_object_per_line and is_broken(spark, path)
+        broken = is_broken(spark, path, one_object_per_line)
         return replace(found, failure=_BAD_FILE) if broken else found
 
     return build_catalog(

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions.text import strip
-from venuesift.operators.skew import find_hot_keys, salted_join
 from venuesift.sources.catalog import EvidenceSource
 
 _BAD_JSON = "response is not valid JSON"
+_BAD_SHAPE = "response does not have the expected shape"
 _NO_DETAILS = "no stored details for the place"
 
 
@@ -27,6 +27,47 @@ def _item(source_type: str, url: Column, snippet: Column, reliability: str) -> C
     )
 
 
+def _is_text_or_missing(value: Column) -> Column:
+    return value.isNull() | J.is_type(value, "VOID") | J.is_type(value, "STRING")
+
+
+def search_misshapen(doc: Column) -> Column:
+    """True for a search answer that is no object, or whose first candidate is none."""
+    listed = J.variant_at(doc, "$.places")
+    usable = J.is_type(listed, "ARRAY") & J.is_type(J.variant_at(listed, "$[0]"), "OBJECT")
+    return ~J.is_type(doc, "OBJECT") | (~J.is_nothing(listed) & ~usable)
+
+
+def details_misshapen(doc: Column, max_reviews: int = C.DEFAULT_MAX_REVIEWS) -> Column:
+    """True for details that are no object, for reviews that are no list of objects, and for an
+    address that is no text but would go into evidence."""
+    listed = J.variant_at(doc, "$.reviews")
+    first = F.coalesce(_listed_reviews(doc, max_reviews), F.array().cast("array<variant>"))
+    usable = J.is_type(listed, "ARRAY") & F.forall(first, lambda review: J.is_type(review, "OBJECT"))
+    maps_url, site = J.variant_at(doc, "$.googleMapsUri"), J.variant_at(doc, "$.websiteUri")
+    editorial = J.localized_text(J.variant_at(doc, "$.editorialSummary")).isNotNull()
+    shows_maps = (
+        J.is_type(J.variant_at(doc, "$.outdoorSeating"), "BOOLEAN")
+        | J.localized_text(J.variant_at(doc, "$.reviewSummary")).isNotNull()
+        | (editorial & J.is_nothing(site)) | F.exists(first, lambda review: _review_text(review).isNotNull())
+    )
+    return (
+        ~J.is_type(doc, "OBJECT") | (~J.is_nothing(listed) & ~usable)
+        | (~_is_text_or_missing(maps_url) & shows_maps)
+        | (~J.is_nothing(site) & ~J.is_type(site, "STRING") & editorial)
+    )
+
+
+def _listed_reviews(doc: Column, max_reviews: int) -> Column:
+    return F.slice(F.try_variant_get(doc, "$.reviews", "array<variant>"), 1, max_reviews)
+
+
+def _review_text(review: Column) -> Column:
+    return F.coalesce(
+        J.localized_text(J.variant_at(review, "$.text")), J.localized_text(J.variant_at(review, "$.originalText"))
+    )
+
+
 def place_candidate(searches: DataFrame) -> DataFrame:
     """Add ``place_id``: the id of the first candidate, or null."""
     first = F.try_variant_get(F.try_parse_json("response"), "$.places[0].id", "string")
@@ -64,14 +105,9 @@ def place_reviews(doc: Column, max_reviews: int, max_chars: int) -> Column:
     maps_url = _text_at(doc, "googleMapsUri")
 
     def snippet(review: Column) -> Column:
-        text = F.coalesce(
-            J.localized_text(J.variant_at(review, "$.text")),
-            J.localized_text(J.variant_at(review, "$.originalText")),
-        )
-        return strip(F.substring(text, 1, max_chars))
-
-    listed = F.try_variant_get(doc, "$.reviews", "array<variant>")
-    first = F.coalesce(F.slice(listed, 1, max_reviews), F.array().cast("array<variant>"))
+        return strip(F.substring(_review_text(review), 1, max_chars))
+
+    first = F.coalesce(_listed_reviews(doc, max_reviews), F.array().cast("array<variant>"))
     texts = F.array_compact(F.transform(first, snippet))
     return F.transform(texts, lambda text: _item("review", maps_url, text, "low"))
 
@@ -84,7 +120,10 @@ def place_items(
     """``(place_id, items, error)`` for each stored details response."""
     doc = F.col("_doc")
     parsed = details.withColumn("_doc", F.try_parse_json("response"))
-    error = F.coalesce(F.col("call_error"), F.when(doc.isNull(), F.lit(_BAD_JSON)))
+    error = F.coalesce(
+        F.col("call_error"), F.when(doc.isNull(), F.lit(_BAD_JSON)),
+        F.when(details_misshapen(doc, max_reviews), F.lit(_BAD_SHAPE)),
+    )
     return parsed.select(
         "place_id",
         F.when(error.isNull(), F.concat(place_facts(doc), place_reviews(doc, max_reviews, max_chars)))
@@ -100,19 +139,21 @@ def places_source(
     max_reviews: int = C.DEFAULT_MAX_REVIEWS,
     max_chars: int = C.DEFAULT_REVIEW_CHARS,
 ) -> EvidenceSource:
-    """Evidence source over stored responses; a details response is read once for each place."""
+    """Evidence source over stored responses; a details response is read once for each place.
+
+    An answer that is not as expected fails the source for its key, with no evidence.
+    """
     asked = place_candidate(searches)
+    doc = F.try_parse_json("response")
     search_error = F.coalesce(
-        F.col("call_error"), F.when(F.try_parse_json("response").isNull(), F.lit(_BAD_JSON))
+        F.col("call_error"), F.when(doc.isNull(), F.lit(_BAD_JSON)),
+        F.when(search_misshapen(doc), F.lit(_BAD_SHAPE)),
     )
     failed = asked.withColumn("error", search_error).filter(F.col("error").isNotNull())
     found = asked.filter(F.col("place_id").isNotNull() & search_error.isNull())
     found = found.select("match_key", "place_id")
-    joined = salted_join(
-        found,
-        place_items(details, max_reviews, max_chars).withColumn("stored", F.lit(True)),
-        ["place_id"], find_hot_keys(found, ["place_id"]), salt_from=["match_key"], how="left",
-    ).withColumn("error", F.when(F.col("stored").isNull(), F.lit(_NO_DETAILS)).otherwise(F.col("error")))
+    items = place_items(details, max_reviews, max_chars).withColumn("stored", F.lit(True))
+    joined = found.join(items, "place_id", "left").withColumn("error", F.when(F.col("stored").isNull(), F.lit(_NO_DETAILS)).otherwise(F.col("error")))
 
     rows = joined.select("match_key", F.posexplode("items").alias("item_pos", "item")).select(
         F.lit("place").alias("key_kind"), "match_key", F.lit(name).alias("source_name"),

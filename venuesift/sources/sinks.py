@@ -25,14 +25,12 @@ def review_queue(state: DataFrame) -> DataFrame:
     return results_rows(state.filter("needs_review"))
 
 
-GATHER_LISTS = (
-    "evidence", "source_evidence_snippets", "source_urls", "source_types", "gather_errors",
-)
+PROVENANCE_LISTS = ["source_evidence_snippets", "source_urls", "source_types"]
 
 
-def lists_as_json(venues: DataFrame) -> DataFrame:
-    """The list columns as JSON text. Done for each venue, before requests are attached."""
-    return venues.withColumns({name: json_list(F.col(name)) for name in GATHER_LISTS})
+def lists_as_json(venues: DataFrame, columns: list[str]) -> DataFrame:
+    """List columns as JSON text. Done for each venue, before requests are attached."""
+    return venues.withColumns({name: json_list(F.col(name)) for name in columns})
 
 
 def gather_results_rows(state: DataFrame) -> DataFrame:
@@ -52,5 +50,6 @@ def write_csv(rows: DataFrame, path: str) -> None:
         name: F.when(F.col(name), "True").when(~F.col(name), "False") for name in flags
     })
     text.write.mode("overwrite").options(
-        header=True, escape='"', emptyValue="", nullValue=""
+        header=True, escape='"', emptyValue="", nullValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)

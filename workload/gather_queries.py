@@ -12,6 +12,7 @@ from venuesift.plans import gathering as G
 from venuesift.session import configure, new_table_path
 from venuesift.sources import catalog as CAT
 from venuesift.sources import places as PL
+from venuesift.sources import requests as REQ
 from venuesift.sources import sinks
 from workload import lift
 from workload import sqltext as S
@@ -102,6 +103,30 @@ def union_sources(spark, sf_dir):
     )
 
 
+_BAD_LINES = 7
+
+
+@query("static_evidence_errors", f"""
+    WITH {lift.VENUES_SQL}
+    SELECT name, city, source_ord, source_name, 'catalog is not valid JSON' AS error FROM venue
+    CROSS JOIN (VALUES (2, 'static_reviews'), (3, 'static_maps')) AS bad(source_ord, source_name)""")
+def static_evidence_errors(spark, sf_dir):
+    """Catalogs with a line that is no JSON, and with text behind an object, fail as a whole."""
+    key = F.col("c_custkey")
+    venues = lift.customer_venues(spark, sf_dir)
+    entry = F.to_json(F.create_map(
+        F.lower(F.concat_ws("|", "name", "city")), F.array(F.struct(F.lit("seats").alias("snippet")))
+    ))
+    path = new_table_path(spark, "broken-catalog")
+    for file, line in {
+        "search": entry,
+        "reviews": F.when(key % _BAD_LINES == 0, "not an object").otherwise(entry),
+        "maps": F.when(key % _BAD_LINES == 1, F.concat(entry, F.lit(" more"))).otherwise(entry),
+    }.items():
+        venues.select(line.alias("value")).write.text(f"{path}/{file}.json")
+    return CAT.failed_sources(CAT.static_catalog(spark, path, one_object_per_line=True), G.venues(venues))
+
+
 @query("place_candidate", f"""
     WITH {lift.SEARCHES_SQL}
     SELECT match_key, CASE WHEN json_valid(response)
@@ -123,7 +148,7 @@ def _localized_sql(doc: str, path: str) -> str:
 _DOCS_SQL = f"""
     {lift.DETAILS_SQL},
     docs AS (SELECT *, CAST(response AS JSON) AS doc, json_extract_string(CAST(response AS JSON),
-        '$.googleMapsUri') AS maps_url FROM details WHERE json_valid(response)),
+        '$.googleMapsUri') AS maps_url FROM details WHERE json_valid(response) AND NOT misshapen),
     facts AS (
         SELECT c_custkey, place_id, 0 AS ord, 'maps' AS source_type, maps_url AS url,
             CASE json_extract_string(doc, '$.outdoorSeating') WHEN 'true'
@@ -146,8 +171,8 @@ _DOCS_SQL = f"""
 
 def _details_items(spark, sf_dir):
     configure(spark)
-    details = lift.stored_details(spark, sf_dir)
-    return details.withColumn("doc", F.try_parse_json("response"))
+    doc = F.try_parse_json("response")
+    return lift.stored_details(spark, sf_dir).filter(~PL.details_misshapen(doc)).withColumn("doc", doc)
 
 
 @query("place_facts_evidence", f"""
@@ -177,8 +202,15 @@ _PLACES_ROWS_SQL = f"""
     items AS (SELECT * FROM facts WHERE snippet IS NOT NULL UNION ALL BY NAME
         SELECT * FROM review WHERE snippet IS NOT NULL),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY ord) - 1 AS item_pos FROM items),
-    asked AS (SELECT *, CASE WHEN json_valid(response)
-        THEN json_extract_string(response, '$.places[0].id') END AS pid FROM searches)"""
+    asked AS (SELECT *, CASE WHEN json_valid(response) AND NOT misshapen
+        THEN json_extract_string(response, '$.places[0].id') END AS pid FROM searches),
+    place_errors AS (SELECT a.c_custkey, match_key, CASE WHEN a.response IS NULL THEN 'service unavailable'
+        WHEN a.misshapen OR (json_valid(a.response) AND d.misshapen)
+            THEN 'response does not have the expected shape'
+        ELSE 'response is not valid JSON' END AS error
+        FROM asked a LEFT JOIN details d ON pid = place_id
+        WHERE a.response IS NULL OR NOT json_valid(a.response) OR NOT json_valid(d.response)
+            OR a.misshapen OR d.misshapen)"""
 
 
 @query("places_source", f"""
@@ -191,10 +223,7 @@ def places_source(spark, sf_dir):
 
 @query("places_source_errors", f"""
     WITH {_PLACES_ROWS_SQL}
-    SELECT match_key, CASE WHEN a.response IS NULL THEN 'service unavailable'
-        ELSE 'response is not valid JSON' END AS error
-    FROM asked a LEFT JOIN details d ON pid = place_id
-    WHERE a.response IS NULL OR NOT json_valid(a.response) OR NOT json_valid(d.response)""")
+    SELECT match_key, error FROM place_errors""")
 def places_source_errors(spark, sf_dir):
     return places(spark, sf_dir).errors.select("match_key", "error")
 
@@ -225,7 +254,7 @@ def collect_errors(spark, sf_dir):
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, source_ord, source_name, source_type, item_pos, url, snippet, reliability FROM deduped""")
 def dedup_evidence(spark, sf_dir):
-    return _deduped(spark, sf_dir).drop("snippet_bytes")
+    return _deduped(spark, sf_dir)
 
 
 @query("rank_evidence", f"""
@@ -264,14 +293,15 @@ def provenance_lists(spark, sf_dir):
     FROM venue LEFT JOIN combined USING (name, city)""")
 def no_evidence_gate(spark, sf_dir):
     units = G.venues(lift.customer_venues(spark, sf_dir))
-    rows = units.join(_assembled(spark, sf_dir), G.VENUE, "left")
-    return M.no_evidence_gate(rows).drop("items")
+    counted = _gathered(spark, sf_dir)[0].groupBy(*G.VENUE).agg(F.count(F.lit(1)).alias("found"))
+    rows = units.join(counted, G.VENUE, "left")
+    return M.no_evidence_gate(rows, F.col("found") > 0).drop("found")
 
 
-def gather_sql(requests: str, where: str = "") -> str:
+def gather_sql(requests: str, where: str = "", evidence: str = lift.EVIDENCE_SQL) -> str:
     slug = "trim(regexp_replace(lower(name || '-' || city), '[^a-z0-9]+', '-', 'g'), '-')"
     return f"""
-    WITH {lift.EVIDENCE_SQL},
+    WITH {evidence},
     cleaned AS (SELECT *, {S.clean('raw_text')} AS cleaned_text FROM combined),
     {S.classify_ctes('cleaned', 'cleaned_text')},
     answer AS (SELECT v.name, v.city, label, confidence, quotes, snippets, urls, types, reasoning,
@@ -310,7 +340,7 @@ def gather_results_rows(spark, sf_dir):
 def gather_review_queue(spark, sf_dir):
     out = new_table_path(spark, "gather-queue")
     G.run_gather_job(_customer_requests(spark, sf_dir), build_catalog(spark, sf_dir), out)
-    return spark.read.parquet(f"{out}/review_queue")
+    return G.job_review_queue(spark, out)
 
 
 @query("gather_job", gather_sql(_ORDERS))
@@ -319,3 +349,47 @@ def gather_job(spark, sf_dir):
     return G.run_gather_job(
         lift.order_requests(spark, sf_dir), build_catalog(spark, sf_dir), new_table_path(spark, "gather-job")
     )
+
+
+_PLACES_EVIDENCE_SQL = f"""{_PLACES_ROWS_SQL}, {lift.evidence_sql(
+    maps='''SELECT asked.c_custkey, 3, 'stored_places', n.source_type, item_pos, n.url, n.snippet, n.reliability
+            FROM asked JOIN numbered n ON pid = place_id''',
+    reported='''UNION ALL SELECT name, city, 3, 'stored_places', error FROM place_errors JOIN venue USING (c_custkey)''',
+)}"""
+
+
+@query("gather_job_places", gather_sql(_ORDERS, evidence=_PLACES_EVIDENCE_SQL))
+def gather_job_places(spark, sf_dir):
+    """The whole job with stored place answers in the maps role."""
+    live = {"places": places(spark, sf_dir)}
+    catalog = build_catalog(spark, sf_dir, live=live, live_source="places")
+    return G.run_gather_job(lift.order_requests(spark, sf_dir), catalog, new_table_path(spark, "gather-places"))
+
+
+_REQUESTS_SQL = f"""
+    WITH {lift.VENUES_SQL}, asked AS (SELECT o_orderkey AS seq,
+        CASE WHEN o_orderkey % 11 <> 3 THEN name END AS name,
+        CASE WHEN o_orderkey % 13 <> 3 THEN city END AS city
+        FROM orders JOIN venue ON o_custkey = c_custkey)"""
+
+
+def _odd_requests(spark, sf_dir):
+    key = F.col("seq")
+    return lift.order_requests(spark, sf_dir).select(
+        "seq", F.when(key % 11 != 3, F.col("name")).alias("name"), F.when(key % 13 != 3, F.col("city")).alias("city")
+    )
+
+
+@query("validate_requests", f"{_REQUESTS_SQL} SELECT * FROM asked WHERE name IS NOT NULL AND city IS NOT NULL")
+def validate_requests(spark, sf_dir):
+    return REQ.validate_requests(_odd_requests(spark, sf_dir))
+
+
+@query("rejected_requests", f"""{_REQUESTS_SQL}
+    SELECT *, CASE WHEN name IS NULL THEN 'name is missing' ELSE 'city is missing' END AS reject_reason
+    FROM asked WHERE name IS NULL OR city IS NULL""")
+def rejected_requests(spark, sf_dir):
+    """As the job writes them."""
+    out = new_table_path(spark, "gather-rejected")
+    G.run_gather_job(_odd_requests(spark, sf_dir), build_catalog(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/rejected")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workload import sqltext as S
 from workload import templates as TPL
 
-# The texts belong to this many venues, those with the lowest keys.
-TEXT_VENUES = 150
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,11 +118,19 @@ def _keyed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     )
 
 
+def _text_venue(spark: SparkSession, sf_dir: str, key: str) -> Column:
+    """The customer a text belongs to; there are as many venues for texts as customers."""
+    return F.col(key) % table(spark, sf_dir, "customer").count()
+
+
+_N_VENUES = "(SELECT count(*) FROM customer)"
+
+
 def search_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as search snippets; a few entries have none."""
     key = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(
-        (key % TEXT_VENUES).alias("c_custkey"), key.alias("pos"),
+        _text_venue(spark, sf_dir, "doc_id").alias("c_custkey"), key.alias("pos"),
         F.when(key % 3 != 0, F.concat(F.lit("https://s.test/"), key.cast("string"))).alias("url"),
         F.when(key % 97 != 5, F.col("text")).alias("snippet"),
     )
@@ -136,12 +140,12 @@ def search_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns, and the documents again with other spacing."""
     turns = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") % TEXT_VENUES).alias("c_custkey"),
+        _text_venue(spark, sf_dir, "conv_id").alias("c_custkey"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
         F.lit("").alias("url"), F.col("text").alias("snippet"),
     )
     again = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % TEXT_VENUES).alias("c_custkey"),
+        _text_venue(spark, sf_dir, "doc_id").alias("c_custkey"),
         (F.col("doc_id") + 1_000_000_000_000).alias("pos"),
         F.lit(None).cast("string").alias("url"),
         F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))).alias("snippet"),
@@ -160,24 +164,29 @@ def maps_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyed(spark, sf_dir, rows)
 
 
-EVIDENCE_SQL = f"""
-    {VENUES_SQL},
+_MAPS_SQL = f"""
+        SELECT s_suppkey, 3, 'static_maps', 'maps', 0,
+            'https://m.test/' || CAST(s_suppkey AS VARCHAR), {S.sentence('s_suppkey')}, 'medium'
+            FROM supplier"""
+
+
+def evidence_sql(maps: str = _MAPS_SQL, reported: str = "") -> str:
+    """CTEs from ``venue`` to ``told``: ``maps`` gives the rows of the maps role, ``reported``
+    more errors (name, city, source_ord, source_name, error)."""
+    return f"""
     entry AS (
-        SELECT doc_id % {TEXT_VENUES} AS c_custkey, 1 AS source_ord, 'static_search' AS source_name,
+        SELECT doc_id % {_N_VENUES} AS c_custkey, 1 AS source_ord, 'static_search' AS source_name,
             'search' AS source_type, doc_id AS item_pos,
             CASE WHEN doc_id % 3 <> 0 THEN 'https://s.test/' || CAST(doc_id AS VARCHAR) END AS url,
             CASE WHEN doc_id % 97 <> 5 THEN text END AS snippet, 'medium' AS reliability
             FROM documents
         UNION ALL
-        SELECT conv_id % {TEXT_VENUES}, 2, 'static_reviews', 'review', conv_id * 1000 + turn,
+        SELECT conv_id % {_N_VENUES}, 2, 'static_reviews', 'review', conv_id * 1000 + turn,
             '', text, 'low' FROM conversations
         UNION ALL
-        SELECT doc_id % {TEXT_VENUES}, 2, 'static_reviews', 'review', doc_id + 1000000000000,
+        SELECT doc_id % {_N_VENUES}, 2, 'static_reviews', 'review', doc_id + 1000000000000,
             NULL, ' ' || replace(text, ' ', '  '), 'low' FROM documents
-        UNION ALL
-        SELECT s_suppkey, 3, 'static_maps', 'maps', 0,
-            'https://m.test/' || CAST(s_suppkey AS VARCHAR), {S.sentence('s_suppkey')}, 'medium'
-            FROM supplier),
+        UNION ALL {maps}),
     all_rows AS (SELECT * FROM entry JOIN venue USING (c_custkey)),
     failed AS (SELECT DISTINCT name, city, lookup_key, source_ord, source_name FROM all_rows
         WHERE snippet IS NULL),
@@ -196,8 +205,12 @@ EVIDENCE_SQL = f"""
         list(snippet ORDER BY rank) AS snippets, list(url ORDER BY rank) AS urls,
         list(source_type ORDER BY rank) AS types
         FROM ranked GROUP BY name, city),
-    told AS (SELECT name, city, list(source_name || ': ''snippet''' ORDER BY source_ord) AS errors
-        FROM failed GROUP BY name, city)"""
+    told AS (SELECT name, city, list(source_name || ': ' || error ORDER BY source_ord) AS errors
+        FROM (SELECT name, city, source_ord, source_name, '''snippet''' AS error FROM failed {reported})
+        GROUP BY name, city)"""
+
+
+EVIDENCE_SQL = f"{VENUES_SQL}, {evidence_sql()}"
 
 
 def stored_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,11 +234,13 @@ def stored_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETAILS_SQL = f"""
     details AS (SELECT c_custkey, 'p' || CAST(c_custkey AS VARCHAR) AS place_id,
-        {S.fill(S.pick(TPL.DETAILS, 'c_custkey'), 'c_custkey', 'c_name')} AS response FROM customer)"""
+        {S.fill(S.pick(TPL.DETAILS, 'c_custkey'), 'c_custkey', 'c_name')} AS response,
+        c_custkey % {len(TPL.DETAILS)} IN ({', '.join(map(str, TPL.MISSHAPEN_DETAILS))}) AS misshapen FROM customer)"""
 SEARCHES_SQL = f"""
     {VENUES_SQL},
     searches AS (SELECT c_custkey, name || ', ' || city AS match_key,
-        {S.fill(S.pick(TPL.SEARCHES, 'c_custkey'), 'c_custkey', 'name')} AS response FROM venue)"""
+        {S.fill(S.pick(TPL.SEARCHES, 'c_custkey'), 'c_custkey', 'name')} AS response,
+        c_custkey % {len(TPL.SEARCHES)} IN ({', '.join(map(str, TPL.MISSHAPEN_SEARCHES))}) AS misshapen FROM venue)"""
 
 
 def reply_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
@@ -20,30 +19,50 @@ from workload import templates as TPL
 from workload.registry import query
 
 
+def _csv_rows(spark, sf_dir):
+    """Customer records with cells that are hard to write: padding, quotes, line breaks, tokens."""
+    key = F.col("seq")
+    raw = lift.customer_records(spark, sf_dir)
+    return raw.select(
+        "seq", F.when(key % 5 == 0, "NA").otherwise(F.col("id")).alias("id"),
+        F.concat(F.lit("  "), "name", F.lit(" ")).alias("name"),
+        F.concat(F.lit('say "'), "evidence_text", F.lit('",\n')).alias("evidence_text"),
+        F.nullif(F.trim("expected_label"), F.lit("")).alias("expected_label"),
+    )
+
+
 @query("read_records", f"""
-    WITH {lift.CUSTOMER_RECORDS_SQL},
-    fields AS (SELECT seq, CASE WHEN seq % 5 = 0 THEN 'NA' ELSE id END AS id, name, evidence_text,
-        nullif(trim(expected_label), '') AS expected_label FROM raw_records)
-    SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, CASE WHEN id <> 'NA' THEN id END AS id,
-        name, evidence_text, expected_label FROM fields""")
+    WITH {lift.CUSTOMER_RECORDS_SQL}
+    SELECT CAST(CASE WHEN seq % 5 <> 0 THEN id END AS VARCHAR) AS id, '  ' || name || ' ' AS name,
+        'say "' || evidence_text || '",' || chr(10) AS evidence_text,
+        CASE WHEN seq % 3 <> 2 THEN nullif(trim(expected_label), '') END AS expected_label FROM raw_records""")
 def read_records(spark, sf_dir):
-    """The customer records written as CSV files, columns in another order, and read back."""
-    raw = lift.customer_records(spark, sf_dir)
+    """Records written as CSV with three different headers into one folder, and read back."""
+    rows = _csv_rows(spark, sf_dir)
     path = new_table_path(spark, "records-csv")
-    raw.select(
-        F.when(F.col("seq") % 5 == 0, "NA").otherwise(F.col("id")).alias("id"), F.lit("x").alias("extra"),
-        "evidence_text", F.nullif(F.trim("expected_label"), F.lit("")).alias("expected_label"), "name", "seq",
-    ).orderBy("seq").drop("seq").write.options(header=True, escape='"').csv(path)
-    rows = REC.read_records(spark, path)
-    # A dense number in input order, so that it does not depend on how files were cut.
-    placed = rows.withColumn("file", F.shiftright("seq", 33))
-    files = placed.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    dense = F.col("before") + F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(before, "file").select(
-        dense.alias("seq"), "id", "name", "evidence_text", "expected_label"
-    )
+    headers = [
+        ["expected_label", "extra", "name", "id", "evidence_text"],
+        ["id", "name", "evidence_text", "expected_label"], ["evidence_text", "id", "extra", "name"],
+    ]
+    for place, header in enumerate(headers):
+        own = rows.filter(F.col("seq") % 3 == place).withColumn("extra", F.lit("x,y")).select(*header)
+        own.write.mode("append").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
+    return REC.read_records(spark, path).drop("seq")
+
+
+@query("results_csv_roundtrip", f"""
+    WITH {lift.CUSTOMER_RECORDS_SQL}
+    SELECT CASE WHEN seq % 5 = 0 THEN 'NA' ELSE id END AS id, '  ' || name || ' ' AS name,
+        'say "' || evidence_text || '",' || chr(10) AS evidence_text,
+        nullif(trim(expected_label), '') AS expected_label,
+        CASE WHEN seq % 2 = 0 THEN 'True' ELSE 'False' END AS flag FROM raw_records""")
+def results_csv_roundtrip(spark, sf_dir):
+    """Padded cells, quotes and line breaks through the CSV export and a plain CSV reader."""
+    path = new_table_path(spark, "results-csv")
+    sinks.write_csv(_csv_rows(spark, sf_dir).withColumn("flag", F.col("seq") % 2 == 0).drop("seq"), path)
+    return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
 
 
 @query("validate_records", f"WITH {lift.CUSTOMER_RECORDS_SQL} SELECT * FROM valid")
@@ -69,11 +88,19 @@ def seed_state(spark, sf_dir):
     return REC.seed_state(valid).withColumn("evidence", sinks.json_list(F.col("evidence")))
 
 
+# Sequence numbers all over the 63 bits, none twice.
+_SPREAD = 6_148_914_691_236_517_205
+
+
 @query("limit_records", f"""
-    WITH {lift.LINEITEM_RECORDS_SQL} SELECT seq, id, expected_label FROM valid ORDER BY seq LIMIT 1000""")
+    WITH {lift.LINEITEM_RECORDS_SQL}, spread AS (SELECT CAST((CAST(seq AS HUGEINT) * {_SPREAD})
+        % 9223372036854775807 AS BIGINT) AS seq, id, expected_label FROM valid)
+    SELECT * FROM spread ORDER BY seq LIMIT 1000""")
 def limit_records_(spark, sf_dir):
     valid = REC.validate_records(lift.lineitem_records(spark, sf_dir))
-    return limit_records(valid, 1000).select("seq", "id", "expected_label")
+    wide = F.col("seq").cast("decimal(38,0)") * F.lit(_SPREAD).cast("decimal(19,0)")
+    spread = valid.withColumn("seq", (wide % F.lit(2**63 - 1).cast("decimal(19,0)")).cast("long"))
+    return limit_records(spread, 1000).select("seq", "id", "expected_label")
 
 
 # Predictions with good and bad confidences, blank quotes and errors.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from venuesift.functions import prompts as P
 from venuesift.functions.jsontext import json_list
 from venuesift.operators.replies import collect_replies, extract_with_repair, parse_response
 from venuesift.session import configure
@@ -64,24 +65,29 @@ def extract_with_repair_(spark, sf_dir):
 
 
 def _stub_factory():
-    """A model stand-in: quotes the evidence, stumbles once on French, always on Spanish.
+    """A model stand-in: quotes length and digest of the evidence it was sent, stumbles once on
+    French, always on Spanish.
 
     The functions are nested so that they ship to executors by value.
     """
+    marks = (P._USER_HEAD, P._USER_TAIL, P._REPAIR_MIDDLE, P._REPAIR_TAIL)
 
     def make():
+        import hashlib
         import json
 
+        head, tail, middle, end = marks
+
         def complete(system: str, user: str) -> str:
-            repair = "could not be parsed" in user
-            evidence = user.split("vidence:\n")[-1].split("\n\n")[0]
+            repair = not user.startswith(head)
+            evidence = user.split(middle, 1)[1].removesuffix(end) if repair else user[len(head):].removesuffix(tail)
             if evidence.startswith("es ") or (evidence.startswith("fr ") and not repair):
                 return "sorry"
             if evidence.startswith("de "):
                 raise RuntimeError("quota used up")
             return json.dumps({
-                "label": "unknown" if repair else "yes", "confidence": 0.7,
-                "evidence": [evidence[:2]], "reasoning": "stub",
+                "label": "unknown" if repair else "yes", "confidence": 0.7, "reasoning": "stub",
+                "evidence": [str(len(evidence)), hashlib.sha256(evidence.encode()).hexdigest()],
             })
 
         return complete
@@ -94,7 +100,8 @@ def _stub_factory():
         CASE lang WHEN 'fr' THEN 'unknown' WHEN 'es' THEN NULL WHEN 'de' THEN NULL ELSE 'yes' END
             AS prediction,
         CASE WHEN lang IN ('es', 'de') THEN NULL ELSE CAST(0.7 AS DOUBLE) END AS confidence,
-        CASE WHEN lang IN ('es', 'de') THEN '[]' ELSE '["' || lang || '"]' END AS evidence,
+        CASE WHEN lang IN ('es', 'de') THEN '[]' ELSE '["' || length(lang || ' ' || text) || '", "'
+            || sha256(lang || ' ' || text) || '"]' END AS evidence,
         CASE WHEN lang IN ('es', 'de') THEN NULL ELSE 'stub' END AS reasoning,
         CASE lang WHEN 'de' THEN 'quota used up'
             WHEN 'es' THEN 'Failed to parse extraction JSON after repair retry: reply is not valid JSON'
@@ -108,5 +115,5 @@ def completion_hook(spark, sf_dir):
         F.concat_ws(" ", "lang", "text").alias("cleaned_text"),
         F.lit(None).cast("string").alias("error"),
     )
-    done = extract_with_repair(docs, collect_replies(docs, _stub_factory()))
+    done = extract_with_repair(docs, collect_replies(docs, _stub_factory(), waves=2))
     return done.withColumn("evidence", json_list(F.col("evidence"))).select(*_PREDICTION)

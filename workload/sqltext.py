@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from venuesift import contracts as C
 from workload import templates as TPL
 
 NL = "chr(10)"
@@ -88,12 +89,6 @@ def json_list(x: str) -> str:
     )
 
 
-_OUT = ["patio", "terrace", "outdoor", "deck", "rooftop", "al fresco", "garden terrace", "sidewalk"]
-_IN = ["indoor", "indoors", "inside", "basement", "no windows", "no exterior", "do not offer",
-       "no outdoor", "strictly indoors"]
-_NO = ["do not offer", "do not have outdoor", "no patio", "no outdoor", "not offer patio"]
-
-
 def classify_ctes(source: str, text: str, prefix: str = "cls") -> str:
     """CTEs that add rule, label, confidence, quotes (a list) and reasoning to ``source``."""
     a, b, c, d = (f"{prefix}{n}" for n in range(1, 5))
@@ -101,12 +96,12 @@ def classify_ctes(source: str, text: str, prefix: str = "cls") -> str:
     {a} AS (SELECT *, {cut(text)} AS ev_ FROM {source}),
     {b} AS (SELECT *, lower(ev_) AS low_ FROM {a}),
     {c} AS (SELECT *, CASE
-        WHEN contains({text}, 'Your previous response could not be parsed') THEN 0
-        WHEN {any_of('low_', ['do not have outdoor', 'no outdoor'])}
-             AND {any_of('low_', ['patio', 'sidewalk'])} AND contains(low_, 'opens on') THEN 1
-        WHEN {any_of('low_', _NO)} OR ({any_of('low_', _IN)} AND NOT {any_of('low_', _OUT)}) THEN 2
-        WHEN {any_of('low_', _OUT)} AND NOT {any_of('low_', _IN)} THEN 3
-        WHEN contains(low_, 'weather permitting') THEN 4
+        WHEN contains({text}, {quote(C.REPAIR_SENTENCE)}) THEN 0
+        WHEN {any_of('low_', C.DENIAL_PHRASES)}
+             AND {any_of('low_', C.DENIED_PLACE_HINTS)} AND contains(low_, {quote(C.DENIAL_EXCEPTION)}) THEN 1
+        WHEN {any_of('low_', C.EXPLICIT_NO_PHRASES)} OR ({any_of('low_', C.INDOOR_HINTS)} AND NOT {any_of('low_', C.OUTDOOR_HINTS)}) THEN 2
+        WHEN {any_of('low_', C.OUTDOOR_HINTS)} AND NOT {any_of('low_', C.INDOOR_HINTS)} THEN 3
+        WHEN contains(low_, {quote(C.CONDITIONAL_HINT)}) THEN 4
         ELSE 5 END AS rule_ FROM {b}),
     {prefix} AS (SELECT * EXCLUDE (ev_, low_, rule_),
         CASE rule_ WHEN 2 THEN 'no' WHEN 3 THEN 'yes' ELSE 'unknown' END AS label,

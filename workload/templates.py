@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 SENTENCES = [
     "Sit on the <b>patio</b> under the vines.",
     "Rooftop &amp; terrace tables, first come first served!",
-    "All tables are indoors. We do not offer tables on the street.",
-    "A basement room with no windows.",
-    "We do not have outdoor tables. The sidewalk patio opens on hot days.",
-    "Outdoor tables weather permitting. In winter we sit you inside.",
+    "Two halls, both indoors; we do not offer a yard.",
+    "Jazz cellar: a basement, and it has no windows.",
+    "Before May we do not have outdoor service, then the patio opens on request.",
+    "Grill nights are outdoor, weather permitting, else inside the barn.",
     "Fresh bread daily.",
     "MENU\n\n-----\nSoup &copy; 2020\n***\n  navigation \nThe deck is open.",
     "<p>Al fresco lunch&nbsp;served</p>\r\n<div>Skip to content</div>\r\n\r\n\r\n\t Ask  for the garden. ",
@@ -50,7 +50,13 @@ SEARCHES = [
     '{"places": [{"id": "p{k}"}]}',
     "<html>busy</html>",
     None,
+    '[{"id": "p{k}"}]',
+    '{"places": [7, {"id": "p{k}"}]}',
+    '{"places": {"id": "p{k}"}}',
+    '{"places": 0}',
 ]
+# Places in the lists of answers that are not as expected.
+MISSHAPEN_SEARCHES = [7, 8, 9]
 DETAILS = [
     '{"googleMapsUri": "https://maps.test/{k}", "websiteUri": "https://site.test/{k}", '
     '"outdoorSeating": true, "reviewSummary": {"text": {"text": " Guests of {n} like the terrace. "}}, '
@@ -63,7 +69,14 @@ DETAILS = [
     '{"reviews": [{"text": "' + "Long words about the patio. " * 14 + '"}, {"text": 5}]}',
     '{"reviewSummary": 5, "editorialSummary": {"text": {"text": {"text": "deep"}}}, "outdoorSeating": null}',
     "not json",
+    '[1]',
+    '{"googleMapsUri": "https://maps.test/{k}", "outdoorSeating": true, "reviews": {"text": "{n}"}}',
+    '{"outdoorSeating": false, "reviews": ["Plain words about {n}"]}',
+    '{"googleMapsUri": 5, "outdoorSeating": true}',
+    '{"googleMapsUri": "https://maps.test/{k}", "websiteUri": 5, "editorialSummary": "About {n}"}',
+    '{"googleMapsUri": 5, "websiteUri": "https://site.test/{k}", "editorialSummary": "About {n}", "reviews": null}',
 ]
+MISSHAPEN_DETAILS = [7, 8, 9, 10, 11]
 
 CALL_ERROR = "service unavailable"
 

@@ -142,19 +142,20 @@ def prompt_evidence(spark, sf_dir):
     return _texts(spark, sf_dir).select("kind", "id", X.prompt_evidence(prompt).alias("out"))
 
 
+_DEEP = 10
 _LOCALIZED = ['"{n}"', '{"text": " {n} "}', '{"text": {"text": "{n}", "x": 1}}', "5", "null",
-              '{"text": {"text": {"text": "{n}"}}}', '"  "', '{"other": "{n}"}', "[1]"]
+              '{"text": {"text": {"text": "{n}"}}}', '"  "', '{"other": "{n}"}', "[1]",
+              '{"text":' * _DEEP + '"{n}"' + "}" * _DEEP, '{"text": ' * 6 + "[5]" + "}" * 6]
+_LEVELS_SQL = " ".join(
+    f"WHEN json_type(doc, '${'.text' * n}') = 'VARCHAR' THEN json_extract_string(doc, '${'.text' * n}')"
+    for n in range(_DEEP + 1)
+)
 
 
 @query("localized_text", f"""
     WITH docs AS (SELECT c_custkey,
         CAST({S.fill(S.pick(_LOCALIZED, 'c_custkey'), 'c_custkey', 'c_name')} AS JSON) AS doc FROM customer)
-    SELECT c_custkey, nullif(trim(CASE
-        WHEN json_type(doc) = 'VARCHAR' THEN json_extract_string(doc, '$')
-        WHEN json_type(doc, '$.text') = 'VARCHAR' THEN json_extract_string(doc, '$.text')
-        WHEN json_type(doc, '$.text.text') = 'VARCHAR' THEN json_extract_string(doc, '$.text.text')
-        WHEN json_type(doc, '$.text.text.text') = 'VARCHAR'
-        THEN json_extract_string(doc, '$.text.text.text') END), '') AS out FROM docs""")
+    SELECT c_custkey, nullif(trim(CASE {_LEVELS_SQL} END), '') AS out FROM docs""")
 def localized_text_(spark, sf_dir):
     key = F.col("c_custkey")
     doc = F.try_parse_json(TPL.fill(TPL.pick(_LOCALIZED, key), key, F.col("c_name")))
