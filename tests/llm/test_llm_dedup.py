@@ -119,15 +119,18 @@ def test_simhash_groups_as_brute_force(spark, seed):
     assert by_key(map(tuple, got.collect())) == by_key(brute_groups(rows))
 
 
-def test_links_find_every_pair_within_distance(spark):
+@pytest.mark.parametrize("dense_rows", [5_489, 12, 0])
+def test_links_find_every_pair_within_distance(spark, dense_rows):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = set(base)
     for b in base:
         for flips in (1, 2, 3, 3, 4, 5):
             prints.add(b ^ sum(1 << bit for bit in rng.sample(range(64), flips)))
+    for half in (0, 32):  # values that many share, the ends of the words included
+        prints |= {base[0] ^ (rng.getrandbits(4) << half) ^ (rng.getrandbits(2) << half + 30) for _ in range(40)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    got = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), dense_rows=dense_rows).collect()
     pairs = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in got}
     assert pairs == {frozenset((a, b)) for a in prints for b in prints if a != b and (a ^ b).bit_count() <= 3}
 

@@ -34,6 +34,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 BITS = 64
 MAX_DISTANCE = 3
+#: A ball of radius three in 32 bits has 5,489 members; beyond that it is the shorter way.
+DENSE_ROWS = 5_489
 _HASHES_AT_ONCE = 1 << 14
 
 
@@ -79,10 +81,12 @@ def _segment(fp: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, at * width).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, dense_rows: int = DENSE_ROWS) -> DataFrame:
     """Pairs ``a, b`` of different fingerprints at most ``max_distance`` bits apart.
 
-    ``fps`` holds each fingerprint once, as ``fp``.
+    ``fps`` holds each fingerprint once, as ``fp``. A segment value that very many fingerprints
+    share is not looked up, as that would meet all its pairs: there the ball is enumerated in the other
+    bits too, and whole fingerprints are looked up. Both ways find the same pairs.
     """
     segments = (max_distance + 2) // 2
     width = BITS // segments
@@ -98,14 +102,52 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     ball = (
         table.withColumnRenamed("b", "a")
         .withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))))
-        .withColumn("flip", F.when(F.col("bit") < 0, 0).otherwise(F.expr("shiftleft(1L, bit)")))
+        .withColumn("flip", F.when(F.col("bit") < 0, F.lit(0).cast("long")).otherwise(_bit(F.greatest("bit", F.lit(0)))))
         .filter(F.col("value").bitwiseAND(F.col("flip")) == 0)
         .select("part", (F.col("value") + F.col("flip")).alias("value"), "a", "bit")
     )
-    found = ball.join(table, ["part", "value"])
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    once = (F.col("bit") >= 0) | (F.col("a") < F.col("b"))
-    return found.filter(once & (F.col("a") != F.col("b")) & near).select("a", "b")
+    keys = ["part", "value"]
+    dense = cut_lineage(
+        table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense_rows).select(*keys), "dense"
+    )
+    fp_a, fp_b = F.col("a"), F.col("b")
+    if dense.isEmpty():
+        found = ball.join(table, keys).select("a", "b", "bit")
+    else:
+        sparse = ball.join(dense, keys, "left_anti").join(table, keys).select("a", "b", "bit")
+        balls = _full_balls(ball.join(dense, keys, "left_semi"), width, segments, max_distance)
+        found = sparse.unionByName(balls.join(fps.select(fp.alias("b")), "b").select("a", "b", "bit"))
+    near = F.bit_count(fp_a.bitwiseXOR(fp_b)) <= max_distance
+    once = (F.col("bit") >= 0) | (fp_a < fp_b)
+    return found.filter(once & (fp_a != fp_b) & near).select("a", "b")
+
+
+def _full_balls(entries: DataFrame, width: int, segments: int, max_distance: int) -> DataFrame:
+    """For entries ``part, value, a, bit`` all fingerprints ``b`` with that value in that segment and
+    few enough other bits changed.
+
+    The changed bits are listed in rising order; the number of all bits stands for none.
+    """
+    others, at, mask, changed = BITS - width, F.lit(-1), F.lit(0).cast("long"), F.lit(0)
+    rows = entries
+    for step in range(max_distance):
+        name = f"p{step}"
+        rows = rows.withColumn(name, F.explode(F.sequence(F.least(at + 1, F.lit(others)), F.lit(others))))
+        at = F.col(name)
+        # Positions above the segment are behind it in the word.
+        place = F.when(at >= F.col("part") * width, at + width).otherwise(at)
+        mask = mask.bitwiseOR(F.when(at < others, _bit(place)).otherwise(F.lit(0).cast("long")))
+        changed = changed + (at < others).cast("int")
+    allowed = F.lit(max_distance) - (F.col("bit") >= 0).cast("int")
+    own = F.lit((1 << width) - 1).cast("long")
+    shift = F.col("part") * width
+    cleared = F.col("a").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", own, shift)))
+    moved = cleared.bitwiseOR(F.call_function("shiftleft", F.col("value").cast("long"), shift))
+    return rows.filter(changed <= allowed).select("a", "bit", moved.bitwiseXOR(mask).alias("b"))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
