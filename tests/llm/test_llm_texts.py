@@ -396,7 +396,10 @@ def test_main_text_of_pages(main, text):
 
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("<p>", ""), ("plain words", "plain words"), ("<nav>only menus</nav>", ""), ("<p>cut <b", "cut"), ("<p>cut</", "cut"), ("<p>a < b</p>", "a < b"), ("<p>cut &am", "cut &am"), ("<!-- x", ""),
-    ("<article>a</b></div>b</article>", "ab"), ("<p>a&nbsp;&#8364;&lt;b&gt;</p>", "a €<b>"), ("<br><br>\n", ""),
+    ("<article>a</b></div>b</article>", "ab"), ("<p>one<script>x</script>word</p>", "oneword"), ("<p>a<x-y>b</x-y>c", "abc"),
+    ("<div class=adminBadge>kept</div>", "kept"), ("<div class=topBanner>x</div><p>y", "y"), ("<div style='display: none'>x</div><p>y", "y"),
+    ("<div class='page has-sidebar'><p>kept</p></div>", "kept"), ("<div id=widget><article>kept</article></div>", "kept"),
+    ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"), ("<p>a<br/>b</br>c</p>", "a b c"), ("<p>a&nbsp;&#8364;&lt;b&gt;</p>", "a €<b>"), ("<br><br>\n", ""),
 ])
 def test_main_text_of_odd_pages(html, text):
     assert extraction.main_text(html) == text
