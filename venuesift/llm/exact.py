@@ -12,7 +12,7 @@ empty table gives an empty result. Other columns are never read, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuesift.llm.common import text_of
@@ -69,12 +69,15 @@ def drop_exact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     Rows that repeat id and text are cut to one before they are shuffled; then the id and digest
     of the winner pick its row, so that copies spread over the tasks by their ids.
     """
+    def key(column: Column) -> Column:
+        """Never null, so that window and join want the same partitions."""
+        return F.coalesce(column.cast("string"), F.lit("none")).alias("id_key")
+
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(docs[id_col]),
         F.sha2(text_of(docs, text_col), 256).alias("digest"),
     )
-    repeats = Window.partitionBy("digest", "id").orderBy(F.xxhash64("row"))
+    repeats = Window.partitionBy("digest", "id_key").orderBy(F.xxhash64("row"))
     once = rows.withColumn("at", F.row_number().over(repeats)).filter(F.col("at") == 1)
-    top = winners(docs, text_col, id_col).select(F.col("digest").alias("kept_digest"), "keep")
-    same = (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("keep"))
-    return once.join(top, same, "left_semi").select("row.*")
+    top = winners(docs, text_col, id_col).select("digest", key(F.col("keep")))
+    return once.join(top, ["digest", "id_key"], "left_semi").select("row.*")
