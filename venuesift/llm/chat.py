@@ -37,6 +37,9 @@ _ESCAPED = re.compile(r"\\[\\htn]")
 _TURN = re.compile(r"### ([^\n]*)\n(.*?)</turn>\n", re.DOTALL)
 _PROBES = ("\uf8f0", "\uf8f1")
 
+#: Turns up to which all prefixes are whole, and turns before one that are rendered with it beyond.
+WHOLE_TURNS, CONTEXT_TURNS = 32, 6
+
 SCHEMA = pa.schema([
     ("conv_id", pa.int64()), ("formatted", pa.large_string()), ("turn_ends", pa.list_(pa.int64())),
     ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64())),
@@ -81,21 +84,50 @@ class Rendered:
 
 
 def render(turns: list[Turn], template: Template, loss_roles: frozenset[str]) -> Rendered:
-    """Render successive prefixes. After a rewrite the spans name no fixed text, so none are given."""
-    out = Rendered(text=template([]))
-    for k, (role, _) in enumerate(turns):
-        longer = template(turns[:k + 1])
-        if not longer.startswith(out.text):
-            return Rendered(text=template(turns), rewritten_at=k)
-        if role in loss_roles:
-            first, second = (template([*turns[:k], (role, probe)]) for probe in _PROBES)
-            start = _first_difference(first, second, len(out.text))
-            out.loss.append((start, len(longer) - (len(first) - start - 1)))
-        out.text = longer
-        out.ends.append(len(longer))
+    """Render successive prefixes. After a rewrite the spans name no fixed text, so none are given.
+
+    Up to ``WHOLE_TURNS`` turns each prefix is rendered whole. In a longer conversation that would
+    cost the square of its length: there the prefixes begin a few turns back, and the whole is
+    rendered where the length has doubled. If it is not what the spans add up to, or a
+    prefix was rewritten, that stretch is rendered again with whole prefixes.
+    """
+    out, done = Rendered(text=template([])), 0
+    while done < len(turns):
+        upto = min(len(turns), max(WHOLE_TURNS, 2 * done))
+        longer = _stretch(out, done, upto, turns, template, loss_roles, 0 if not done else CONTEXT_TURNS)
+        if done and (longer.rewritten_at is not None or longer.text != template(turns[:upto])):
+            longer = _stretch(out, done, upto, turns, template, loss_roles, 0)
+        if longer.rewritten_at is not None:
+            return Rendered(text=template(turns), rewritten_at=longer.rewritten_at)
+        out, done = longer, upto
     return out
 
 
+def _stretch(
+    so_far: Rendered, first: int, upto: int, turns: list[Turn], template: Template, loss_roles: frozenset[str], context: int
+) -> Rendered:
+    """``so_far`` with the turns from ``first`` to before ``upto``; ``context`` is the number of turns
+    before each one that are rendered with it, 0 for all."""
+    ends, loss, spans, length, shorter = list(so_far.ends), list(so_far.loss), [so_far.text], len(so_far.text), None
+    for k in range(first, upto):
+        begin = max(0, k - context) if context else 0
+        if context or shorter is None:
+            shorter = template(turns[begin:k])
+        longer = template(turns[begin:k + 1])
+        if not longer.startswith(shorter):
+            return Rendered(rewritten_at=k)
+        role, at = turns[k][0], len(shorter)
+        if role in loss_roles:
+            one, other = (template([*turns[begin:k], (role, probe)]) for probe in _PROBES)
+            start = _first_difference(one, other, at)
+            loss.append((length + start - at, length + len(longer) - at - (len(one) - start - 1)))
+        spans.append(longer[at:])
+        length += len(longer) - at
+        ends.append(length)
+        shorter = longer
+    return Rendered("".join(spans), ends, loss)
+
+
 def _first_difference(one: str, other: str, start: int) -> int:
     while start < len(one) and one[start] == other[start]:
         start += 1
