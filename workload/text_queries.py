@@ -29,7 +29,9 @@ def _texts(spark, sf_dir):
             F.lit(kind).alias("kind"), F.col(key).alias("id"), body.alias("body")
         )
 
-    return part("documents", "d", "doc_id", "text").unionByName(part("pages", "p", "page_id", "html"))
+    texts = part("documents", "d", "doc_id", "text").unionByName(part("pages", "p", "page_id", "html"))
+    # Each test table is one file with one row group, which one task would clean.
+    return texts.repartition(spark.sparkContext.defaultParallelism, "kind", "id")
 
 
 @query("normalise_whitespace", f"WITH {_TEXTS_SQL} SELECT kind, id, {S.normalise('body')} AS out FROM texts")
