@@ -54,44 +54,51 @@ def match_errors(units: DataFrame, errors: DataFrame) -> DataFrame:
     return errors.join(match_keys(units), MATCH).drop(*MATCH)
 
 
+DIGEST = "snippet_digest"
+
+
+def with_digest(rows: DataFrame) -> DataFrame:
+    """Add a digest of the form under which snippets count as the same."""
+    return rows.withColumn(DIGEST, F.sha2(X.snippet_key(F.col("snippet")), 256))
+
+
 def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:
     """Of equal snippets in a group the first in source order, then item order, stays.
 
     The first is found by digests and places alone, which a hash aggregation combines before its
     shuffle; the texts then cross once, in the join that fetches the rows of the first. Places
-    are unique in a group; rows that share one are cut to the smallest.
+    are unique in a group; rows that share one are cut to the smallest. Rows that come with
+    their digest are not read for it again.
     """
     place = ["source_ord", "item_pos"]
-    digest = F.sha2(X.snippet_key(F.col("snippet")), 256)
-    keyed = evidence.withColumn("_digest", digest)
-    first = keyed.groupBy(*group, "_digest").agg(F.min(F.struct(*place)).alias("_first"))
-    keys = [*group, "_digest", *place]
-    met = keyed.join(first.select(*group, "_digest", "_first.*"), keys, "left_semi")
-    others = [c for c in evidence.columns if c not in [*group, *place]]
+    keyed = evidence if DIGEST in evidence.columns else with_digest(evidence)
+    first = keyed.groupBy(*group, DIGEST).agg(F.min(F.struct(*place)).alias("_first"))
+    keys = [*group, DIGEST, *place]
+    met = keyed.join(first.select(*group, DIGEST, "_first.*"), keys, "left_semi")
+    others = [c for c in evidence.columns if c not in keys]
     return met.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*group, *place, "_row.*")
 
 
-def with_rank_columns(evidence: DataFrame) -> DataFrame:
-    """Sort columns: reliability, kind of source, source name, snippet key."""
-    return evidence.withColumns({
-        "reliability_rank": R.rank(F.col("reliability"), C.RELIABILITY_RANK),
-        "type_rank": R.rank(F.col("source_type"), C.SOURCE_TYPE_RANK),
-        "key": X.snippet_key(F.col("snippet")),
-    })
-
-
-RANK_ORDER = ["reliability_rank", "type_rank", "source_name", "key"]
+def rank_order() -> list[Column]:
+    """Reliability, kind of source, source name, snippet key."""
+    return [
+        R.rank(F.col("reliability"), C.RELIABILITY_RANK).alias("reliability_rank"),
+        R.rank(F.col("source_type"), C.SOURCE_TYPE_RANK).alias("type_rank"),
+        F.col("source_name"), X.snippet_key(F.col("snippet")).alias("key"),
+    ]
 
 
 def rank_evidence(deduped: DataFrame, group: list[str]) -> DataFrame:
     """Flat form: a ``rank`` column from 1, safe for groups of any size."""
-    return rank_rows(with_rank_columns(deduped), group, RANK_ORDER)
+    return rank_rows(deduped, group, rank_order())
 
 
 def assemble_evidence(deduped: DataFrame, group: list[str]) -> DataFrame:
     """One row for each group with its evidence as a ranked array: the form of an export."""
-    item = F.struct(*RANK_ORDER, "source_type", "url", "snippet", "reliability")
-    ranked = with_rank_columns(deduped).groupBy(*group).agg(
+    order = [F.col("rank")] if "rank" in deduped.columns else rank_order()
+    own = ["source_type", "url", "snippet", "reliability"] + ["source_name"] * ("rank" in deduped.columns)
+    item = F.struct(*order, *own)
+    ranked = deduped.groupBy(*group).agg(
         F.array_sort(F.collect_list(item)).alias("items")
     )
     return ranked.withColumn(

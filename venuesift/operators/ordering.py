@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuesift.session import cut_lineage
@@ -45,7 +45,9 @@ def limit_records(df: DataFrame, n: int, seq_col: str = "seq") -> DataFrame:
     return head.unionByName(tail)
 
 
-def rank_rows(df: DataFrame, group: list[str], order: list[str], out: str = "rank") -> DataFrame:
+def rank_rows(
+    df: DataFrame, group: list[str], order: list[str] | list[Column], out: str = "rank"
+) -> DataFrame:
     """Number the rows of each group from 1 by ``order``, which must be a total order.
 
     A window would put a whole group into one task. Here one range-partitioned sort by

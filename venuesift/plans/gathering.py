@@ -38,7 +38,7 @@ def matched_evidence(
     The sources are read once: what they have for the asked keys is written, and evidence and
     errors come from that table.
     """
-    rows = cut_lineage(M.gather_sources(asked, union_sources(catalog)), "matched")
+    rows = cut_lineage(M.with_digest(M.gather_sources(asked, union_sources(catalog))), "matched")
     evidence, errors = M.isolate_failures(rows, VENUE)
     reported = union_errors(catalog)
     if reported is not None:

@@ -232,7 +232,7 @@ def places_source_errors(spark, sf_dir):
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, source_ord, source_name, source_type, item_pos, url, snippet, reliability FROM gathered""")
 def gather_sources(spark, sf_dir):
-    return _gathered(spark, sf_dir)[0]
+    return _gathered(spark, sf_dir)[0].drop(M.DIGEST)
 
 
 @query("source_errors", f"""

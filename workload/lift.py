@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +115,8 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keyed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     venues = customer_venues(spark, sf_dir)
+    # Each test table is one file with one row group, which one task would read and clean.
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "pos")
     return rows.join(venues, "c_custkey").select(
         F.lower(F.concat_ws("|", "name", "city")).alias("key"), "pos", "url", "snippet"
     )
@@ -120,7 +124,12 @@ def _keyed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 
 def _text_venue(spark: SparkSession, sf_dir: str, key: str) -> Column:
     """The customer a text belongs to; there are as many venues for texts as customers."""
-    return F.col(key) % table(spark, sf_dir, "customer").count()
+    return F.col(key) % F.lit(_customers(spark, sf_dir))
+
+
+@lru_cache(maxsize=16)
+def _customers(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "customer").count()
 
 
 _N_VENUES = "(SELECT count(*) FROM customer)"
