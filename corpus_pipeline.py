@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in windows."""
-    return packing.piece_digests(packing.pack(docs))
+    return packing.piece_digests(packing.pack(docs, packing.tokenizers_encoder))
 
 
 STAGES = [

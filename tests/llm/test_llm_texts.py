@@ -239,6 +239,44 @@ def test_public_ids_of_any_text(text):
     assert packing.public_encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "\n", "a"]), st.text(max_size=8)), max_size=8)
+
+
+def unmodified():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_a_text_have_their_ids():
+    encode, plain = packing.tokenizers_encoder(), unmodified()
+    assert encode("a<|endoftext|>b") == [64, 50256, 65]
+
+    @settings(deadline=None)
+    @given(SPECIAL)
+    def same(parts):
+        assert encode("".join(parts)) == plain("".join(parts))
+
+    same()
+
+
+def test_longest_added_token_counts():
+    encode = packing.with_added_tokens(lambda text: [ord(c) for c in text], {"<a>": 1, "<a>b": 2})
+    assert encode("<a>b<a>c") == [2, 1, ord("c")]
+
+
+def test_query_and_pipeline_pack_special_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from venuesift.llm import queries
+
+    docs, ids = documents(spark, [(1, "a<|endoftext|>b")]), np.array([64, 50256, 65, 0], dtype="<u4")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op3_pack_documents(spark, str(tmp_path)), corpus_pipeline.pack_documents(spark, docs, "")):
+        (row,) = out.collect()
+        assert (row.length, row.doc_tokens, row.ids_crc32) == (4, 4, zlib.crc32(ids.tobytes()))
+
+
 # ---------------------------------------------------------------- archives
 
 def pages(spark, rows):

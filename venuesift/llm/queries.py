@@ -67,7 +67,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_pack_documents")
 def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), packing.tokenizers_encoder))
 
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
