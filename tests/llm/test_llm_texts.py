@@ -277,6 +277,26 @@ def test_query_and_pipeline_pack_special_tokens(spark, tmp_path):
         assert (row.length, row.doc_tokens, row.ids_crc32) == (4, 4, zlib.crc32(ids.tobytes()))
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n\u3000\x85\t"])
+@pytest.mark.parametrize("before, after", [("", ""), ("a ", "b"), ("don't", "\x1c"), ("1<|endoftext|>", "<|endoftext|>2"), ("", "'s")])
+def test_very_long_runs_of_white_space(space, before, after):
+    text = before + space * (1_200_000 // len(space)) + after
+    assert packing.tokenizers_encoder()(text) == unmodified()(text)
+
+
+def test_runs_cut_out_have_the_ids_of_the_whole(monkeypatch):
+    encode, plain = packing.tokenizers_encoder(), unmodified()
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+    monkeypatch.setattr(packing, "_LONG_RUN", re.compile(packing._LONG_RUN.pattern.replace("{50000,}", "{2,}")))
+
+    @settings(deadline=None, max_examples=500)
+    @given(st.text(alphabet=" \n\t\x1c\x85\u3000a1.'s", max_size=40))
+    def same(text):
+        assert encode(text) == plain(text)
+
+    same()
+
+
 # ---------------------------------------------------------------- archives
 
 def pages(spark, rows):

@@ -35,6 +35,9 @@ END_ID = 0
 #: Open windows of a task before they are filled up with each other.
 MAX_OPEN = 4096
 _PART_SHIFT = 33
+#: White space of the pattern (``\s`` of Unicode) in runs that are encoded apart.
+LONG_RUN = 50_000
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 
 #: ``ids``: little-endian 32-bit ids of the piece.
 SCHEMA = pa.schema([
@@ -52,12 +55,29 @@ Encode = Callable[[str], list[int]]
 
 @lru_cache(maxsize=2)
 def byte_pair_encoder(ranks_path: str, pattern: str) -> Encode:
-    """Encoder of a byte-level vocabulary; special tokens in a text are ordinary text."""
+    """Encoder of a byte-level vocabulary; special tokens in a text are ordinary text.
+
+    ``pattern`` ends with ``\\s+(?!\\S)|\\s+``: a run of white space is one piece, without its last character if
+    text follows. The regex of tiktoken cannot take a run of a million, so long runs are cut out as that piece.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for found in _LONG_RUN.finditer(text):
+            end = found.end() if found.end() == len(text) else found.end() - 1
+            ids += encoding.encode_ordinary(text[at:found.start()])
+            ids += encoding._encode_single_piece(text[found.start():end])
+            at = end
+        return [*ids, *encoding.encode_ordinary(text[at:])] if at else encoding.encode_ordinary(text)
+
+    return encode
 
 
 def public_encoder() -> Encode:
