@@ -452,6 +452,24 @@ def test_main_text_of_pages(main, text):
         assert extraction.main_text(f"<body><nav>x</nav>{main}") == text
 
 
+LEAD, LAST = "The lead says what follows. " * 11, "The end says what came. " * 8
+LONG = "A sentence of the body that has some length. " * 20
+BODY, SAID = f"<p>{LONG}</p>" * 12, " ".join([LONG.strip()] * 12)
+
+
+@pytest.mark.parametrize("before, after", [
+    ("", ""), ("<div class=breadcrumbs><a href=/>Home</a></div>", "<div class=share>Tell your friends</div>"),
+])
+@pytest.mark.parametrize("inner", ["div class=body", "section"])
+def test_text_around_the_innermost_element_is_kept(before, after, inner):
+    content = f"<div id=content>{before}<h1>Title</h1><p>{LEAD}</p><{inner}>{BODY}</{inner.split()[0]}>{after}<p>{LAST}</p><p>End.</p></div>"
+    text = f"Title {LEAD.strip()} {SAID} {LAST.strip()} End."
+    assert extraction.main_text(content) == text
+    assert extraction.main_text(FRAME.replace("{main}", content)) == text
+    menu = "<div><a href=/a>One</a> | <a href=/b>Two</a></div>"
+    assert extraction.main_text(f"<body>{menu}{content}{menu}") == text
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("<p>", ""), ("plain words", "plain words"), ("<nav>only menus</nav>", ""), ("<p>cut <b", "cut"), ("<p>cut</", "cut"), ("<p>a < b</p>", "a < b"), ("<p>cut &am", "cut &am"), ("<!-- x", ""),
     ("<article>a</b></div>b</article>", "ab"), ("<p>one<script>x</script>word</p>", "oneword"), ("<p>a<x-y>b</x-y>c", "abc"),
