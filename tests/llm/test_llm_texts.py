@@ -470,6 +470,25 @@ def test_text_around_the_innermost_element_is_kept(before, after, inner):
     assert extraction.main_text(f"<body>{menu}{content}{menu}") == text
 
 
+MORE = "Another sentence of another article. " * 18
+OTHER, TOLD = f"<p>{MORE}</p>" * 9, " ".join([MORE.strip()] * 9)
+
+
+@pytest.mark.parametrize("main, text", [
+    (f"<main><article>{BODY}</article><article>{OTHER}</article></main>", f"{SAID} {TOLD}"),
+    (f"<main><article>{OTHER}</article><article>{BODY}</article><p>End.</p></main>", f"{TOLD} {SAID} End."),
+    (f"<article>{BODY}</article><article>{OTHER}</article>", f"{SAID} {TOLD}"),
+    (f"<div><article>{OTHER}</article></div><div class=share>x</div><div><article>{BODY}</article></div>", f"{TOLD} {SAID}"),
+    (f"<article><h1>Title</h1>{OTHER}<article>{BODY}</article><p>End.</p></article>", f"Title {TOLD} {SAID} End."),
+    (f"<div><div>{OTHER}</div><article>{BODY}</article></div>", f"{TOLD} {SAID}"),
+    (f"<div>Links</div><article>{BODY}<div class=related>{OTHER}</div></article><div>Imprint</div>", SAID),
+])
+def test_articles_are_taken_whole(main, text):
+    assert extraction.main_text(f"<body><nav>x</nav>{main}<footer>y</footer>") == text
+    if "Imprint" not in main:
+        assert extraction.main_text(FRAME.replace("{main}", main)) == text
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""), ("<p>", ""), ("plain words", "plain words"), ("<nav>only menus</nav>", ""), ("<p>cut <b", "cut"), ("<p>cut</", "cut"), ("<p>a < b</p>", "a < b"), ("<p>cut &am", "cut &am"), ("<!-- x", ""),
     ("<article>a</b></div>b</article>", "ab"), ("<p>one<script>x</script>word</p>", "oneword"), ("<p>a<x-y>b</x-y>c", "abc"),
