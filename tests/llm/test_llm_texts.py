@@ -565,6 +565,14 @@ def test_signed_tokens():
     assert not found("eyJub3Q.json.here", "signed_token")
 
 
+@pytest.mark.parametrize("after", ["", ".", ". Then", "...", ".\n", ".)", ",", ", then", ";", "!", "é", ".é"])
+def test_signed_tokens_before_punctuation(after):
+    unsigned = f"{b64url(json.dumps({'alg': 'none'}).encode())}.{b64url(b'{}')}."
+    assert found(f"use {TOKEN}{after}", "signed_token") == [TOKEN]
+    assert found(f"use {unsigned} {after}", "signed_token") == [unsigned]
+    assert not found(f"use {TOKEN}.more{after}", "signed_token")
+
+
 def brute_spans(text):
     """Base kinds by walking over the text."""
     out = []

@@ -48,7 +48,10 @@ _ORDER = {kind: at for at, kind in enumerate(KINDS)}
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{64,}={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{96,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+# A full stop behind a token ends a sentence, unless a further part follows.
+_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])"
+)
 _SSH_MAGIC = b"openssh-key-v1\x00"
 _INTEGER, _OCTETS, _OBJECT, _SEQUENCE, _CONSTRUCTED = 0x02, 0x04, 0x06, 0x30, 0x20
 
