@@ -559,6 +559,54 @@ def test_keys_are_confirmed_by_their_structure(key):
         assert not found(text, "base64_key") and not found(text, "hex_key")
 
 
+DSA = der(0x30, der(2, b"\x00"), *[der(2, bytes([1]) * n) for n in (129, 20, 128, 128, 20)])
+PBES2 = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30)), der(4, b"k" * 640))
+DIGEST = der(0x30, der(0x30, der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01"), der(5)), der(4, b"d" * 64))
+
+
+def pem_block(key, label="PRIVATE KEY", headers="", line_break="\n"):
+    code = base64.b64encode(key).decode()
+    lines = [f"-----BEGIN {label}-----", *headers.split("\n"), *(code[i:i + 64] for i in range(0, len(code), 64)), f"-----END {label}-----"]
+    return line_break.join(lines if headers else [lines[0], *lines[2:]])
+
+
+@pytest.mark.parametrize("key, label", [(DSA, "DSA PRIVATE KEY"), (PBES2, "ENCRYPTED PRIVATE KEY")])
+def test_dsa_and_encrypted_keys(key, label):
+    code, pem = base64.b64encode(key).decode(), pem_block(key, label)
+    assert found(f"é {pem} after", "pem_key") == [pem]
+    assert found(f"x {code} y", "base64_key") == [code] and found(f"x {key.hex()} y", "hex_key") == [key.hex()]
+    broken = key[:-1]
+    assert not found(pem_block(broken, label), "pem_key") and not found(broken.hex(), "hex_key")
+
+
+def test_other_structures_are_no_keys():
+    small = der(0x30, der(2, b"\x00"), *[der(2, bytes([1]) * n) for n in (20, 20, 20, 20, 20)])
+    for data in (DIGEST, small):
+        assert not found(f"x {base64.b64encode(data).decode()} y {data.hex()}", "base64_key") and not found(data.hex(), "hex_key")
+        assert not found(pem_block(data), "pem_key")
+
+
+@pytest.mark.parametrize("line_break", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n"])
+def test_pem_keys_with_escaped_line_breaks_and_headers(line_break):
+    for key in (RSA, PKCS8, EC, SSH, DSA, PBES2):
+        pem = pem_block(key, line_break=line_break)
+        assert found(f'{{"key": "{pem}{line_break}"}}', "pem_key") == [pem]
+        pem = pem_block(key, headers="Comment: a key\n", line_break=line_break)
+        assert found(f"x {pem} y", "pem_key") == [pem]
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n"
+    pem = pem_block(b"\xfesecret!" * 80, "RSA PRIVATE KEY", headers, line_break)
+    assert found(f"x {pem} y", "pem_key") == [pem]
+    for body in (b"\xfesecret!" * 80 + b"x", b"x" * 16):
+        assert not found(pem_block(body, "RSA PRIVATE KEY", headers, line_break), "pem_key")
+    slash = pem_block(b"\xff" * 640, "RSA PRIVATE KEY", headers, line_break).replace("/", "\\/")
+    assert found(slash, "pem_key") == [slash]
+
+
+@pytest.mark.parametrize("part", [" ", "\\n", "\\", "A: ", "A", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----A: b\n"])
+def test_broken_pem_blocks_take_linear_time(part):
+    assert not found("-----BEGIN PRIVATE KEY-----" + part * 200_000, "pem_key")
+
+
 def test_signed_tokens():
     assert found(f"use {TOKEN} now", "signed_token") == [TOKEN]
     assert not found(f"{b64url(b'{}')}.{b64url(b'{}')}.abc", "signed_token")

@@ -1,8 +1,8 @@
 """Secret scans with structural confirmation.
 
 Base patterns are reported as they match. Further kinds are only reported when what they
-hold decodes and parses: a PEM block or a base64 or hex run whose bytes are a DER key, with every
-nested length inside the one around it; a base64 run with the magic and the length-prefixed
+hold decodes and parses: a PEM block (also with escaped line breaks, with headers, or encrypted) or a base64 or
+hex run whose bytes are a DER key, with every nested length inside the one around it; a base64 run with the magic and the length-prefixed
 strings of an OpenSSH key; a token of three base64url parts whose first is a JSON
 header that names an algorithm.
 
@@ -45,7 +45,14 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 KINDS = ("assign", "access", "hex", "pem_key", "base64_key", "hex_key", "signed_token")
 _ORDER = {kind: at for at, kind in enumerate(KINDS)}
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Line breaks may be escaped once or more, as in JSON; lines of headers may stand before the base64.
+_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s|\\++[nrt])*+"
+    r"((?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]{0,200}+(?:\s|\\++[nrt])++)*+)"
+    r"((?:[A-Za-z0-9+/=\s]|\\++(?:[nrt/]|u003[dD]))++)-----END \1-----"
+)
+_ESCAPE = re.compile(r"\\+(?:[nrt]|u003[dD])")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{64,}={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{96,}")
 # A full stop behind a token ends a sentence, unless a further part follows.
@@ -53,6 +60,8 @@ _TOKEN = re.compile(
     r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])"
 )
 _SSH_MAGIC = b"openssh-key-v1\x00"
+# Object identifiers of password based encryption: PKCS #5 and PKCS #12.
+_PASSWORD_SCHEMES = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 _INTEGER, _OCTETS, _OBJECT, _SEQUENCE, _CONSTRUCTED = 0x02, 0x04, 0x06, 0x30, 0x20
 
 
@@ -83,17 +92,34 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return found
 
 
+def _encryption(data: bytes, parts: list[tuple[int, int, int]]) -> bytes | None:
+    """The object identifier of the scheme, if the parts are those of an encrypted PKCS#8 key."""
+    if [tag for tag, _, _ in parts] != [_SEQUENCE, _OCTETS] or parts[1][2] - parts[1][1] < 16:
+        return None
+    algorithm = _children(data, parts[0][1], parts[0][2])
+    if not algorithm or algorithm[0][0] != _OBJECT:
+        return None
+    return data[algorithm[0][1]:algorithm[0][2]]
+
+
 def is_der_key(data: bytes) -> bool:
-    """Private keys: RSA (nine numbers), elliptic curve, and PKCS#8 around any of them."""
+    """Private keys: RSA (nine numbers), DSA (six), elliptic curve, PKCS#8 around any of them, and PKCS#8
+    encrypted with a password."""
     outer = _value(data, 0, len(data))
     if outer is None or outer[0] != _SEQUENCE or outer[2] != len(data):
         return False
     parts = _children(data, outer[1], outer[2])
+    if parts and parts[0][0] == _SEQUENCE:
+        scheme = _encryption(data, parts)
+        return scheme is not None and scheme.startswith(_PASSWORD_SCHEMES)
     if not parts or parts[0][0] != _INTEGER or not 1 <= parts[0][2] - parts[0][1] <= 2:
         return False
     tags = [tag for tag, _, _ in parts]
     if tags[:9] == [_INTEGER] * 9:
         return True
+    if tags == [_INTEGER] * 6:
+        version, p, q, g, y, x = (data[begin:end].lstrip(b"\x00") for _, begin, end in parts)
+        return not version and len(p) >= 64 and len(p) > len(q) >= len(x) > 0 and 0 < max(len(g), len(y)) <= len(p)
     if len(parts) >= 2 and tags[1] == _OCTETS and all(tag & 0xE0 == 0xA0 for tag in tags[2:]):
         return parts[1][2] - parts[1][1] >= 16 and len(parts) > 2
     if len(parts) >= 3 and tags[1] == _SEQUENCE and tags[2] == _OCTETS:
@@ -151,6 +177,25 @@ def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_ssh_key(data))
 
 
+def _is_pem_key(label: str, headers: str, body: str) -> bool:
+    """The body holds a key, or one that the label or the headers call encrypted: then by any scheme, or in
+    whole blocks of the size of the initial vector."""
+    data = _from_base64(_ESCAPE.sub("", body).replace("\\", ""))
+    if not data:
+        return False
+    if _is_key(data):
+        return True
+    cipher = _CIPHER.search(headers) if "ENCRYPTED" in headers else None
+    if cipher:
+        block = len(cipher[1]) // 2
+        return len(cipher[1]) in (16, 32) and len(data) >= 2 * block and len(data) % block == 0
+    if "ENCRYPTED" in label:
+        outer = _value(data, 0, len(data))
+        parts = _children(data, outer[1], outer[2]) if outer and outer[0] == _SEQUENCE and outer[2] == len(data) else None
+        return bool(parts) and _encryption(data, parts) is not None
+    return False
+
+
 def find_secrets(text: str) -> list[Span]:
     """All spans in order of start, then kind."""
     found = [
@@ -161,7 +206,7 @@ def find_secrets(text: str) -> list[Span]:
         ("hex", m.span()) for m in _HEX.finditer(text) if len(m[0]) >= HEX_CHARS
     ]
     if "PRIVATE KEY" in text:
-        found += [("pem_key", m.span()) for m in _PEM.finditer(text) if _is_key(_from_base64(m[2]))]
+        found += [("pem_key", m.span()) for m in _PEM.finditer(text) if _is_pem_key(*m.groups())]
     found += [("base64_key", m.span()) for m in _BASE64.finditer(text) if _is_key(_from_base64(m[0]))]
     found += [
         ("hex_key", m.span()) for m in _ANY_HEX.finditer(text)
