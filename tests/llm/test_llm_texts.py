@@ -104,6 +104,27 @@ def chats(spark, rows):
     )
 
 
+def test_templates_that_are_not_declared_local_see_whole_prefixes(spark):
+    def plain(turns):
+        return "".join(f"{role}:{text}\n" for role, text in turns)
+
+    def sometimes(turns):
+        """Drops the first turn for some prefixes between the doublings."""
+        return "cut\n" + plain(turns[1:]) if 40 < len(turns) < 60 else plain(turns)
+
+    def strict(turns):
+        if any(role != ("assistant" if k % 2 else "user") for k, (role, _) in enumerate(turns)):
+            raise ValueError("roles must alternate from user")
+        return plain(turns)
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(100)]
+    (noticed,) = chat.format_chats(chats(spark, rows), sometimes).collect()
+    assert (noticed.rewritten_at, noticed.loss_starts) == (40, [])
+    (done,) = chat.format_chats(chats(spark, rows), strict).collect()
+    assert [done.formatted[a:b] for a, b in zip(done.loss_starts, done.loss_ends)] == [r[3] for r in rows if r[2] == "assistant"]
+    assert chat.format_chats(chats(spark, rows), plain, local=True).collect() == chat.format_chats(chats(spark, rows), plain).collect()
+
+
 def test_chats_with_odd_rows(spark):
     rows = [
         (1, 1, "assistant", None), (1, 0, "user", "hi"), (2, 0, None, "x"), (None, 0, "assistant", "y"), (3, None, "assistant", ""),

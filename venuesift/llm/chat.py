@@ -83,17 +83,18 @@ class Rendered:
     rewritten_at: int | None = None
 
 
-def render(turns: list[Turn], template: Template, loss_roles: frozenset[str]) -> Rendered:
+def render(turns: list[Turn], template: Template, loss_roles: frozenset[str], local: bool = True) -> Rendered:
     """Render successive prefixes. After a rewrite the spans name no fixed text, so none are given.
 
-    Up to ``WHOLE_TURNS`` turns each prefix is rendered whole. In a longer conversation that would
-    cost the square of its length: there the prefixes begin a few turns back, and the whole is
+    Each prefix is rendered whole, unless the template is ``local``: what it writes for a turn depends on this
+    and a few turns before, and it takes turns from anywhere in a conversation. Whole prefixes
+    cost the square of the length, so beyond ``WHOLE_TURNS`` turns those of a local template begin a few turns back, and the whole is
     rendered where the length has doubled. If it is not what the spans add up to, or a
     prefix was rewritten, that stretch is rendered again with whole prefixes.
     """
     out, done = Rendered(text=template([])), 0
     while done < len(turns):
-        upto = min(len(turns), max(WHOLE_TURNS, 2 * done))
+        upto = min(len(turns), max(WHOLE_TURNS, 2 * done)) if local else len(turns)
         longer = _stretch(out, done, upto, turns, template, loss_roles, 0 if not done else CONTEXT_TURNS)
         if done and (longer.rewritten_at is not None or longer.text != template(turns[:upto])):
             longer = _stretch(out, done, upto, turns, template, loss_roles, 0)
@@ -135,18 +136,21 @@ def _first_difference(one: str, other: str, start: int) -> int:
 
 
 def format_chats(
-    chats: DataFrame, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",)
+    chats: DataFrame, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",),
+    local: bool | None = None,
 ) -> DataFrame:
     """One row per conversation: the formatted text and its spans, in code points.
 
-    Turns reach a task in order and go through it as a stream of batches.
+    Turns reach a task in order and go through it as a stream of batches. ``local`` declares the template
+    as one that ``render`` may give a part of a conversation; of itself only ``turn_template`` is.
     """
     roles = frozenset(loss_roles)
+    is_local = template is turn_template if local is None else local
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for conv_id, rows in groupby(rows_of(batches), key=lambda row: row[0]):
-                done = render([(role, text) for _, _, role, text in rows], template, roles)
+                done = render([(role, text) for _, _, role, text in rows], template, roles, is_local)
                 starts, ends = zip(*done.loss, strict=True) if done.loss else ((), ())
                 yield conv_id, done.text, done.ends, starts, ends, done.rewritten_at
 
