@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuesift.llm import chat, exact, extraction, mixing, packing, quality, secrets, simhash, topk, warc
+from venuesift.llm import chat, exact, extraction, mixing, packing, quality, repeats, secrets, simhash, topk, warc
 from venuesift.llm.registry import query, table
 
 _TOPK_SQL = """
@@ -194,3 +194,37 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", F.col("words").alias("source_size"), "target",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+_REPEATS_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS bytes,
+    octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents
+), windows AS (
+  SELECT rid, i, md5(substr(bytes, 2 * i + 1, 400)) AS digest FROM (SELECT rid, bytes, unnest(range(n - 199)) AS i FROM texts)
+), repeated AS (
+  SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY digest) > 1
+), runs AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run
+  FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM repeated)
+), spans AS (
+  SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY rid, run
+), gaps AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS gap_start FROM spans
+), cut AS (
+  SELECT texts.rid, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+    string_agg(substr(bytes, 2 * gap_start + 1, 2 * (a - gap_start)), '' ORDER BY a) || substr(any_value(bytes), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN texts USING (rid) GROUP BY texts.rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, bytes))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (rid)
+"""
+
+
+@query("op11_suffix_dedup", _REPEATS_SQL)
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
