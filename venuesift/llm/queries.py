@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuesift.llm import chat, exact, extraction, mixing, packing, quality, repeats, secrets, simhash, topk, warc
+from venuesift.llm import alignment, chat, exact, extraction, mixing, packing, quality, repeats, secrets, simhash, topk, warc
 from venuesift.llm.registry import query, table
 
 _TOPK_SQL = """
@@ -228,3 +228,8 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
