@@ -48,7 +48,7 @@ def session_values(spark: SparkSession, values: dict[str, str]) -> Iterator[None
                 spark.conf.set(name, value)
 
 
-def cut_lineage(df: DataFrame, label: str = "rows") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "rows", codec: str | None = None) -> DataFrame:
     """Write the rows once to a table in the shared folder and go on from that table.
 
     Later steps read only the columns they need, and nothing is computed again when an
@@ -57,5 +57,14 @@ def cut_lineage(df: DataFrame, label: str = "rows") -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, label)
     with session_values(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
-    return spark.read.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    table = spark.read.parquet(path)
+    table._written_at = path
+    return table
+
+
+def remove_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once everything made from them is written too."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
