@@ -110,3 +110,14 @@ def test_least_hashes_equal_plain_minima():
     plain = [min(hashes[i:i + width]) for i in range(len(hashes) - width + 1)]
     least, chosen = repeats.least_hashes(data, 60)
     assert least.tolist() == plain and set(chosen.tolist()) == set(plain)
+
+
+def test_names_tell_substrings_and_salts_apart():
+    piece = b"abcabcabd" * 40
+    names = repeats.Names(piece)
+    firsts = np.repeat(np.arange(300), 3)
+    ends = firsts + np.tile([5, 20, 41], 300)
+    found = list(zip(*(part.tolist() for part in names.of(firsts, ends)), strict=True))
+    strings = [piece[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+    assert len(set(zip(found, strings, strict=True))) == len(set(found)) == len(set(strings))
+    assert not set(zip(*(part.tolist() for part in names.of(firsts, ends, 1)), strict=True)) & set(found)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from venuesift.llm.common import batched, rows_of, small_batches, text_of
 from venuesift.llm.packing import public_encoder
 from venuesift.operators.lookup import lookup_join
-from venuesift.session import cut_lineage, session_values
+from venuesift.session import cut_lineage
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -257,11 +257,9 @@ def linked_documents(
     The count of an id pair is how many links of the corpus hold it; ``count_sum`` adds it over the links of the
     row, ``n_best`` counts the links whose pair has the highest count of its second id.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    with session_values(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
-        blocks = cut_lineage(rows.mapInArrow(_blocks(first, second, block_bytes), _BLOCKS_SPARK), "token-blocks")
+    blocks = cut_lineage(rows.mapInArrow(_blocks(first, second, block_bytes), _BLOCKS_SPARK), "token-blocks", "zstd")
     held = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "p")).select(
         "block", "place", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("count")
     )

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from venuesift.llm.common import batched, rows_of, small_batches, text_of
 from venuesift.operators.lookup import lookup_join
-from venuesift.session import cut_lineage
+from venuesift.session import cut_lineage, remove_tables
 
 LENGTH = 200
 #: Window starts that are worked on at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 _ROWS = 1 << 16
@@ -164,10 +164,50 @@ def _stretches(length: int) -> Callable:
     return lambda batches: batched(each(batches), _STRETCHES)
 
 
-def _named(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit names of byte strings, as two columns of numbers."""
-    names = np.frombuffer(b"".join(blake2b(part, digest_size=16).digest() for part in parts), dtype=np.int64)
-    return names[::2], names[1::2]
+class Names:
+    """128-bit names of any substrings of a piece: four polynomials modulo primes below 2^31, from prefix sums.
+
+    For two different strings of 400 bytes a name agrees with a probability of about 10^-27 over the choice of the bases.
+    """
+
+    # Terms are below 2^31, so that sums over a piece stay far below 2^64.
+    PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+    BASES = (1203497861, 811346189, 1952407763, 415927549)
+
+    def __init__(self, piece: bytes):
+        data = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        self.sums = []
+        for prime, (up, _) in zip(self.PRIMES, _prime_powers(BLOCK + (1 << 16)), strict=True):
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(data * up[:len(data)] % np.uint64(prime), out=sums[1:])
+            self.sums.append(sums)
+
+    def of(self, first: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the bytes from ``first`` to ``end``; a different ``salt`` gives other names to equal bytes."""
+        hashes = [
+            (sums[end] - sums[first]) % np.uint64(prime) * down[first] % np.uint64(prime)
+            for sums, prime, (_, down) in zip(self.sums, self.PRIMES, _prime_powers(BLOCK + (1 << 16)), strict=True)
+        ]
+        salted = np.asarray(salt, dtype=np.uint64) * np.uint64(_BASE)
+        return tuple(
+            ((hashes[k] << np.uint64(31) | hashes[k + 1]) * np.uint64(0xBF58476D1CE4E5B9) + salted).view(np.int64) for k in (0, 2)
+        )
+
+
+@lru_cache(maxsize=1)
+def _prime_powers(count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse modulo its prime."""
+    def powers(base: int, prime: int) -> np.ndarray:
+        found = np.ones(1, dtype=np.uint64)
+        while len(found) < count:  # twice as many each time
+            step = np.uint64(pow(base, len(found), prime))
+            found = np.concatenate([found, found * step % np.uint64(prime)])
+        return found[:count]
+
+    return [
+        (powers(base, prime), powers(pow(base, -1, prime), prime))
+        for base, prime in zip(Names.BASES, Names.PRIMES, strict=True)
+    ]
 
 
 _SAMPLES = pa.schema([
@@ -189,18 +229,19 @@ def _samples(length: int, period: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for text_id, start, piece in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 places, low, high = cover_samples(piece, length, period)
-                for at in range(0, len(places), _ROWS):
-                    q, lo, hi = (part[at:at + _ROWS] for part in (places, low, high))
-                    triples = list(zip(q.tolist(), lo.tolist(), hi.tolist(), strict=True))
-                    ranks = _named([piece[a:a + depth] for a, _, _ in triples])
-                    # The place of the sample belongs to the name, so that equal names mean equal windows.
-                    wide = _named([piece[b:c + length] + b"%d" % (a - b) for a, b, c in triples])
-                    same = [np.full(len(q), value, dtype=np.int64) for value in (text_id, start)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(column) for column in (*ranks, *wide, *same, lo, hi)], schema=_SAMPLES
-                    )
+                names = Names(piece)
+                ranks = names.of(places, places + depth)
+                # Where the sample stands among its windows belongs to the name, so that equal names mean equal windows.
+                wide = names.of(low, high + length, (places - low) * (period + 1) + (high - low))
+                same = [np.full(len(places), value, dtype=np.int64) for value in (text_id, start)]
+                parts.append((*ranks, *wide, *same, low, high))
+            if parts:
+                columns = [pa.array(np.concatenate(column)) for column in zip(*parts, strict=True)]
+                whole = pa.RecordBatch.from_arrays(columns, schema=_SAMPLES)
+                yield from (whole.slice(at, _ROWS) for at in range(0, whole.num_rows, _ROWS))
 
     return run
 
@@ -209,7 +250,7 @@ def judged_samples(samples: DataFrame) -> DataFrame:
     """Samples with something to tell: ``ties`` (all windows repeat), ``speaks`` (its windows are compared one by one).
 
     Of the samples with the same wide name one speaks for all (or several, if their hashes are equal), and only where
-    others with the same rank differ from them.
+    others with the same rank differ from them. ``samples`` are made twice, which is cheaper than a table of them.
     """
     rank, wide = ["r1", "r2"], ["w1", "w2"]
     places = samples.withColumn("place", F.xxhash64("text_id", "start", "low"))
@@ -219,12 +260,19 @@ def judged_samples(samples: DataFrame) -> DataFrame:
     by_rank = cut_lineage(kinds.groupBy(*rank).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1"), "sample-ranks")
     told = lookup_join(kinds, by_rank, rank, counts=by_rank, count_col="kinds", spread=wide)
     verdicts = cut_lineage(
-        told.select(*wide, "n", (F.col("n") > 1).alias("ties"), F.when(F.col("kinds") > 1, F.col("speaker")).alias("speaker")),
+        told.select(*wide, "n", (F.col("n") > 1).alias("ties"), F.when(F.col("kinds") > 1, F.col("speaker")).alias("speaker"))
+        .filter("ties OR speaker IS NOT NULL"),
         "sample-verdicts",
     )
+    remove_tables(kinds, by_rank)
     met = lookup_join(places.drop(*rank), verdicts.drop("n"), wide, counts=verdicts, spread=["text_id", "start", "low"])
     speaks = F.coalesce(F.col("place") == F.col("speaker"), F.lit(False))
-    return met.select("text_id", "start", "low", "high", "ties", speaks.alias("speaks")).filter("ties OR speaks")
+    judged = cut_lineage(
+        met.select("text_id", "start", "low", "high", "ties", speaks.alias("speaks")).filter("ties OR speaks"),
+        "judged-samples",
+    )
+    remove_tables(verdicts)
+    return judged
 
 
 _FOUND = pa.schema([
@@ -256,11 +304,11 @@ def _suffixes(length: int) -> Callable:
                     pa.array(start + spans[:, 1] + length), pa.array(np.zeros(len(spans), bool)),
                 ], schema=_FOUND)
             asked = np.flatnonzero(_covered([(s["low"], s["high"]) for s in samples if s["speaks"]], size))
+            names = Names(piece) if len(asked) else None
             for at in range(0, len(asked), _ROWS):
                 part = asked[at:at + _ROWS]
-                names = _named([piece[i:i + length] for i in part.tolist()])
                 yield pa.RecordBatch.from_arrays([
-                    *map(pa.array, names), pa.array(np.full(len(part), text_id)), pa.array(start + part),
+                    *map(pa.array, names.of(part, part + length)), pa.array(np.full(len(part), text_id)), pa.array(start + part),
                     pa.array(start + part + length), pa.array(~tied[part]),
                 ], schema=_FOUND)
 
@@ -280,14 +328,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         .mapInArrow(_stretches(length), "text_id long, start long, piece binary"),
         "stretches",
     )
-    samples = cut_lineage(
-        stretches.mapInArrow(
-            _samples(length, period),
-            "r1 long, r2 long, w1 long, w2 long, text_id long, start long, low long, high long",
-        ),
-        "cover-samples",
-    )
-    by_stretch = judged_samples(samples).groupBy("text_id", "start").agg(
+    remove_tables(by_text)
+    judged = judged_samples(stretches.mapInArrow(
+        _samples(length, period), "r1 long, r2 long, w1 long, w2 long, text_id long, start long, low long, high long"
+    ))
+    by_stretch = judged.groupBy("text_id", "start").agg(
         F.collect_list(F.struct("low", "high", "ties", "speaks")).alias("samples")
     )
     found = cut_lineage(
@@ -295,11 +340,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         .mapInArrow(_suffixes(length), "w1 long, w2 long, text_id long, from long, to long, open boolean"),
         "suffixes",
     )
+    remove_tables(stretches, judged)
     suffixes = found.filter("w1 IS NOT NULL")
     twice = cut_lineage(suffixes.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-ranks")
     more = lookup_join(suffixes.filter("open"), twice.drop("n"), ["w1", "w2"], counts=twice, spread=["text_id", "from"])
-    spans = ["text_id", "from", "to"]
-    return found.filter("w1 IS NULL").select(*spans).unionByName(more.select(*spans))
+    spans = found.filter("w1 IS NULL").unionByName(more.select(*found.columns)).select("text_id", "from", "to")
+    written = cut_lineage(spans, "repeated-spans")
+    remove_tables(found, twice)
+    return written
 
 
 _CUT = pa.schema([
@@ -340,15 +388,17 @@ def remove_repeats(
         whole.select(
             F.monotonically_increasing_id().alias("text_id"), F.encode("text", "utf-8").alias("data"),
             F.sha2("text", 256).alias("digest"), "copies",
-        ), "texts",
+        ), "texts", "zstd",
     )
-    spans = repeated_spans(texts, length).groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    repeated = repeated_spans(texts, length)
+    spans = repeated.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     several = (F.col("copies") > 1) & (F.octet_length("data") >= length)
     cut = texts.join(spans, "text_id", "left").select("text_id", "data", several.alias("several"), "spans").mapInArrow(
         _cut(keep_bytes),
         "text_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string",
     )
     named = cut_lineage(texts.select("text_id", "digest", "copies").join(cut, "text_id").drop("text_id"), "cut-texts")
+    remove_tables(texts, repeated)
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.sha2(text_of(docs, text_col), 256).alias("digest"))
     each = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("rows"))
     met = lookup_join(each, named.drop("copies"), ["digest"], counts=named, count_col="copies", spread=["id"])
