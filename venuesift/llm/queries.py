@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuesift.llm import alignment, chat, exact, extraction, mixing, packing, quality, repeats, secrets, simhash, topk, warc
+from venuesift.llm import alignment, chat, exact, extraction, mixing, packing, phrases, quality, repeats, secrets, simhash, topk, warc
 from venuesift.llm.registry import query, table
 
 _TOPK_SQL = """
@@ -233,3 +233,42 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.linked_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'
+  )), '[^\x20\x09]+') AS words
+  FROM documents
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: words[i:i + size - 1])) AS gram
+  FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS size)
+), counts AS (
+  SELECT lang, size, gram, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30 OR size = 1
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+), phrases AS (
+  SELECT lang, size, gram, f AS a FROM counts WHERE size > 1
+), cuts AS (
+  SELECT p.*, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM phrases) p
+  JOIN counts x ON x.lang = p.lang AND x.gram = p.gram[1:k] JOIN counts y ON y.lang = p.lang AND y.gram = p.gram[k + 1:size]
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, gram[i:i + m - 1] AS gram, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM phrases))
+  GROUP BY ALL
+), ranked AS (
+  SELECT w.*, array_to_string(gram, ' ') AS phrase FROM weakest w LEFT JOIN inside USING (lang, gram)
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", _PHRASES_SQL)
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
