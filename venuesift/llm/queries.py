@@ -253,7 +253,7 @@ WITH pieces AS (
 ), cuts AS (
   SELECT p.*, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
   FROM (SELECT *, unnest(range(1, size)) AS k FROM phrases) p
-  JOIN counts x ON x.lang = p.lang AND x.gram = p.gram[1:k] JOIN counts y ON y.lang = p.lang AND y.gram = p.gram[k + 1:size]
+  JOIN counts x ON x.lang = p.lang AND x.gram = p.gram[1:k] JOIN counts y ON y.lang = p.lang AND y.gram = p.gram[k + 1:p.size]
 ), weakest AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
 ), inside AS (
