@@ -29,24 +29,33 @@ def _hashable(kind: DataType) -> bool:
     return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType | VariantType)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count_col: str) -> DataFrame | None:
+def hashable_columns(df: DataFrame) -> list[str]:
+    """Columns Spark can hash: all but those with maps or variants in them."""
+    return [field.name for field in df.schema if _hashable(field.dataType)]
+
+
+def hot_keys(counts: DataFrame, keys: list[str], count_col: str, total: int | None = None) -> DataFrame | None:
     """Keys with more than a task's share of the rows, with the number of their parts; None if there are none.
 
-    ``counts`` has one row for each key. At most as many keys as there are shuffle partitions can pass, so
-    the result is small enough to be broadcast.
+    ``counts`` has one row for each key and is read twice, so it should be a written table; ``total`` are all rows, where
+    it leaves keys out. At most as many keys as there are shuffle partitions can pass, so the result is small enough to be broadcast.
     """
-    spark = counts.sparkSession
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted, most = counts.agg(F.sum(count_col), F.max(count_col)).first()
+    total = counted if total is None else total
+    share = max(LEAST_ROWS, (total or 0) / shares)
+    if not counted or most <= share:
+        return None
+    parts = F.least(F.ceil(F.col(count_col) * FINENESS / F.lit(float(share))), F.lit(MOST_PARTS)).cast("int")
+    return counts.filter(F.col(count_col) > share).select(*keys, parts.alias(_PARTS))
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """A written table of the rows of each key that may be hot, and the number of all rows."""
     seen = Observation()
-    many = cut_lineage(
-        counts.select(*keys, F.col(count_col).cast("long").alias(_COUNT)).observe(seen, F.sum(_COUNT).alias("total"))
-        .filter(F.col(_COUNT) >= LEAST_ROWS),
-        "key-counts",
-    )
-    share = max(LEAST_ROWS, (seen.get["total"] or 0) / shares)
-    parts = F.least(F.ceil(F.col(_COUNT) * FINENESS / F.lit(float(share))), F.lit(MOST_PARTS)).cast("int")
-    hot = many.filter(F.col(_COUNT) > share).select(*keys, parts.alias(_PARTS))
-    return None if hot.isEmpty() else hot
+    each = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT))
+    many = cut_lineage(each.observe(seen, F.sum(_COUNT).alias("total")).filter(F.col(_COUNT) >= LEAST_ROWS), "key-counts")
+    return many, seen.get["total"] or 0
 
 
 def lookup_join(
@@ -60,15 +69,17 @@ def lookup_join(
     ``spread`` (all that can be hashed, if not given), so a lost task deals them the same way again; rows that
     agree in all of these stay together. Null keys meet nothing, as in any join.
     """
+    total = None
     if counts is None:
-        counts, count_col = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT)), _COUNT
+        (counts, total), count_col = _counted(rows, keys), _COUNT
     known = F.lit(True)
     for key in keys:
         known = known & F.col(key).isNotNull()
-    hot = hot_keys(counts.filter(known), keys, count_col)
+    hot = hot_keys(counts, keys, count_col, total)
     if hot is None:
         return rows.join(table, keys, how)
-    named = spread or [field.name for field in rows.schema if _hashable(field.dataType)]
+    hot = hot.filter(known)
+    named = spread or hashable_columns(rows)
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(_PART, _part_of(F.col(_PARTS), named)).drop(_PARTS)
     repeated = table.join(F.broadcast(hot), keys, "left").withColumn(
         _PART, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1))

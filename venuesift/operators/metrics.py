@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from venuesift import contracts as C
 from venuesift.functions import rules as R
+from venuesift.operators.lookup import lookup_join
+from venuesift.session import cut_lineage
 
 
 def expected_labels(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFrame:
@@ -18,9 +20,16 @@ def expected_labels(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFra
 
 
 def join_expected(df: DataFrame, id_col: str, seq_col: str = "seq") -> DataFrame:
-    """Attach to each row the label that counts for its id."""
-    labels = expected_labels(df, id_col, seq_col)
-    return df.join(labels, id_col, "left")
+    """Attach to each row the label that counts for its id.
+
+    Labels and numbers of rows come from one aggregation; rows of an id that has very many of
+    them are dealt over several tasks.
+    """
+    label = F.max_by("expected_label", F.when(F.col("expected_label").isNotNull(), F.col(seq_col)))
+    per_id = cut_lineage(
+        df.groupBy(id_col).agg(label.alias("expected_for_id"), F.count(F.lit(1)).alias("n")), "expected-labels"
+    )
+    return lookup_join(df, per_id.drop("n"), [id_col], "left", counts=per_id, spread=[seq_col])
 
 
 def evaluate(
