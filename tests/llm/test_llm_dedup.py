@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from venuesift.llm import exact, simhash
 from venuesift.llm.graph import components
+from venuesift.session import session_values
 
 
 def brute_exact(rows):
@@ -178,3 +179,22 @@ def test_components_of_paths_and_stars(spark):
 
 def test_clashing_names_are_really_there():
     assert {"id", "row", "digest", "fp"} <= set(CLASHING)
+
+
+def test_stages_take_map_columns(spark):
+    """Rows are told apart by id and text; columns that cannot be hashed do not matter."""
+    docs = documents(spark, ODD).withColumn("extra", F.create_map(F.lit("a"), F.col("text")))
+    assert exact.drop_exact(docs).count() == exact.drop_exact(documents(spark, ODD)).count()
+    assert simhash.drop_near(docs).columns == docs.columns
+
+
+def test_one_text_in_half_of_the_rows(spark):
+    """The ids of one text are dealt over the tasks of the lookup."""
+    rows = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text")
+    )
+    with session_values(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        sizes = [r["n"] for r in exact.exact_groups(rows).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert exact.exact_groups(rows).filter("n = 3000 AND keep = 5998").count() == 3000
+    assert simhash.near_groups(rows.limit(2000)).count() == 2000

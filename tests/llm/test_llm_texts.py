@@ -346,6 +346,26 @@ def test_archives_round_trip(spark, tmp_path):
         assert all(r.refers_to == top and r.payload is None for r in mine if r.record_type == "revisit")
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, "u", f"payload {i} " * 20) for i in range(64)]
+    archives = warc.write_archives(pages(spark, rows).repartition(4), str(tmp_path / "w"), archive_bytes=300)
+    count = archives.count()
+    read = warc.read_archives(archives)
+    assert count > 16 and read.rdd.getNumPartitions() == min(count, 4 * spark.sparkContext.defaultParallelism)
+    assert sorted(r.page_id for r in read.collect()) == list(range(64))
+    assert all(r["archive"].startswith("file:/") for r in archives.collect())
+
+
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    rows = [(1, "u", "same"), (2, "u", "same"), (3, "u", "same"), (None, "u", "other"), (None, "u", "other")]
+    records = warc.read_archives(warc.write_archives(pages(spark, rows), str(tmp_path / "w")), payloads=False)
+    assert warc.unresolved_revisits(records).count() == 0
+    lost = warc.unresolved_revisits(records.filter("page_id IS NULL OR page_id < 3"))
+    assert sorted(r.page_id for r in lost.collect()) == [1, 2]
+    digest = F.when(F.col("page_id") == 3, F.lit("X" * 32)).otherwise(F.col("payload_digest"))
+    assert warc.unresolved_revisits(records.withColumn("payload_digest", digest)).count() == 2
+
+
 def test_smaller_payloads_are_all_stored(spark, tmp_path):
     rows = [(1, "a", "tiny"), (2, "a", "tiny"), (3, "a", "long enough"), (4, "a", "long enough")]
     got = warc.read_archives(warc.write_archives(pages(spark, rows), str(tmp_path / "w"), min_bytes=5)).collect()

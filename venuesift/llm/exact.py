@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuesift.llm.common import text_of
+from venuesift.operators.lookup import hashable_columns, lookup_join
+from venuesift.session import cut_lineage
 
 #: The copies of one text are dealt into so many parts before they meet.
 SALTS = 64
@@ -50,12 +52,14 @@ def winners(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``id, keep, n, kept, digest``.
 
-    Rows go to the join without their texts and once for each (digest, id).
+    Rows go to the join without their texts and once for each (digest, id). The rows of a text with very many
+    copies are dealt over several tasks, each of which gets the winner.
     """
     slim = docs.select(
         docs[id_col].alias("id"), F.sha2(text_of(docs, text_col), 256).alias("digest")
     ).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("copies"))
-    met = slim.join(winners(docs, text_col, id_col), "digest")
+    tops = cut_lineage(winners(docs, text_col, id_col), "winners")
+    met = lookup_join(slim, tops, ["digest"], counts=tops, spread=["id"])
     steps = met.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _STEP))))
     left = F.least(F.lit(_STEP).cast("long"), F.col("copies") - F.col("step") * _STEP)
     each = steps.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), left)))
@@ -77,7 +81,7 @@ def drop_exact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(docs[id_col]),
         F.sha2(text_of(docs, text_col), 256).alias("digest"),
     )
-    repeats = Window.partitionBy("digest", "id_key").orderBy(F.xxhash64("row"))
+    repeats = Window.partitionBy("digest", "id_key").orderBy(F.xxhash64(*[F.col("row")[c] for c in hashable_columns(docs)]))
     once = rows.withColumn("at", F.row_number().over(repeats)).filter(F.col("at") == 1)
     top = winners(docs, text_col, id_col).select("digest", key(F.col("keep")))
     return once.join(top, ["digest", "id_key"], "left_semi").select("row.*")

@@ -2,7 +2,8 @@
 
 In a round, every node first hands its larger neighbours to its smallest neighbour, then its smaller
 ones. The smallest neighbour comes from an aggregation that is combined before its
-shuffle, and no neighbour list is ever collected. The edges of each round are written to
+shuffle, and no neighbour list is ever collected; the edges of a node with very many of them are dealt over
+several tasks when they meet it. The edges of each round are written to
 the shared folder; the rounds end when the edges no longer change, about the logarithm of the
 longest path.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from venuesift.session import cut_lineage
+from venuesift.operators.lookup import lookup_join
+from venuesift.session import cut_lineage, remove_tables
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _state(stars)
     while state[0]:
-        stars = cut_lineage(_small_star(_large_star(stars)), "stars")
+        before = stars
+        wide = cut_lineage(_large_star(stars), "large-stars")
+        stars = cut_lineage(_small_star(wide), "stars")
+        remove_tables(before, wide)
         before, state = state, _state(stars)
         if before == state:
             break
@@ -43,13 +48,17 @@ def _state(edges: DataFrame) -> tuple[int, int, int]:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = both.join(least, "u").filter(F.col("v") > F.col("u"))
+    moved = _with_least(both).withColumn("m", F.least("u", "m")).filter(F.col("v") > F.col("u"))
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    met = edges.join(least, "u")
+    met = _with_least(edges)
     moved = met.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(met.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with ``m``, the smallest neighbour of ``u``."""
+    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least-neighbours")
+    return lookup_join(edges, least.drop("n"), ["u"], counts=least, spread=["v"])

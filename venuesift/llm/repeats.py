@@ -61,20 +61,20 @@ def period_for(length: int) -> int:
     return 73 if length >= 2 * 73 else max(1, length // 2)
 
 
-@lru_cache(maxsize=2)
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    def powers(base: int) -> np.ndarray:
-        steps = np.full(count, base, dtype=np.uint64)
+@lru_cache(maxsize=3)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, as many as a piece may have bytes."""
+    def powers(of: int) -> np.ndarray:
+        steps = np.full(BLOCK + (1 << 16), of, dtype=np.uint64)
         steps[0] = 1
         return np.cumprod(steps, dtype=np.uint64)
 
-    return powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+    return powers(base), powers(pow(base, -1, 1 << 64))
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each string of ``gram`` bytes; equal strings have equal hashes."""
-    up, down = _powers(BLOCK + (1 << 16))
+    up, down = _powers(_BASE)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
     hashes = (sums[gram:] - sums[:-gram]) * down[:len(data) - gram + 1]
@@ -165,49 +165,38 @@ def _stretches(length: int) -> Callable:
 
 
 class Names:
-    """128-bit names of any substrings of a piece: four polynomials modulo primes below 2^31, from prefix sums.
+    """128-bit names of any substrings of a piece: two polynomials over random numbers for the bytes, from prefix sums.
 
-    For two different strings of 400 bytes a name agrees with a probability of about 10^-27 over the choice of the bases.
+    Sums are modulo 2^64, where only strings of two thousand bytes and more can be made to agree in every base; the
+    substrings named here are far shorter.
     """
 
-    # Terms are below 2^31, so that sums over a piece stay far below 2^64.
-    PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
-    BASES = (1203497861, 811346189, 1952407763, 415927549)
+    BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
     def __init__(self, piece: bytes):
-        data = np.frombuffer(piece, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+        data = np.frombuffer(piece, dtype=np.uint8)
         self.sums = []
-        for prime, (up, _) in zip(self.PRIMES, _prime_powers(BLOCK + (1 << 16)), strict=True):
+        for base, digits in zip(self.BASES, _digits(), strict=True):
             sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(data * up[:len(data)] % np.uint64(prime), out=sums[1:])
+            np.cumsum(digits[data] * _powers(base)[0][:len(data)], out=sums[1:])
             self.sums.append(sums)
 
     def of(self, first: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Names of the bytes from ``first`` to ``end``; a different ``salt`` gives other names to equal bytes."""
-        hashes = [
-            (sums[end] - sums[first]) % np.uint64(prime) * down[first] % np.uint64(prime)
-            for sums, prime, (_, down) in zip(self.sums, self.PRIMES, _prime_powers(BLOCK + (1 << 16)), strict=True)
-        ]
         salted = np.asarray(salt, dtype=np.uint64) * np.uint64(_BASE)
-        return tuple(
-            ((hashes[k] << np.uint64(31) | hashes[k + 1]) * np.uint64(0xBF58476D1CE4E5B9) + salted).view(np.int64) for k in (0, 2)
-        )
+        names = []
+        for base, sums in zip(self.BASES, self.sums, strict=True):
+            hashes = (sums[end] - sums[first]) * _powers(base)[1][first]
+            hashes ^= hashes >> np.uint64(32)
+            names.append((hashes * np.uint64(0xBF58476D1CE4E5B9) + salted).view(np.int64))
+        return tuple(names)
 
 
 @lru_cache(maxsize=1)
-def _prime_powers(count: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of each base and of its inverse modulo its prime."""
-    def powers(base: int, prime: int) -> np.ndarray:
-        found = np.ones(1, dtype=np.uint64)
-        while len(found) < count:  # twice as many each time
-            step = np.uint64(pow(base, len(found), prime))
-            found = np.concatenate([found, found * step % np.uint64(prime)])
-        return found[:count]
-
-    return [
-        (powers(base, prime), powers(pow(base, -1, prime), prime))
-        for base, prime in zip(Names.BASES, Names.PRIMES, strict=True)
-    ]
+def _digits() -> tuple[np.ndarray, np.ndarray]:
+    """A number of 64 bits for each byte, for each of the two polynomials."""
+    chosen = np.random.default_rng(11).integers(0, 1 << 64, size=(2, 256), dtype=np.uint64)
+    return chosen[0], chosen[1]
 
 
 _SAMPLES = pa.schema([
@@ -250,17 +239,21 @@ def judged_samples(samples: DataFrame) -> DataFrame:
     """Samples with something to tell: ``ties`` (all windows repeat), ``speaks`` (its windows are compared one by one).
 
     Of the samples with the same wide name one speaks for all (or several, if their hashes are equal), and only where
-    others with the same rank differ from them. ``samples`` are made twice, which is cheaper than a table of them.
+    others with the same rank differ from them and have no tie. ``samples`` are made twice, which is cheaper than a table of them.
     """
     rank, wide = ["r1", "r2"], ["w1", "w2"]
     places = samples.withColumn("place", F.xxhash64("text_id", "start", "low"))
     kinds = cut_lineage(
         places.groupBy(*rank, *wide).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("speaker")), "sample-kinds"
     )
-    by_rank = cut_lineage(kinds.groupBy(*rank).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1"), "sample-ranks")
+    by_rank = cut_lineage(kinds.groupBy(*rank).agg(
+        F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single")
+    ).filter("all > 1"), "sample-ranks")
+    # Where every kind has two samples or more, all windows are resolved already.
+    compared = (F.col("kinds") > 1) & (F.col("single") > 0)
     told = lookup_join(kinds, by_rank, rank, counts=by_rank, count_col="kinds", spread=wide)
     verdicts = cut_lineage(
-        told.select(*wide, "n", (F.col("n") > 1).alias("ties"), F.when(F.col("kinds") > 1, F.col("speaker")).alias("speaker"))
+        told.select(*wide, "n", (F.col("n") > 1).alias("ties"), F.when(compared, F.col("speaker")).alias("speaker"))
         .filter("ties OR speaker IS NOT NULL"),
         "sample-verdicts",
     )
@@ -281,36 +274,43 @@ _FOUND = pa.schema([
 ])
 
 
-def _covered(intervals: list[tuple[int, int]], size: int) -> np.ndarray:
-    """True where one of the intervals (first, last) is."""
-    steps = np.zeros(size + 1, dtype=np.int64)
-    for first, last in intervals:
-        steps[first] += 1
-        steps[last + 1] -= 1
-    return np.cumsum(steps[:-1]) > 0
+def _covered(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """True from each first to each last place."""
+    steps = np.bincount(first, minlength=size + 1) - np.bincount(last + 1, minlength=size + 1)
+    return np.cumsum(steps[:size]) > 0
 
 
 def _suffixes(length: int) -> Callable:
     """Spans that are resolved, and the windows that have to be compared, with their ranks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text_id, start, piece, samples in rows_of(batches):
-            size = len(piece) - length + 1
-            tied = _covered([(s["low"], s["high"]) for s in samples if s["ties"]], size)
-            spans = runs_of(tied)
-            if len(spans):
-                nothing = pa.nulls(len(spans), pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    nothing, nothing, pa.array(np.full(len(spans), text_id)), pa.array(start + spans[:, 0]),
-                    pa.array(start + spans[:, 1] + length), pa.array(np.zeros(len(spans), bool)),
-                ], schema=_FOUND)
-            asked = np.flatnonzero(_covered([(s["low"], s["high"]) for s in samples if s["speaks"]], size))
-            names = Names(piece) if len(asked) else None
-            for at in range(0, len(asked), _ROWS):
-                part = asked[at:at + _ROWS]
-                yield pa.RecordBatch.from_arrays([
-                    *map(pa.array, names.of(part, part + length)), pa.array(np.full(len(part), text_id)), pa.array(start + part),
-                    pa.array(start + part + length), pa.array(~tied[part]),
-                ], schema=_FOUND)
+        for batch in batches:
+            samples = batch.column("samples")
+            ends = samples.offsets.to_numpy()
+            low, high, ties, speaks = (samples.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ids, starts = (batch.column(name).to_numpy() for name in ("text_id", "start"))
+            names, parts = ("w1", "w2", "text_id", "from", "to", "open"), []
+            for row in range(batch.num_rows):
+                own = slice(ends[row], ends[row + 1])
+                piece = batch.column("piece")[row].as_py()
+                size, tie, speak = len(piece) - length + 1, ties[own], speaks[own]
+                tied = _covered(low[own][tie], high[own][tie], size)
+                spans = runs_of(tied)
+                asked = np.flatnonzero(_covered(low[own][speak], high[own][speak], size))
+                ranks = Names(piece).of(asked, asked + length) if len(asked) else (asked, asked)
+                # Spans first, without ranks.
+                parts.append((
+                    len(spans), *(np.concatenate([np.zeros(len(spans), np.int64), rank]) for rank in ranks),
+                    np.full(len(spans) + len(asked), ids[row]), starts[row] + np.concatenate([spans[:, 0], asked]),
+                    starts[row] + np.concatenate([spans[:, 1], asked]) + length,
+                    np.concatenate([np.zeros(len(spans), bool), ~tied[asked]]),
+                ))
+                if sum(len(part[1]) for part in parts) >= _ROWS or row + 1 == batch.num_rows:
+                    nameless = np.concatenate([np.arange(len(part[1])) < part[0] for part in parts])
+                    columns = dict(zip(names, (np.concatenate(column) for column in list(zip(*parts, strict=True))[1:]), strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[name], mask=nameless if name[0] == "w" else None) for name in names], schema=_FOUND
+                    )
+                    parts = []
 
     return run
 

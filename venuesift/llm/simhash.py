@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from venuesift.llm.common import batched, rows_of, small_batches, text_of
 from venuesift.llm.graph import components
+from venuesift.operators.lookup import hashable_columns, lookup_join
 from venuesift.session import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -158,15 +159,18 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """
     rows = cut_lineage(fingerprints(docs, text_col, id_col), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
-    fps = cut_lineage(rows.groupBy("fp").agg(first), "different-fingerprints")
-    labels = components(links(fps))
-    named = fps.join(labels, fps["fp"] == labels["node"], "left").select(
+    fps = cut_lineage(rows.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")), "different-fingerprints")
+    labels = components(links(fps.select("fp")))
+    named = cut_lineage(fps.join(labels, fps["fp"] == labels["node"], "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
+    ), "named-fingerprints")
+    smallest = cut_lineage(
+        named.groupBy("label").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), "component-firsts"
     )
-    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
-    by_fp = named.drop("first").join(smallest, "label").select("fp", "first")
+    # One component may hold most fingerprints, and one fingerprint most rows.
+    by_fp = lookup_join(named.drop("first"), smallest.drop("n"), ["label"], counts=smallest, spread=["fp"]).drop("label")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
-    return rows.join(by_fp, "fp").select(
+    return lookup_join(rows, by_fp, ["fp"], counts=fps, spread=["id", "digest"]).select(
         "id", "digest", "fp", F.col("first.id").alias("component"), stays.alias("stays")
     )
 
@@ -187,7 +191,7 @@ def drop_near(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(docs[id_col]),
         F.xxhash64(text_of(docs, text_col)).alias("digest"),
     )
-    repeats = Window.partitionBy("id_key", "digest").orderBy(F.xxhash64("row"))
+    repeats = Window.partitionBy("id_key", "digest").orderBy(F.xxhash64(*[F.col("row")[c] for c in hashable_columns(docs)]))
     once = rows.withColumn("nth", F.row_number().over(repeats)).filter(F.col("nth") == 1)
     gone = near_groups(docs, text_col, id_col).filter(~F.col("stays")).select(key(F.col("id")), "digest")
     return once.join(gone, ["id_key", "digest"], "left_anti").select("row.*")

@@ -33,10 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from venuesift.llm.common import batched, rows_of, small_batches
+from venuesift.operators.lookup import lookup_join
 from venuesift.session import cut_lineage, new_table_path
 
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 64 << 20
+#: Packed bytes that a reading task gets at most, roughly, where there are many archives.
+READ_BYTES = 256 << 20
 _BLOCK = 1 << 16
 _VERSION = "WARC/1.1"
 _DATE = "1970-01-01T00:00:00Z"
@@ -172,10 +175,16 @@ def read_archive(stream: BinaryIO) -> Iterator[Record]:
         yield Record(headers, _fields(http), payload)
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with scheme and host, as Spark's own file systems understand it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def with_targets(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -192,9 +201,9 @@ def with_targets(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         "same": F.concat_ws(":", F.octet_length("payload"), F.sha2("payload", 256)),
         "id_key": F.coalesce(F.col("page_id").cast("string"), F.lit("none")),
     })
-    ids = rows.groupBy("same", "id_key").agg(F.max("page_id").alias("id"))
-    tops = ids.groupBy("same").agg(F.max("id").alias("top"))
-    targets = ids.join(tops, "same").select("same", "id_key", "top")
+    ids = cut_lineage(rows.groupBy("same", "id_key").agg(F.max("page_id").alias("id")), "payload-ids")
+    tops = cut_lineage(ids.groupBy("same").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")), "payload-tops")
+    targets = lookup_join(ids, tops.drop("n"), ["same"], counts=tops, spread=["id_key"]).select("same", "id_key", "top")
     repeats = Window.partitionBy("same", "id_key").orderBy("url")
     met = rows.withColumn("nth", F.row_number().over(repeats)).join(targets, ["same", "id_key"])
     stored = (F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1)) | (F.octet_length("payload") < min_bytes)
@@ -231,6 +240,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
 
         return batched(each(), _LIST)
 
+    folder = qualified(pages.sparkSession, folder)
     small_batches(pages.sparkSession)
     return cut_lineage(
         with_targets(pages, min_bytes).mapInArrow(run, "archive string, records long, bytes long"), "archives"
@@ -250,7 +260,8 @@ _READ_SPARK = (
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the listed archives; each archive is read by one task.
 
-    ``payload`` is null for revisits, and for all records unless ``payloads``.
+    ``payload`` is null for revisits, and for all records unless ``payloads``. The archives are dealt over tasks of some
+    archives' bytes each, and over as many tasks as there are cores at least.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -267,7 +278,11 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         return batched(each(), _READ, 32 if payloads else 256)
 
     small_batches(archives.sparkSession)
-    names = archives.select("archive", "records").repartition("archive")
+    count, size = archives.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(count, max(4 * cores, size // READ_BYTES)))
+    # Adaptive execution does not merge a number of partitions that is given; rows are dealt one by one.
+    names = archives.select("archive", "records").repartition(tasks)
     return names.mapInArrow(run, _READ_SPARK)
 
 
@@ -281,6 +296,17 @@ def _row(record: Record, payloads: bool) -> tuple:
     )
 
 
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """Revisits among ``records`` whose response is missing, or has another payload digest than they name.
+
+    Responses are told by page id and digest; a page id that is null stands for itself.
+    """
+    key = F.concat_ws(":", "payload_digest", F.coalesce(F.col("of").cast("string"), F.lit("none")))
+    revisits = records.filter("record_type = 'revisit'").withColumn("of", F.col("refers_to")).withColumn("target", key)
+    stored = records.filter("record_type = 'response'").withColumn("of", F.col("page_id")).select(key.alias("target")).distinct()
+    return lookup_join(revisits, stored, ["target"], "left_anti").drop("target", "of")
+
+
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives below the shared one."""
     return new_table_path(spark, "warc")
