@@ -220,12 +220,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
         def each() -> Iterator[tuple]:
             store, base = _open(folder)
             store.create_dir(base, recursive=True)
-            prefix = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+            prefix = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
             out, name, records, size, number = None, "", 0, 0, 0
             for page_id, url, payload, refers_to in rows_of(batches):
                 if out is None:
                     name = f"{prefix}-{number:04d}.warc.gz"
-                    out = store.open_output_stream(name, compression=None)
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                     records, size, number = 0, 0, number + 1
                 member = record_member(page_id, url, payload, refers_to)
                 out.write(member)
@@ -233,10 +233,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
                 if size >= archive_bytes:
                     out.close()
                     out = None
-                    yield name, records, size
+                    yield f"{folder}/{name}", records, size
             if out is not None:
                 out.close()
-                yield name, records, size
+                yield f"{folder}/{name}", records, size
 
         return batched(each(), _LIST)
 
