@@ -2,69 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
 from venuesift.functions.text import strip
+from venuesift.operators.lookup import lookup_join
 from venuesift.operators.ordering import rank_rows
+from venuesift.sources.csvtext import MOST_FILES, read_columns
 
 _ROW_BITS = 33
 
 
-def _header_width(spark: SparkSession, path: str | list[str]) -> int:
-    """The most columns that the header line of any file may have."""
-    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
-    )
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    return heads.agg(F.max(F.size(F.split("head", ",", -1)))).first()[0] or 1
-
-
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Four text columns, with missing-value tokens as null, and ``seq``.
 
     Every file has a header of its own, and columns are taken by its names. ``seq`` numbers
-    rows by file path, then by place in the file. A cell may hold line breaks, so a file is read by
-    one task; give a large input as many files.
+    rows by file path, then by place in the file. Cells may hold line breaks; a large file is read by many tasks.
     """
-    width = _header_width(spark, path)
-    cells = ", ".join(f"c{i} string" for i in range(width))
-    raw = spark.read.schema(cells).options(multiLine=True, escape='"').csv(path)
-    file = F.col("_metadata.file_path").alias("file")
-    fields = C.RECORD_FIELDS
-
-    def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, place, row = None, {}, 0
-        for batch in batches:
-            paths, start = batch.column(0).to_pylist(), 0
-            while start < len(paths):
-                end = next((i for i in range(start, len(paths)) if paths[i] != paths[start]), len(paths))
-                begin = start
-                if paths[start] != current:
-                    header = [batch.column(1 + i)[start].as_py() for i in range(width)]
-                    place = {name: header.index(name) for name in fields if name in header}
-                    current, row, begin = paths[start], 0, start + 1
-                part = batch.slice(begin, end - begin)
-                rows = pa.array(range(row, row + part.num_rows), pa.int64())
-                columns = [
-                    part.column(1 + place[name]) if name in place else pa.nulls(part.num_rows, pa.string())
-                    for name in fields
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(0), rows, *columns], names=["file", "row", *fields])
-                row, start = row + part.num_rows, end
-
-    named = raw.select(file, *raw.columns).mapInArrow(
-        by_name, "file string, row long, " + ", ".join(f"{name} string" for name in fields)
-    )
-    # Contents are not read here, only the names of the files.
-    listed = spark.read.format("binaryFile").load(path).select(file).withColumn("all", F.lit(1))
+    fields = tuple(C.RECORD_FIELDS)
+    named, files = read_columns(spark, path, fields)
+    listed = files.withColumn("all", F.lit(1))
     places = rank_rows(listed, ["all"], ["file"]).select("file", "rank")
     seq = F.shiftleft(F.col("rank") - 1, _ROW_BITS) + F.col("row")
-    return named.join(places, "file").select(
+    # Files are few beside their rows; one file may hold most rows.
+    met = named.join(F.broadcast(places), "file") if files.count() <= MOST_FILES else lookup_join(named, places, ["file"], spread=["row"])
+    return met.select(
         seq.alias("seq"), *[F.when(~F.col(name).isin(*C.NA_TOKENS), F.col(name)).alias(name) for name in fields]
     )
 
