@@ -110,7 +110,7 @@ def test_a_text_of_half_a_million_characters():
     text = "".join(random.Random(1).choice("ab c\n") for _ in range(500_000))
     found = alignment.align(text, alignment.byte_level(), alignment.sentence_pieces())
     assert found.a_cuts[-1] == len(found.a) and found.b_cuts[-1] == len(found.b)
-    assert len(alignment.group_text(found).split(";")) == len(found.a_cuts)
+    assert len(alignment.group_text(found).split(b";")) == len(found.a_cuts)
 
 
 def test_tokens_that_do_not_spell_the_text_give_nothing():

@@ -17,6 +17,7 @@ an empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
 from typing import NamedTuple
@@ -38,11 +39,16 @@ _PAIR_BITS, _DOC_BITS = 40, 23
 _B_BITS = 20
 
 
-class Tokenizer(NamedTuple):
+@dataclass(frozen=True)
+class Tokenizer:
     """``encode`` gives the ids of a text, ``tokens`` the bytes that each id stands for."""
 
     encode: Callable[[str], list[int]]
     tokens: list[bytes]
+    sizes: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "sizes", np.array(list(map(len, self.tokens)), dtype=np.int64))
 
 
 @lru_cache(maxsize=1)
@@ -98,31 +104,35 @@ def align(text: str | None, first: Tokenizer, second: Tokenizer) -> Alignment:
     data, sides, ends = (" " + text).encode(), [], []
     for side in (first, second):
         ids = side.encode(text)
-        parts = [side.tokens[i] for i in ids]
-        if b"".join(parts) != data:
+        if b"".join(map(side.tokens.__getitem__, ids)) != data:
             return NOTHING
         sides.append(np.array(ids, dtype=np.int64))
-        ends.append(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        ends.append(np.cumsum(side.sizes[sides[-1]]))
     a_at, b_at = (dict(zip(part.tolist(), range(len(part)), strict=True)) for part in ends)
-    common = sorted(a_at.keys() & b_at.keys())
+    # Ends rise along a text, and so do the keys that both have.
+    common = [end for end in a_at if end in b_at]
     cuts = [np.fromiter(map(at.__getitem__, common), np.int64, len(common)) + 1 for at in (a_at, b_at)]
     # Every end closes one overlap: that of the tokens of both in which it lies.
-    closes = np.union1d(*ends)
-    return Alignment(*sides, *cuts, *(np.searchsorted(part, closes) for part in ends))
+    marks = np.zeros((2, len(data) + 1), dtype=bool)
+    marks[0, ends[0]] = marks[1, ends[1]] = True
+    closes = np.flatnonzero(marks[0] | marks[1])
+    return Alignment(*sides, *cuts, *(np.cumsum(mark)[closes - 1] for mark in marks))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _written(size: int, after: str) -> np.ndarray:
-    return np.array([f"{i}{after}" for i in range(size)], dtype=object)
+    """Each id in digits with a sign behind it, in eight bytes filled with zeros."""
+    names = np.array([f"{i}{after}".encode() for i in range(size)], dtype="S8")
+    return names.view(np.uint64)
 
 
-def group_text(found: Alignment) -> str:
+def group_text(found: Alignment) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of the groups in order."""
     n_a, n_b = len(found.a), len(found.b)
     if not n_a:
-        return ""
-    out = np.empty(n_a + n_b, dtype=object)
-    size_a, size_b = 1 << int(found.a.max()).bit_length(), 1 << int(found.b.max()).bit_length()
+        return b""
+    out = np.empty(n_a + n_b, dtype=np.uint64)
+    size_a, size_b = (1 << max(16, int(ids.max()).bit_length()) for ids in (found.a, found.b))
     a_before, b_before = (np.concatenate([[0], cuts[:-1]]) for cuts in (found.a_cuts, found.b_cuts))
     # Before the ids of a group come those of both sides in all earlier groups.
     a_places = np.arange(n_a) + np.repeat(b_before, found.a_cuts - a_before)
@@ -131,7 +141,8 @@ def group_text(found: Alignment) -> str:
     out[b_places] = _written(size_b, ",")[found.b]
     out[a_places[found.a_cuts - 1]] = _written(size_a, "|")[found.a[found.a_cuts - 1]]
     out[b_places[found.b_cuts - 1]] = _written(size_b, ";")[found.b[found.b_cuts - 1]]
-    return "".join(out.tolist())[:-1]
+    signs = out.view(np.uint8)
+    return signs[signs != 0].tobytes()[:-1]
 
 
 _ALIGNED = pa.schema([
@@ -182,7 +193,7 @@ class _Block:
 
     def add(self, doc_id: int | None, text: str, found: Alignment) -> None:
         written = group_text(found)
-        digest = sha256(written.encode()).hexdigest() if written else ""
+        digest = sha256(written).hexdigest() if written else ""
         numbers = len(found.a), len(found.b), len(found.a_cuts), len(found.a_links)
         pairs = (found.a[found.a_links] << _B_BITS) | found.b[found.b_links]
         self.keys.append((pairs << _DOC_BITS) | len(self.rows))
