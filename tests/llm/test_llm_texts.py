@@ -719,3 +719,54 @@ def test_scan_odd_rows(spark):
         else:
             assert (r.n_assign, r.spans, r.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
     assert secrets.scan(documents(spark, [])).count() == 0
+
+
+_PROSE = [f"Sentence {i} of the article tells at some length what happened there, to whom, and why it matters. " * 3 for i in range(8)]
+_ARTICLE = "".join(f"<p>{p}</p>" for p in _PROSE)
+_WANTED = " ".join(" ".join(p.split()) for p in _PROSE)
+_CLUTTER = (
+    "<div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div>", "<div><p>Nice post!</p><p>Me too.</p><p>Thanks</p></div>",
+    "<p>All rights reserved.</p>",
+)
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="page sidebar-right">', '<div id="widget-content">', '<section id="discussion">', '<div class="newsletter">', "<div>",
+])
+def test_names_only_weigh(wrapper):
+    """What an element is called does not lose the page, with clutter around that has no names at all."""
+    end = f"</{wrapper[1:].split()[0].strip('>')}>"
+    page = f"<html><body>{_CLUTTER[0]}{wrapper}{_ARTICLE}{end}{_CLUTTER[1]}{_CLUTTER[2]}</body></html>"
+    assert extraction.main_text(page) == _WANTED
+
+
+def test_a_discussion_inside_a_paper_stays():
+    page = f"<article>{_ARTICLE}<section id=discussion><h2>Discussion</h2><p>{_PROSE[0]}</p></section></article>"
+    assert extraction.main_text(page) == f"{_WANTED} Discussion {' '.join(_PROSE[0].split())}"
+
+
+def test_named_lines_inside_an_article_go_and_named_wrappers_do_not_hide_them():
+    short = '<div class="share">Share this</div><div class="comments"><p>First!</p><p>I agree with this.</p></div>'
+    for page in (f"<article>{_ARTICLE}{short}</article>", f'<div class="page sidebar-right">{_ARTICLE}{short}</div>'):
+        assert extraction.main_text(page) == _WANTED
+
+
+def test_clusters_decide(monkeypatch):
+    """Without the clustering, or without the smoothing, pages of plain elements come out differently."""
+    plain = f"<body><div>{_CLUTTER[0]}</div><div>{_ARTICLE}<p>Short.</p>{_ARTICLE}</div>{_CLUTTER[1]}{_CLUTTER[2]}</body>"
+    wanted = f"{_WANTED} Short. {_WANTED}"
+    assert extraction.main_text(plain) == wanted
+    with monkeypatch.context() as off:
+        off.setattr(extraction, "clusters", lambda ratios: (ratios > 0, 0.0))
+        assert extraction.main_text(plain) != wanted
+    lone = "<body>" + "".join(f"<p>Item {i}.</p>" for i in range(12)) + f"<p>{'A longer remark. ' * 3}</p>" + "".join(
+        f"<p>Item {i}.</p>" for i in range(12)) + _ARTICLE + "</body>"
+    smoothed = extraction.main_text(lone)
+    monkeypatch.setattr(extraction, "smooth", lambda values: values)
+    assert extraction.main_text(lone) != smoothed or "A longer remark" not in smoothed
+
+
+def test_leads_and_ends_of_a_fair_length_stay():
+    lead, end = "The lead says in one sentence what it is about. " * 4, "The end looks back on it once more. " * 4
+    page = f"<body>{_CLUTTER[0]}<div><h1>Title</h1><p>{lead}</p><div class=body>{_ARTICLE}</div><p>{end}</p></div>{_CLUTTER[1]}</body>"
+    assert extraction.main_text(page) == f"Title {lead.strip()} {_WANTED} {end.strip()}"
