@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import documents
 
@@ -109,3 +110,10 @@ def test_sums_beyond_64_bits(spark):
     assert [tuple(r) for r in phrases.scored(frequent, totals, 10).collect()] == [
         ("en", 1, "a b", huge, huge, huge, 2 * huge - 1, 1_000_000)
     ]
+
+
+def test_equal_keys_of_different_phrases_are_told_apart():
+    keys = np.array([7, 7, 7, 9], dtype=np.uint64)
+    words = [np.array([1, 2, 1, 3]), np.array([5, 5, 5, 5])]
+    first, counts = phrases._distinct(keys, words)
+    assert sorted(zip(words[0][first].tolist(), counts.tolist(), strict=True)) == [(1, 2), (2, 1), (3, 1)]

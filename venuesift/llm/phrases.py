@@ -19,6 +19,7 @@ table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ SAMPLE_OF = 8
 #: Words that a task counts at once.
 STRETCH = 1 << 21
 #: Keys that may be broadcast (eight bytes each).
-KNOWN_KEYS = 4 << 20
-_BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
+KNOWN_KEYS = 2 << 20
+_BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _COUNTS = pa.schema([
@@ -55,84 +56,105 @@ def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """Sorted keys of proposed phrases, and which of them were known in the pass before."""
+    """Keys of proposed phrases, and which of them were known in the pass before."""
 
     def __init__(self, keys: np.ndarray, old: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.old = keys[order], old[order]
+        # Most keys that are asked for miss; a table by their first bits turns most of these away.
+        self.shift = np.uint64(64 - max(10, len(keys).bit_length() + 3))
+        self.table = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.table[self.keys >> self.shift] = True
 
     def states(self, keys: np.ndarray) -> np.ndarray:
         """0 for keys that are not known, 1 for new ones, 2 for old ones."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int8)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, np.where(self.old[at], 2, 1), 0).astype(np.int8)
+        found = np.zeros(len(keys), dtype=np.int8)
+        if len(self.keys):
+            asked = np.flatnonzero(self.table[keys >> self.shift])
+            at = np.minimum(np.searchsorted(self.keys, keys[asked]), len(self.keys) - 1)
+            found[asked] = np.where(self.keys[at] == keys[asked], np.where(self.old[at], 2, 1), 0)
+        return found
+
+
+_NOTHING_KNOWN = Known(np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
 class Stretch:
     """Words of one language in reading order, with a break after each piece."""
 
     def __init__(self, lang: str):
-        self.lang, self.ids, self.found = lang, {}, []
+        self.lang, self.found = lang, []
+        self.ids: defaultdict[bytes, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        # What is between two blanks in a row, and a break.
+        self.ids[b""], self.ids[b"\n"] = 0, 1
 
     def add(self, text: bytes) -> None:
-        number = self.ids
-        for piece in text.lower().translate(_BREAKS).split(b"\n"):
-            words = piece.split()
-            if words:
-                self.found += [number.setdefault(word, len(number)) for word in words]
-                self.found.append(-1)
-
-    def counts(self, sizes: list[int], known: Known | None) -> Iterator[pa.RecordBatch]:
+        marked = text.lower().translate(_BREAKS).replace(b"\n", b" \n ")
+        self.found += map(self.ids.__getitem__, marked.split(b" "))
+        self.found.append(1)
+
+    def counts(self, sizes: list[int], known: Known | None, whole: bool = False) -> Iterator[pa.RecordBatch]:
         """Counts of the phrases with a number of words in ``sizes``.
 
-        With ``known`` these are single words, and longer phrases of whose parts, all words but the last and all but the
-        first, both are known and not both are old.
+        These are single words, and longer phrases of whose parts, all words but the last and all but the first, both are
+        known and not both are old; with ``whole`` all of them.
         """
         words = [word.decode("utf-8", "surrogatepass") for word in self.ids]
         seed = xxhash.xxh64_intdigest(self.lang.encode())
-        key = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in self.ids), np.uint64, len(words))
-        singles = key
+        singles = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in self.ids), np.uint64, len(words))
         places = np.array(self.found, dtype=np.int64)
-        code, state = places, known.states(key) if known else None
-        names, parts = words, None
+        places = places[places > 0]
+        known = known or _NOTHING_KNOWN
+        keys, good = singles[places], places > 1
+        states = known.states(singles)[places]
         for size in range(1, max(sizes) + 1):
             if size > 1:
-                # A phrase is the one that starts here, and the word behind it; breaks have no code.
-                ahead, last, next_ = code[:-1], places[size - 1:], code[1:]
-                alive = np.append(state > 0 if known else np.ones(len(names), bool), False)
-                good = alive[ahead] & alive[next_] & (last >= 0)
+                # The phrase that begins here, of the one that begins here and the word behind it.
+                prefix, suffix = (keys[:-1], states[:-1]), (keys[1:], states[1:])
+                good = good[:-1] & good[1:]
+                if not whole:
+                    good &= (prefix[1] > 0) & (suffix[1] > 0)
+                keys = np.zeros(len(good), dtype=np.uint64)
                 at = np.flatnonzero(good)
-                pairs, where, back = np.unique(
-                    ahead[at] * len(words) + last[at], return_index=True, return_inverse=True
-                )
-                first = at[where]
-                parts = ahead[first], next_[first]
-                names = [f"{names[a]} {words[b]}" for a, b in zip(parts[0].tolist(), last[first].tolist(), strict=True)]
-                before, old_state = key, state
-                key = _joined(before[parts[0]], singles[last[first]])
-                code = np.full(len(good), -1, dtype=np.int64)
-                code[at] = back
-                state = known.states(key) if known else None
+                keys[at] = _joined(prefix[0][at], singles[places[at + size - 1]])
+                states = np.zeros(len(good), dtype=np.int8)
+                states[at] = known.states(keys[at])
             if size not in sizes:
                 continue
-            counts = np.bincount(code[code >= 0], minlength=len(names))
-            kept = np.arange(len(names))
-            if size > 1 and known:
-                kept = np.flatnonzero((old_state[parts[0]] < 2) | (old_state[parts[1]] < 2))
-            heads = [before[side].view(np.int64) for side in parts] if size > 1 else [np.zeros(len(names), np.int64)] * 2
-            for at in range(0, len(kept), STRETCH >> 5):
-                part = kept[at:at + (STRETCH >> 5)]
+            asked = good if size == 1 or whole else good & ((prefix[1] < 2) | (suffix[1] < 2))
+            at = np.flatnonzero(asked)
+            first, counts = _distinct(keys[at], [places[at + i] for i in range(size)])
+            first = at[first]
+            heads = [side[0][first].view(np.int64) for side in (prefix, suffix)] if size > 1 else [np.zeros(len(first), np.int64)] * 2
+            for k in range(0, len(first), STRETCH >> 5):
+                part = slice(k, k + (STRETCH >> 5))
+                spelled = [[words[i] for i in places[first[part] + n].tolist()] for n in range(size)]
+                names = spelled[0] if size == 1 else list(map(" ".join, zip(*spelled, strict=True)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([self.lang] * len(part), pa.string()), pa.array([names[i] for i in part.tolist()], pa.string()),
-                    pa.array(np.full(len(part), size, np.int32)), pa.array(key.view(np.int64)[part]),
+                    pa.array([self.lang] * len(names), pa.string()), pa.array(names, pa.string()),
+                    pa.array(np.full(len(names), size, np.int32)), pa.array(keys[first[part]].view(np.int64)),
                     pa.array(heads[0][part]), pa.array(heads[1][part]), pa.array(counts[part]),
                 ], schema=_COUNTS)
 
 
-def _count(sizes: list[int], known) -> Callable:
-    """``known`` is a broadcast of ``Known`` or None."""
+def _distinct(keys: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A place and the number of places of each different row of ``words``, whose rows have these keys.
+
+    Equal keys of different rows are seen by comparing all rows with the first of their key; then the rows themselves are
+    sorted.
+    """
+    _, first, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if all((column[first][back] == column).all() for column in words):
+        return first, counts
+    _, first, counts = np.unique(np.stack(words, axis=1), axis=0, return_index=True, return_counts=True)
+    return first, counts
+
+
+def _count(sizes: list[int], known, whole: bool) -> Callable:
+    """``known`` is a broadcast of keys and marks, or None."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Known(*known.value) if known else None
         stretches: dict[str, Stretch] = {}
         held = 0
         for lang, text in rows_of(batches):
@@ -142,27 +164,35 @@ def _count(sizes: list[int], known) -> Callable:
             held += len(stretch.found) - before
             if held >= STRETCH:
                 for each in stretches.values():
-                    yield from each.counts(sizes, known and known.value)
+                    yield from each.counts(sizes, table, whole)
                 stretches, held = {}, 0
         for each in stretches.values():
-            yield from each.counts(sizes, known and known.value)
+            yield from each.counts(sizes, table, whole)
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and marks of a batch as bytes, so that the driver gets few rows."""
+    for batch in batches:
+        blobs = batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy(zero_copy_only=False).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()) for blob in blobs], names=["keys", "old"])
+
+
 def counted(rows: DataFrame, sizes: list[int], known: DataFrame | None) -> DataFrame:
     """``lang, phrase, words, key, f`` of phrases in ``rows`` (``lang, data``).
 
-    ``known``: None counts single words only; else ``key, old``.
+    ``known``: None counts single words only; else a written table ``key, old``.
     """
     spark = rows.sparkSession
     small_batches(spark)
     shared = None
     joined = known is not None and known.count() > KNOWN_KEYS
     if known is not None and not joined:
-        table = known.select("key", "old").toPandas()  # at most KNOWN_KEYS rows of nine bytes
-        shared = spark.sparkContext.broadcast(Known(table["key"].to_numpy(np.int64).view(np.uint64), table["old"].to_numpy(bool)))
-    found = rows.mapInArrow(_count(sizes, shared), _COUNTS_SPARK)
+        blobs = known.select("key", "old").mapInArrow(_packed, "keys binary, old binary").collect()  # at most KNOWN_KEYS keys
+        keys, old = (np.frombuffer(b"".join(blob[name] for blob in blobs), kind) for name, kind in (("keys", np.uint64), ("old", bool)))
+        shared = spark.sparkContext.broadcast((keys, old))
+    found = rows.mapInArrow(_count(sizes, shared, joined), _COUNTS_SPARK)
     if joined:
         single = found.filter("words = 1")
         for side in ("prefix", "suffix"):
@@ -191,7 +221,8 @@ def frequent_phrases(
             "proposed-phrases",
         )
         written.append(level)
-        proposed = level if proposed is None else proposed.unionByName(level).distinct()
+        proposed = level if proposed is None else cut_lineage(proposed.unionByName(level).distinct(), "proposed-phrases")
+        written.append(proposed)
 
     frequent, totals, sizes = None, None, list(range(1, most_words + 1))
     while True:
@@ -212,11 +243,11 @@ def frequent_phrases(
         frequent = exact if frequent is None else frequent.unionByName(exact)
         if failed.isEmpty():
             break
-        proposed = proposed.select("key", F.lit(True).alias("old")).unionByName(failed)
+        proposed = cut_lineage(proposed.select("key", F.lit(True).alias("old")).unionByName(failed), "known-phrases")
         # Single words are all counted; new phrases have a part that was not known before.
         sizes = list(range(2, most_words + 1))
     result = cut_lineage(frequent, "frequent-phrases")
-    remove_tables(*written)
+    remove_tables(*{table._written_at: table for table in written}.values())
     return result, totals
 
 
