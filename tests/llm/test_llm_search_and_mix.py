@@ -128,3 +128,19 @@ def test_mixed_rows_carry_their_columns(spark):
     assert mixed.columns == docs.columns
     assert mixed.count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
     assert mixing.mixed_rows(documents(spark, [])).count() == 0
+
+
+def test_bounds_rule_pairs_out_on_the_table_of_the_query(spark):
+    """With the k-th scores of a sample as first thresholds, the segment bounds leave well under all pairs."""
+    vectors = topk.usable_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
+    matrix = np.floor(256 * np.array([row["vector"] for row in vectors]))
+    asked, sample = matrix[::50], matrix[::topk.SAMPLE_OF]
+    floors = np.sort(asked @ sample.T, axis=1)[:, -6]  # the sixth: a query may be in the sample itself
+    levels = [[topk.segment_statistics(m, s) for s in topk.RESOLUTIONS] for m in (asked, matrix)]
+    pairs = topk.surviving_pairs(np.ones((len(asked), len(matrix)), bool), *levels, floors[:, None] - 1e-3)
+    share = len(pairs[0]) / (len(asked) * len(matrix))
+    assert share < 0.75
+    scores = asked @ matrix.T
+    kept = np.zeros(scores.shape, bool)
+    kept[pairs] = True
+    assert kept[scores >= floors[:, None]].all()

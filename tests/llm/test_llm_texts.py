@@ -67,9 +67,9 @@ def test_template_with_text_around_the_turns():
     assert [done.text[a:b] for a, b in done.loss] == ["[/ass", ""]
 
 
-def test_long_conversations_are_rendered_in_stretches():
+def test_every_prefix_of_a_long_conversation_is_rendered_whole():
     rng = random.Random(2)
-    turns = [(rng.choice(["user", "assistant"]), "w" * rng.randrange(20)) for _ in range(700)]
+    turns = [(rng.choice(["user", "assistant"]), "w" * rng.randrange(20)) for _ in range(200)]
     rendered = []
 
     def counted(part):
@@ -80,7 +80,7 @@ def test_long_conversations_are_rendered_in_stretches():
     assert done.text == chat.turn_template(turns) and done.rewritten_at is None
     assert done.ends == [len(chat.turn_template(turns[:k + 1])) for k in range(len(turns))]
     assert [chat.unescape(done.text[a:b]) for a, b in done.loss] == [t for r, t in turns if r == "assistant"]
-    assert sum(rendered) < 60 * len(turns)
+    assert set(range(len(turns) + 1)) <= set(rendered)
 
 
 def test_templates_that_look_far_back_are_rendered_whole():
@@ -104,7 +104,7 @@ def chats(spark, rows):
     )
 
 
-def test_templates_that_are_not_declared_local_see_whole_prefixes(spark):
+def test_templates_see_whole_prefixes(spark):
     def plain(turns):
         return "".join(f"{role}:{text}\n" for role, text in turns)
 
@@ -122,7 +122,6 @@ def test_templates_that_are_not_declared_local_see_whole_prefixes(spark):
     assert (noticed.rewritten_at, noticed.loss_starts) == (40, [])
     (done,) = chat.format_chats(chats(spark, rows), strict).collect()
     assert [done.formatted[a:b] for a, b in zip(done.loss_starts, done.loss_ends)] == [r[3] for r in rows if r[2] == "assistant"]
-    assert chat.format_chats(chats(spark, rows), plain, local=True).collect() == chat.format_chats(chats(spark, rows), plain).collect()
 
 
 def test_chats_with_odd_rows(spark):
@@ -770,3 +769,77 @@ def test_leads_and_ends_of_a_fair_length_stay():
     lead, end = "The lead says in one sentence what it is about. " * 4, "The end looks back on it once more. " * 4
     page = f"<body>{_CLUTTER[0]}<div><h1>Title</h1><p>{lead}</p><div class=body>{_ARTICLE}</div><p>{end}</p></div>{_CLUTTER[1]}</body>"
     assert extraction.main_text(page) == f"Title {lead.strip()} {_WANTED} {end.strip()}"
+
+
+def _der(tag, *parts):
+    """A DER value around bytes or further values."""
+    body = b"".join(parts)
+    size = len(body)
+    length = bytes([size]) if size < 128 else bytes([0x80 | (size.bit_length() + 7) // 8]) + size.to_bytes((size.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + length + body
+
+
+def _rsa(seed):
+    chance = random.Random(seed)
+    return _der(0x30, _der(2, b"\0"), *[_der(2, b"\1" + chance.randbytes(30)) for _ in range(8)])
+
+
+def _wrapped(data, width, line_break):
+    whole = base64.b64encode(data).decode()
+    return line_break.join(whole[i:i + width] for i in range(0, len(whole), width))
+
+
+def _pem(data):
+    return f"-----BEGIN RSA PRIVATE KEY-----\n{_wrapped(data, 64, chr(10))}\n-----END RSA PRIVATE KEY-----\n"
+
+
+def _planted():
+    """Secrets and texts that look like them, with what has to be found in each: (text, kind of the whole or None)."""
+    def part(value):
+        raw = value if isinstance(value, bytes) else value.encode()
+        return base64.urlsafe_b64encode(raw).decode().rstrip("=")
+
+    url_key = next(k for k in (_rsa(i) for i in range(99)) if "-" in part(k) and "_" in part(k))
+    fine, spaced = part('{"alg":"HS256"}'), part('{ "alg": "HS256" }')
+    said, sign = part('{"sub":1}'), part(b"x" * 32)
+    return [
+        (_pem(_rsa(1)), "pem_key"), (base64.b64encode(_rsa(2)).decode(), "base64_key"), (_rsa(3).hex(), "hex_key"),
+        (base64.b64encode(_pem(_rsa(4)).encode()).decode(), "base64_key"), (_wrapped(_rsa(5), 64, "\n"), "base64_key"),
+        (_wrapped(_rsa(6), 76, "\r\n"), "base64_key"), (_wrapped(_rsa(7), 64, "\\n"), "base64_key"), (part(url_key), "base64_key"),
+        (f"{fine}.{said}.{sign}", "signed_token"), (f"{spaced}.{said}.{sign}", "signed_token"),
+        (f"{fine}.{part('not json')}.{sign}", None), (f"{part('[1]')}.{said}.{sign}", None), (f"{fine}.{said}.", None),
+        (base64.b64encode(b"just some text, long enough to be looked at but without any key in it").decode(), None),
+        (base64.b64encode(_rsa(8)[:-5]).decode(), None), (base64.b64encode(b"-----BEGIN RSA PRIVATE KEY-----\nAAAA\n" * 3).decode(), None),
+    ]
+
+
+def test_planted_secrets_are_found_where_they_are(spark):
+    """Confirmed spans and the digest of base spans of whole documents, against where the secrets were put."""
+    chance, rows, wanted = random.Random(5), [], {}
+    cases = _planted()
+    for doc_id in range(40):
+        text, spans = "", []
+        for secret, kind in chance.sample(cases, 4):
+            text += " ".join(chance.choice(["here", "stands", "nothing", "of", "note"]) for _ in range(chance.randint(1, 9))) + " : "
+            if kind:
+                spans.append((len(text), len(text) + len(secret.rstrip()), kind))
+            text += secret.rstrip() + chance.choice([" and so on. ", "\n\n", ", "])
+        rows.append((doc_id, text))
+        wanted[doc_id] = spans
+    for row in secrets.scan(documents(spark, rows)).collect():
+        found = [span.split(":") for span in row.spans.split(",") if span]
+        confirmed = [(int(a), int(b), kind) for kind, a, b in found if kind not in ("assign", "access", "hex")]
+        # The whole of a PEM block holds its base64 lines, which are a key too.
+        outer = [c for c in confirmed if not any(o[2] == "pem_key" and o[0] < c[0] and c[1] < o[1] for o in confirmed)]
+        assert [(a, kind) for a, _, kind in outer] == [(a, kind) for a, _, kind in wanted[row.doc_id]]
+        assert all(b - 1 <= end <= b for (_, b, _), (_, end, _) in zip(outer, wanted[row.doc_id], strict=True))
+        base = ",".join(":".join(span) for span in found if span[0] in ("assign", "access", "hex"))
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert row.n_confirmed == len(confirmed)
+
+
+def test_a_word_behind_wrapped_lines_is_not_part_of_the_key():
+    text = _wrapped(_rsa(9), 64, "\n")
+    assert len(text.split("\n")[-1]) < 64
+    for spelled in (f"{text}\nThen", text):
+        assert [(s.kind, s.start, s.end) for s in secrets.find_secrets(spelled) if s.kind == "base64_key"] == [("base64_key", 0, len(text))]

@@ -37,9 +37,6 @@ _ESCAPED = re.compile(r"\\[\\htn]")
 _TURN = re.compile(r"### ([^\n]*)\n(.*?)</turn>\n", re.DOTALL)
 _PROBES = ("\uf8f0", "\uf8f1")
 
-#: Turns up to which all prefixes are whole, and turns before one that are rendered with it beyond.
-WHOLE_TURNS, CONTEXT_TURNS = 32, 6
-
 SCHEMA = pa.schema([
     ("conv_id", pa.int64()), ("formatted", pa.large_string()), ("turn_ends", pa.list_(pa.int64())),
     ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64())),
@@ -83,50 +80,25 @@ class Rendered:
     rewritten_at: int | None = None
 
 
-def render(turns: list[Turn], template: Template, loss_roles: frozenset[str], local: bool = True) -> Rendered:
-    """Render successive prefixes. After a rewrite the spans name no fixed text, so none are given.
+def render(turns: list[Turn], template: Template, loss_roles: frozenset[str]) -> Rendered:
+    """Render successive prefixes, each of them whole, which takes the square of a conversation's length.
 
-    Each prefix is rendered whole, unless the template is ``local``: what it writes for a turn depends on this
-    and a few turns before, and it takes turns from anywhere in a conversation. Whole prefixes
-    cost the square of the length, so beyond ``WHOLE_TURNS`` turns those of a local template begin a few turns back, and the whole is
-    rendered where the length has doubled. If it is not what the spans add up to, or a
-    prefix was rewritten, that stretch is rendered again with whole prefixes.
+    After a rewrite the spans name no fixed text, so none are given.
     """
-    out, done = Rendered(text=template([])), 0
-    while done < len(turns):
-        upto = min(len(turns), max(WHOLE_TURNS, 2 * done)) if local else len(turns)
-        longer = _stretch(out, done, upto, turns, template, loss_roles, 0 if not done else CONTEXT_TURNS)
-        if done and (longer.rewritten_at is not None or longer.text != template(turns[:upto])):
-            longer = _stretch(out, done, upto, turns, template, loss_roles, 0)
-        if longer.rewritten_at is not None:
-            return Rendered(text=template(turns), rewritten_at=longer.rewritten_at)
-        out, done = longer, upto
-    return out
-
-
-def _stretch(
-    so_far: Rendered, first: int, upto: int, turns: list[Turn], template: Template, loss_roles: frozenset[str], context: int
-) -> Rendered:
-    """``so_far`` with the turns from ``first`` to before ``upto``; ``context`` is the number of turns
-    before each one that are rendered with it, 0 for all."""
-    ends, loss, spans, length, shorter = list(so_far.ends), list(so_far.loss), [so_far.text], len(so_far.text), None
-    for k in range(first, upto):
-        begin = max(0, k - context) if context else 0
-        if context or shorter is None:
-            shorter = template(turns[begin:k])
-        longer = template(turns[begin:k + 1])
+    shorter = template([])
+    out = Rendered(text=shorter)
+    for k, (role, _) in enumerate(turns):
+        longer = template(turns[:k + 1])
         if not longer.startswith(shorter):
-            return Rendered(rewritten_at=k)
-        role, at = turns[k][0], len(shorter)
+            return Rendered(text=template(turns), rewritten_at=k)
         if role in loss_roles:
-            one, other = (template([*turns[begin:k], (role, probe)]) for probe in _PROBES)
-            start = _first_difference(one, other, at)
-            loss.append((length + start - at, length + len(longer) - at - (len(one) - start - 1)))
-        spans.append(longer[at:])
-        length += len(longer) - at
-        ends.append(length)
+            one, other = (template([*turns[:k], (role, probe)]) for probe in _PROBES)
+            start = _first_difference(one, other, len(shorter))
+            out.loss.append((start, len(longer) - (len(one) - start - 1)))
+        out.ends.append(len(longer))
         shorter = longer
-    return Rendered("".join(spans), ends, loss)
+    out.text = shorter
+    return out
 
 
 def _first_difference(one: str, other: str, start: int) -> int:
@@ -137,20 +109,17 @@ def _first_difference(one: str, other: str, start: int) -> int:
 
 def format_chats(
     chats: DataFrame, template: Template = turn_template, loss_roles: tuple[str, ...] = ("assistant",),
-    local: bool | None = None,
 ) -> DataFrame:
     """One row per conversation: the formatted text and its spans, in code points.
 
-    Turns reach a task in order and go through it as a stream of batches. ``local`` declares the template
-    as one that ``render`` may give a part of a conversation; of itself only ``turn_template`` is.
+    Turns reach a task in order and go through it as a stream of batches.
     """
     roles = frozenset(loss_roles)
-    is_local = template is turn_template if local is None else local
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for conv_id, rows in groupby(rows_of(batches), key=lambda row: row[0]):
-                done = render([(role, text) for _, _, role, text in rows], template, roles, is_local)
+                done = render([(role, text) for _, _, role, text in rows], template, roles)
                 starts, ends = zip(*done.loss, strict=True) if done.loss else ((), ())
                 yield conv_id, done.text, done.ends, starts, ends, done.rewritten_at
 

@@ -53,11 +53,17 @@ _PEM = re.compile(
 )
 _ESCAPE = re.compile(r"\\+(?:[nrt]|u003[dD])")
 _CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]+)")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{64,}={0,2}")
+# One run, or lines of one length and a last one, with line breaks as they are or escaped.
+_BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{64,}+(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]{48,}+)*+"
+    r"(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]+)?+={0,2}"
+)
+_URL_BASE64 = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*+[_-])[A-Za-z0-9_-]{64,}={0,2}")
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{96,}")
-# A full stop behind a token ends a sentence, unless a further part follows.
+# A header begins with a brace: "e" and one of the next characters. A full stop behind a token ends a sentence, unless a further part follows.
 _TOKEN = re.compile(
-    r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])"
+    r"(?<![A-Za-z0-9_.-])(e[w-z0-9_-][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])"
 )
 _SSH_MAGIC = b"openssh-key-v1\x00"
 # Object identifiers of password based encryption: PKCS #5 and PKCS #12.
@@ -162,21 +168,39 @@ def _from_base64(text: str) -> bytes | None:
 
 
 def is_signed_token(header: str, payload: str, signature: str) -> bool:
-    """A JSON header with ``alg``; a signature unless that is ``none``; a payload that decodes."""
+    """A JSON header with ``alg``; a signature unless that is ``none``; a payload that is a JSON object."""
     try:
         parts = [base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)) for part in (header, payload, signature)]
-        read = json.loads(parts[0])
+        read, said = json.loads(parts[0]), json.loads(parts[1])
     except (ValueError, RecursionError):
         return False
     if not isinstance(read, dict) or not isinstance(read.get("alg"), str):
         return False
-    return bool(parts[1]) and (bool(parts[2]) or read["alg"].lower() == "none")
+    return isinstance(said, dict) and (bool(parts[2]) or read["alg"].lower() == "none")
 
 
 def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_ssh_key(data))
 
 
+def _holds_key(data: bytes | None) -> bool:
+    """A key, or a text in which one stands in PEM form; what is decoded is looked at once."""
+    if _is_key(data):
+        return True
+    text = data.decode("latin-1") if data and b"PRIVATE KEY" in data else ""
+    return any(_is_pem_key(*found.groups()) for found in _PEM.finditer(text))
+
+
+def _base64_key(text: str, start: int) -> tuple[int, int] | None:
+    """The span of a key in a base64 candidate that begins at ``start``: all lines, or all but the last, which may be
+    a word of the text."""
+    breaks = list(_BREAK.finditer(text))
+    for end in [len(text)] + ([breaks[-1].start()] if breaks else []):
+        if _holds_key(_from_base64(_BREAK.sub("", text[:end]))):
+            return start, start + end
+    return None
+
+
 def _is_pem_key(label: str, headers: str, body: str) -> bool:
     """The body holds a key, or one that the label or the headers call encrypted: then by any scheme, or in
     whole blocks of the size of the initial vector."""
@@ -207,13 +231,17 @@ def find_secrets(text: str) -> list[Span]:
     ]
     if "PRIVATE KEY" in text:
         found += [("pem_key", m.span()) for m in _PEM.finditer(text) if _is_pem_key(*m.groups())]
-    found += [("base64_key", m.span()) for m in _BASE64.finditer(text) if _is_key(_from_base64(m[0]))]
+    keys = (_base64_key(m[0], m.start()) for m in _BASE64.finditer(text))
+    found += [("base64_key", span) for span in keys if span]
+    found += [
+        ("base64_key", m.span()) for m in _URL_BASE64.finditer(text)
+        if _holds_key(_from_base64(m[0].replace("-", "+").replace("_", "/")))
+    ]
     found += [
         ("hex_key", m.span()) for m in _ANY_HEX.finditer(text)
-        if len(m[0]) % 2 == 0 and _is_key(bytes.fromhex(m[0]))
+        if len(m[0]) % 2 == 0 and _holds_key(bytes.fromhex(m[0]))
     ]
-    if "eyJ" in text:
-        found += [("signed_token", m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
+    found += [("signed_token", m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
     return sorted(Span(start, _ORDER[kind], kind, end) for kind, (start, end) in found)
 
 

@@ -4,7 +4,8 @@ At each resolution a vector is cut into segments and known by the mean and the d
 two vectors the squared distance is at least the sum over segments of length * ((difference of
 means)^2 + (difference of deviations)^2); with the exact norms that is an upper bound of the
 inner product: the sum of length * (product of means + product of deviations). Bounds are taken from
-coarse to fine; a pair leaves as soon as its bound is below the k-th score its query already has.
+coarse to fine; a pair leaves as soon as its bound is below the k-th score its query already has. A first pass over a
+hashed sample of the candidates gives every query such a score before the search begins.
 Exact products are computed for the survivors only.
 
 All candidates are dealt into groups of bounded size, and so are the queries; each task has one group
@@ -25,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from venuesift.session import cut_lineage
+
 #: Components in a group of candidates and in a group of queries.
 CANDIDATE_NUMBERS, QUERY_NUMBERS = 4_000_000, 2_000_000
 #: At least so many groups of candidates, to spread small tables.
 LEAST_GROUPS = 48
 #: Segments at each resolution.
-RESOLUTIONS = (2, 8, 16)
-_QUERY_BLOCK, _CANDIDATE_BLOCK = 512, 1024
+RESOLUTIONS = (2, 8, 16, 32)
+#: One in so many candidates is in the sample that gives the first k-th scores.
+SAMPLE_OF = 4
+_QUERY_BLOCK, _CANDIDATE_BLOCK, _PAIRS = 512, 1024, 1 << 15
 #: Below this all sums of products are exact in doubles.
 _EXACT = float(1 << 53)
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
@@ -59,7 +64,21 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 1.0
 
     Both tables hold ``id, vector``; every component x counts as floor(scale * x).
     """
-    query_groups = _groups(queries, QUERY_NUMBERS)
+    once = queries.withColumn("query", F.xxhash64("vector")).dropDuplicates(["id", "query"]).select("id", "vector", "query")
+    sample = candidates.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLE_OF)) == 0)
+    # The k-th score in the sample is at most the k-th of all.
+    floors = cut_lineage(
+        _ranked(once.withColumn("floor", F.lit(None).cast("long")), sample, k, scale).filter(F.col("rank") == k).select(
+            F.col("query_id").alias("id"), "query", F.col("score").alias("floor")
+        ), "first-thresholds",
+    )
+    ranked = _ranked(once.join(floors, ["id", "query"], "left"), candidates, k, scale)
+    return ranked.select("query_id", "rank", "id", "score")
+
+
+def _ranked(once: DataFrame, candidates: DataFrame, k: int, scale: float) -> DataFrame:
+    """The k best of each query (``id, vector, query, floor``); what scores below ``floor`` need not be found."""
+    query_groups = _groups(once, QUERY_NUMBERS)
     candidate_groups = max(LEAST_GROUPS, _groups(candidates, CANDIDATE_NUMBERS))
 
     def dealt(df: DataFrame, own: str, groups: int, other: str, others: int) -> DataFrame:
@@ -68,14 +87,13 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 1.0
             other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))),
         })
 
-    once = queries.withColumn("query", F.xxhash64("vector")).dropDuplicates(["id", "query"])
     left = dealt(once, "q", query_groups, "c", candidate_groups)
     right = dealt(candidates.select("id", "vector"), "c", candidate_groups, "q", query_groups)
 
     def run(asked: pa.Table, given: pa.Table) -> pa.Table:
         found = [
             _search_equal(*ours, *theirs[1:], k)
-            for ours in _by_length(asked, scale, "query") for theirs in _by_length(given, scale)
+            for ours in _by_length(asked, scale, "query", "floor") for theirs in _by_length(given, scale)
             if ours[0] == theirs[0]
         ]
         columns = [np.concatenate([part[i] for part in found]) if found else [] for i in range(4)]
@@ -85,8 +103,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 1.0
         run, "query_id long, query long, id long, score long"
     )
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _by_length(table: pa.Table, scale: float, *more: str) -> list[tuple]:
@@ -126,7 +143,7 @@ def _exact_scores(ours: np.ndarray, theirs: np.ndarray, exact: bool) -> np.ndarr
     return np.array([min(_MOST, max(_LEAST, s)) for s in sums], dtype=np.int64)
 
 
-def _search_equal(length: int, queries, query_ids, query_marks, candidates, ids, k: int) -> tuple:
+def _search_equal(length: int, queries, query_ids, query_marks, floors, candidates, ids, k: int) -> tuple:
     """The k best of each query among vectors of its length: ids, marks, candidates' ids, scores."""
     levels = [s for s in RESOLUTIONS if s < length]
     with np.errstate(over="ignore", invalid="ignore"):
@@ -137,38 +154,45 @@ def _search_equal(length: int, queries, query_ids, query_marks, candidates, ids,
         for first in range(0, len(queries), _QUERY_BLOCK):
             q = slice(first, first + _QUERY_BLOCK)
             out.append(_search_block(
-                queries[q], query_ids[q], query_marks[q], [x[q] for x in ours], norms[0][q],
+                queries[q], query_ids[q], query_marks[q], np.nan_to_num(floors[q].astype(float), nan=-np.inf), [x[q] for x in ours],
+                norms[0][q],
                 candidates, ids, theirs, norms[1], k, exact,
             ))
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-def _search_block(queries, query_ids, marks, ours, norms, candidates, ids, theirs, their_norms, k, exact) -> tuple:
+def surviving_pairs(open_: np.ndarray, ours: list, theirs: list, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``open_`` whose bounds reach ``need`` at every resolution, coarse to fine.
+
+    A resolution is compared for all pairs at once while most are open, and pair by pair afterwards.
+    """
+    pairs = None
+    for mine, other in zip(ours, theirs, strict=True):
+        if pairs is None:
+            open_ = open_ & ~(mine @ other.T < need)
+            if open_.mean() < 0.1:
+                pairs = np.nonzero(open_)
+        else:
+            bound = np.einsum("ij,ij->i", mine[pairs[0]], other[pairs[1]])
+            stay = ~(bound < need[pairs])
+            pairs = pairs[0][stay], pairs[1][stay]
+    return np.nonzero(open_) if pairs is None else pairs
+
+
+def _search_block(queries, query_ids, marks, floors, ours, norms, candidates, ids, theirs, their_norms, k, exact) -> tuple:
     rows, found, scores = (np.zeros(0, dtype=np.int64) for _ in range(3))
-    least = np.full(len(queries), -np.inf)
+    least = floors
     for first in range(0, len(candidates), _CANDIDATE_BLOCK):
         c = slice(first, first + _CANDIDATE_BLOCK)
         open_ = query_ids[:, None] != ids[c][None, :]
         # Rounding of the bounds is far below this part of the product of the norms.
         slack = 1e-9 * norms[:, None] * their_norms[c][None, :] + 1e-6
         need = least[:, None] - slack
-        pairs = None
-        for mine, other in zip(ours, theirs, strict=True):
-            if pairs is None:
-                open_ &= ~(mine @ other[c].T < need)
-                if open_.mean() < 0.1:
-                    pairs = np.nonzero(open_)
-            else:
-                bound = np.einsum("ij,ij->i", mine[pairs[0]], other[c][pairs[1]])
-                stay = ~(bound < need[pairs])
-                pairs = pairs[0][stay], pairs[1][stay]
-        if pairs is None:
-            pairs = np.nonzero(open_)
-            new = (queries @ candidates[c].T)[pairs].astype(np.int64) if exact else _exact_scores(
-                queries[pairs[0]], candidates[c][pairs[1]], False
-            )
-        else:
-            new = _exact_scores(queries[pairs[0]], candidates[c][pairs[1]], exact)
+        pairs = surviving_pairs(open_, ours, [other[c] for other in theirs], need)
+        new = np.concatenate([np.zeros(0, np.int64), *(
+            _exact_scores(queries[pairs[0][at:at + _PAIRS]], candidates[c][pairs[1][at:at + _PAIRS]], exact)
+            for at in range(0, len(pairs[0]), _PAIRS)
+        )])
         if not len(new):
             continue
         rows, found, scores = (
@@ -180,5 +204,6 @@ def _search_block(queries, query_ids, marks, ours, norms, candidates, ids, their
         kept = np.arange(len(rows)) - starts < k
         rows, found, scores, starts = rows[kept], found[kept], scores[kept], starts[kept]
         full = np.flatnonzero(np.bincount(rows, minlength=len(queries)) >= k)
-        least[full] = scores[np.searchsorted(rows, full, side="right") - 1]
+        least = least.copy()
+        least[full] = np.maximum(least[full], scores[np.searchsorted(rows, full, side="right") - 1])
     return query_ids[rows], marks[rows], found, scores
