@@ -64,7 +64,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 1.0
 
     Both tables hold ``id, vector``; every component x counts as floor(scale * x).
     """
-    once = queries.withColumn("query", F.xxhash64("vector")).dropDuplicates(["id", "query"]).select("id", "vector", "query")
+    once = queries.withColumn("query", F.xxhash64("vector")).dropDuplicates(["id", "query"])
+    once = cut_lineage(once.select("id", "vector", "query"), "queries")
     sample = candidates.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLE_OF)) == 0)
     # The k-th score in the sample is at most the k-th of all.
     floors = cut_lineage(
