@@ -18,6 +18,7 @@ from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions import prompts as P
 from venuesift.functions import text as X
+from venuesift.operators.calls import Retry, in_order
 from venuesift.session import cut_lineage, new_table_path
 
 _NUMBER_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
@@ -118,13 +119,18 @@ def extract_with_repair(df: DataFrame, replies: DataFrame, key: str = "seq") ->
 
 Complete = Callable[[str, str], str]
 
+#: Calls after which replies are kept, where the caller gives no number of waves.
+WAVE_CALLS = 100_000
+
 
 def call_model(
-    prompts: DataFrame, make_complete: Callable[[], Complete], attempt: int, key: str = "seq"
+    prompts: DataFrame, make_complete: Callable[[], Complete], attempt: int, key: str = "seq",
+    in_flight: int = 1, retry: Retry = Retry(),  # noqa: B008
 ) -> DataFrame:
-    """Call ``complete(system, user)`` once for each row of ``(<key>, prompt)``.
+    """Call ``complete(system, user)`` for each row of ``(<key>, prompt)``.
 
-    The client is built once for each partition. An exception of one call becomes the
+    The client is built once for each partition and has up to ``in_flight`` calls at once, whose replies keep the
+    order of the rows; ``retry`` says when a call is tried again. The last exception of a call becomes the
     ``call_error`` of its row and does not touch the others.
     """
     system = P.SYSTEM_PROMPT
@@ -132,16 +138,11 @@ def call_model(
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = make_complete()
         for batch in batches:
-            replies, errors = [], []
-            for prompt in batch["prompt"]:
-                try:
-                    replies.append(complete(system, prompt))
-                    errors.append(None)
-                except Exception as failure:
-                    replies.append(None)
-                    errors.append(str(failure))
+            asked = ((system, prompt) for prompt in batch["prompt"])
+            told = list(in_order(complete, asked, in_flight, retry))
             yield pd.DataFrame({
-                key: batch[key], "attempt": attempt, "reply": replies, "call_error": errors,
+                key: batch[key], "attempt": attempt, "reply": [reply for reply, _ in told],
+                "call_error": [error for _, error in told],
             })
 
     schema = T.StructType([
@@ -164,7 +165,7 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def _call_missing(
     prompts: DataFrame, make_complete: Callable[[], Complete], attempt: int, key: str, path: str,
-    partitions: int | None, waves: int,
+    partitions: int | None, waves: int | None, in_flight: int, retry: Retry,
 ) -> DataFrame:
     """The replies of one attempt; keys that ``path`` already has are not asked again."""
     spark = prompts.sparkSession
@@ -172,11 +173,13 @@ def _call_missing(
     schema = call_model(prompts, make_complete, attempt, key).schema
     have = _stored(spark, folder, schema).select(key)
     missing = prompts.join(have, key, "left_anti")
+    if waves is None:
+        waves = max(1, -(-missing.count() // WAVE_CALLS))
     for wave in range(waves):
         asked = missing.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave) if waves > 1 else missing
         if partitions is not None:
             asked = asked.repartition(partitions, key)
-        call_model(asked, make_complete, attempt, key).write.mode("append").parquet(folder)
+        call_model(asked, make_complete, attempt, key, in_flight, retry).write.mode("append").parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
@@ -186,19 +189,21 @@ def collect_replies(
     key: str = "seq",
     path: str | None = None,
     partitions: int | None = None,
-    waves: int = 1,
+    waves: int | None = None,
+    in_flight: int = 1,
+    retry: Retry = Retry(),  # noqa: B008
 ) -> DataFrame:
     """Reply table of both passes for the rows of ``df`` that have cleaned text.
 
     The table at ``path`` is keyed by (key, attempt). A job that is started again with the same
     ``path`` only asks for what is not there; calls are kept after each of ``waves`` parts of the
-    keys. Calls run one after another in each partition: as many at once as ``df`` has
-    partitions that run, or as ``partitions`` says.
+    keys, or after about ``WAVE_CALLS`` of them if no number is given. As many tasks call as ``df`` has partitions that run, or as
+    ``partitions`` says, each with ``in_flight`` calls at once.
     """
     path = path or new_table_path(df.sparkSession, "replies")
     ready = df.filter(F.col("cleaned_text").isNotNull()).select(key, "cleaned_text")
     prompts = ready.select(key, P.user_prompt(F.col("cleaned_text")).alias("prompt"))
-    first = _call_missing(prompts, make_complete, 1, key, path, partitions, waves)
+    first = _call_missing(prompts, make_complete, 1, key, path, partitions, waves, in_flight, retry)
     unparsed = (
         parse_response(first.filter(F.col("call_error").isNull()), "reply")
         .filter(~F.col("parsed.schema_ok"))
@@ -207,7 +212,7 @@ def collect_replies(
     again = ready.join(unparsed, key).select(
         key, P.repair_prompt(F.col("reply"), F.col("cleaned_text")).alias("prompt")
     )
-    second = _call_missing(again, make_complete, 2, key, path, partitions, waves)
+    second = _call_missing(again, make_complete, 2, key, path, partitions, waves, in_flight, retry)
     return first.unionByName(second)
 
 

@@ -11,6 +11,7 @@ from venuesift.operators import merging as M
 from venuesift.plans import gathering as G
 from venuesift.session import configure, new_table_path
 from venuesift.sources import catalog as CAT
+from venuesift.sources import fetched as FET
 from venuesift.sources import places as PL
 from venuesift.sources import requests as REQ
 from venuesift.sources import sinks
@@ -393,3 +394,25 @@ def rejected_requests(spark, sf_dir):
     out = new_table_path(spark, "gather-rejected")
     G.run_gather_job(_odd_requests(spark, sf_dir), build_catalog(spark, sf_dir), out)
     return spark.read.parquet(f"{out}/rejected")
+
+
+@query("fetched_source", f"""
+    WITH {lift.VENUES_SQL}
+    SELECT DISTINCT lookup_key AS match_key, CASE WHEN right(name, 1) <> '7' THEN CAST(0 AS BIGINT) END AS item_pos,
+        CASE WHEN right(name, 1) <> '7' THEN 'Tables outside ' || name END AS snippet,
+        CASE WHEN right(name, 1) <> '7' THEN 'low' END AS reliability,
+        CASE WHEN right(name, 1) = '7' THEN name || ' timed out' END AS error
+    FROM venue WHERE right(name, 1) <> '3'""")
+def fetched_source(spark, sf_dir):
+    """A source asked venue by venue, which fails for some of them and has nothing for others."""
+    def make_fetch():
+        def fetch(name, city):
+            if name.endswith("7"):
+                raise TimeoutError(f"{name} timed out")
+            return [] if name.endswith("3") else [{"snippet": f"Tables outside {name}"}]
+
+        return fetch
+
+    source = FET.fetched_source(lift.customer_venues(spark, sf_dir), "live", "review", make_fetch)
+    rows = source.rows.select("match_key", "item_pos", "snippet", "reliability", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(source.errors.select("match_key", "error"), allowMissingColumns=True)
