@@ -76,7 +76,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each string of ``gram`` bytes; equal strings have equal hashes."""
     up, down = _powers(_BASE)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
+    np.cumsum(_digits()[0][data] * up[:len(data)], out=sums[1:])
     hashes = (sums[gram:] - sums[:-gram]) * down[:len(data) - gram + 1]
     hashes ^= hashes >> np.uint64(31)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
@@ -106,15 +106,20 @@ def _blocks(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield start, data[start:start + BLOCK + length - 1]
 
 
-def least_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the smallest hash of its short strings; and all these hashes, place by place."""
+def least_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """For each window the smallest hash of its short strings."""
+    gram = _gram(length)
+    return _sliding(gram_hashes(data, gram), length - gram + 1, np.minimum, _WORD)
+
+
+def chosen_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """The hashes that are the smallest of some window around them, place by place."""
     gram = _gram(length)
     hashes = gram_hashes(data, gram)
     width = length - gram + 1
     least = _sliding(hashes, width, np.minimum, _WORD)
-    # The place of a hash counts if it is the smallest of some window around it.
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return least, hashes[hashes == _sliding(around, width, np.maximum, 0)]
+    return hashes[hashes == _sliding(around, width, np.maximum, 0)]
 
 
 _ANCHORS = pa.schema([("hash", pa.int64()), ("text_id", pa.int64())])
@@ -126,7 +131,7 @@ def _anchors(length: int) -> Callable:
             found, owner = [], []
             for text_id, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 for _, data in _blocks(text, length):
-                    found.append(least_hashes(data, length)[1].view(np.int64))
+                    found.append(chosen_hashes(data, length).view(np.int64))
                     owner.append(np.full(len(found[-1]), text_id, dtype=np.int64))
             if found:
                 columns = [pa.array(np.concatenate(found)), pa.array(np.concatenate(owner))]
@@ -151,7 +156,7 @@ def _stretches(length: int) -> Callable:
             alone = np.sort(np.array(single or [], dtype=np.int64)).view(np.uint64)
             alone.sort()
             for start, data in _blocks(text, length):
-                least = least_hashes(data, length)[0]
+                least = least_hashes(data, length)
                 heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                 values = least[heads]
                 at = np.searchsorted(alone, values)
