@@ -13,6 +13,7 @@ from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions import rules as R
 from venuesift.functions.text import strip
+from venuesift.session import cut_lineage
 
 _ENTRY_SCHEMA = "key string, pos int, url string, snippet string"
 _BAD_FILE = "catalog is not valid JSON"
@@ -55,16 +56,31 @@ def _object_text(value: Column) -> Column:
     return F.when(whole, F.element_at(parts, 1))
 
 
-def is_broken(spark: SparkSession, path: str, one_object_per_line: bool = False) -> bool:
-    """True when a file, or a line that is not blank, should hold one JSON object and does not."""
+def _objects(spark: SparkSession, path: str, one_object_per_line: bool) -> DataFrame | None:
+    """``object``: the text of the JSON object of each file or line, null where it is none; None for a missing path."""
     text = _read_text(spark, path, whole=not one_object_per_line)
     if text is None:
-        return False
+        return None
     if one_object_per_line:
         text = text.filter(strip(F.col("value")) != "")
     elif text.isEmpty():  # Spark passes over files without a byte
-        return True
-    return not text.filter(_object_text(F.col("value")).isNull()).isEmpty()
+        return spark.createDataFrame([(None,)], "object string")
+    return text.select(_object_text(F.col("value")).alias("object"))
+
+
+def is_broken(spark: SparkSession, path: str, one_object_per_line: bool = False) -> bool:
+    """True when a file, or a line that is not blank, should hold one JSON object and does not."""
+    objects = _objects(spark, path, one_object_per_line)
+    return objects is not None and not objects.filter(F.col("object").isNull()).isEmpty()
+
+
+def read_catalog(spark: SparkSession, path: str, one_object_per_line: bool = False) -> tuple[DataFrame, bool]:
+    """The entries of ``read_entries``, and what ``is_broken`` says, from one reading of the files."""
+    objects = _objects(spark, path, one_object_per_line)
+    if objects is None:
+        return spark.createDataFrame([], _ENTRY_SCHEMA), False
+    written = cut_lineage(objects, "catalog-objects")
+    return _entries(written), not written.filter(F.col("object").isNull()).isEmpty()
 
 
 def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = False) -> DataFrame:
@@ -76,13 +92,15 @@ def read_entries(spark: SparkSession, path: str, one_object_per_line: bool = Fal
     that key, and other keys of the file are not affected. Text that is not one JSON object gives
     no entries; ``is_broken`` tells of it.
     """
-    text = _read_text(spark, path, whole=not one_object_per_line)
-    if text is None:
-        return spark.createDataFrame([], _ENTRY_SCHEMA)
+    objects = _objects(spark, path, one_object_per_line)
+    return spark.createDataFrame([], _ENTRY_SCHEMA) if objects is None else _entries(objects)
+
+
+def _entries(objects: DataFrame) -> DataFrame:
     raw = F.col("raw")
     listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
     lists = (
-        text.select(F.explode(F.from_json(_object_text(F.col("value")), "map<string, string>")).alias("key", "raw"))
+        objects.select(F.explode(F.from_json("object", "map<string, string>")).alias("key", "raw"))
         .filter(raw.isNotNull() & ~raw.isin(*_NO_ENTRIES))
         .select("key", F.coalesce(listed, F.array(F.lit(None).cast("string"))).alias("entries"))
     )
@@ -159,8 +177,8 @@ def static_catalog(
     """Catalog over ``search.json``, ``reviews.json`` and ``maps.json`` of one folder."""
     def source(name: str, source_type: str, file: str) -> EvidenceSource:
         path = f"{folder}/{file}"
-        found = static_source(name, source_type, read_entries(spark, path, one_object_per_line))
-        broken = is_broken(spark, path, one_object_per_line)
+        entries, broken = read_catalog(spark, path, one_object_per_line)
+        found = static_source(name, source_type, entries)
         return replace(found, failure=_BAD_FILE) if broken else found
 
     return build_catalog(
