@@ -7,16 +7,21 @@ import os
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pytest
+from test_llm_alignment import TEXTS
+from test_llm_alignment import plain as plain_alignment
 from test_llm_dedup import brute_groups
 from test_llm_texts import brute_spans
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from check import compare, connect
-from venuesift.llm import mixing, packing, quality, secrets
+from venuesift.llm import mixing, quality, secrets
 from venuesift.llm.registry import ORACLES, QUERIES, table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -31,7 +36,7 @@ def docs(spark):
 
 def test_queries_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry_point.queries())
-    assert len(QUERIES) == 10 and set(ORACLES) <= set(entry_point.oracle_sql())
+    assert len(QUERIES) == 13 and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -68,8 +73,14 @@ def check_pieces(rows, expected):
     assert padded - used < 1024 * tasks
 
 
+@lru_cache(maxsize=1)
+def vocabulary():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def tokens(text):
-    return [*packing.public_encoder()(text or ""), 0]
+    """Ids of the unmodified tokenizer, and the end."""
+    return [*vocabulary().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_op3(spark, docs):
@@ -87,6 +98,70 @@ def test_op5(spark, docs):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.95
 
 
+def plain_trees(rows, labels, rounds):
+    """Cyclic boosting of single features, then of pairs, with sums over rows in loops."""
+    rate, least, l2 = quality.RATE, quality._MIN_ROWS, quality._L2
+    n = len(labels)
+    share = (sum(labels) + 1) / (n + 2)
+    total = [math.log(share / (1 - share))] * n
+
+    def sums(members):
+        grad = weight = 0.0
+        for i in members:
+            p = 1 / (1 + math.exp(-total[i]))
+            grad, weight = grad + labels[i] - p, weight + p * (1 - p)
+        return grad, weight
+
+    def gain(members):
+        grad, weight = sums(members)
+        return grad * grad / (weight + l2)
+
+    def place(value, cuts):
+        return sum(cut <= value for cut in cuts)
+
+    cuts = [quality._cuts(rows[:, f], quality.BINS) for f in range(rows.shape[1])]
+    for _ in range(rounds):
+        for f in range(rows.shape[1]):
+            bins = [place(value, cuts[f]) for value in rows[:, f]]
+            leaves = [(0, len(cuts[f]) + 1)]
+            for _ in range(quality.LEAVES - 1):
+                best = (1e-9, None, None)
+                for low, high in leaves:
+                    for at in range(low + 1, high):
+                        left = [i for i in range(n) if low <= bins[i] < at]
+                        right = [i for i in range(n) if at <= bins[i] < high]
+                        if len(left) >= least and len(right) >= least:
+                            best = max(best, (gain(left) + gain(right) - gain(left + right), (low, high), at), key=lambda b: b[0])
+                if best[1] is None:
+                    break
+                leaves.remove(best[1])
+                leaves += [(best[1][0], best[2]), (best[2], best[1][1])]
+            steps = {}
+            for low, high in leaves:
+                grad, weight = sums([i for i in range(n) if low <= bins[i] < high])
+                steps[low, high] = rate * grad / (weight + l2)
+            for i in range(n):
+                total[i] += next(step for (low, high), step in steps.items() if low <= bins[i] < high)
+    return [1 / (1 + math.exp(-value)) for value in total]
+
+
+def test_op5_boosts_as_a_plain_version(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 2)
+    chance = np.random.default_rng(3)
+    rows = np.round(chance.normal(size=(160, 4)), 1)
+    labels = (rows[:, 0] + 0.5 * rows[:, 1] > 0).astype(float)
+    model = quality.fit(rows, labels)
+    assert np.allclose(model.score(rows), plain_trees(rows, labels, 2), atol=1e-9)
+
+
+def test_op12(spark, tmp_path):
+    """The registered query, over a table of its own."""
+    rows = [*TEXTS, (30, None), (31, ""), (32, "mixed ▁ sign"), (None, "no id"), (1, "The cat sat on the mat, twice.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op12_token_alignment"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == plain_alignment(rows)
+
+
 def test_op7(spark, docs):
     got = sorted(map(tuple, QUERIES["op7_simhash"](spark, SF_DIR).collect()))
     assert got == sorted(brute_groups([(i, t) for i, t, _ in docs]))
