@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from venuesift import contracts as C
 from venuesift.functions import jsontext as J
 from venuesift.functions.text import strip
+from venuesift.session import cut_lineage
 from venuesift.sources.catalog import EvidenceSource
 
 _BAD_JSON = "response is not valid JSON"
@@ -141,18 +142,22 @@ def places_source(
 ) -> EvidenceSource:
     """Evidence source over stored responses; a details response is read once for each place.
 
-    An answer that is not as expected fails the source for its key, with no evidence.
+    An answer that is not as expected fails the source for its key, with no evidence. Answers are taken apart once: what
+    is in them is written, and evidence and errors both come from there.
     """
-    asked = place_candidate(searches)
     doc = F.try_parse_json("response")
     search_error = F.coalesce(
         F.col("call_error"), F.when(doc.isNull(), F.lit(_BAD_JSON)),
         F.when(search_misshapen(doc), F.lit(_BAD_SHAPE)),
     )
-    failed = asked.withColumn("error", search_error).filter(F.col("error").isNotNull())
-    found = asked.filter(F.col("place_id").isNotNull() & search_error.isNull())
-    found = found.select("match_key", "place_id")
-    items = place_items(details, max_reviews, max_chars).withColumn("stored", F.lit(True))
+    asked = cut_lineage(
+        place_candidate(searches).select("match_key", "place_id", search_error.alias("error")), "place-searches"
+    )
+    failed = asked.filter(F.col("error").isNotNull())
+    found = asked.filter(F.col("place_id").isNotNull() & F.col("error").isNull()).select("match_key", "place_id")
+    items = cut_lineage(
+        place_items(details, max_reviews, max_chars).withColumn("stored", F.lit(True)), "place-items"
+    )
     joined = found.join(items, "place_id", "left").withColumn("error", F.when(F.col("stored").isNull(), F.lit(_NO_DETAILS)).otherwise(F.col("error")))
 
     rows = joined.select("match_key", F.posexplode("items").alias("item_pos", "item")).select(
