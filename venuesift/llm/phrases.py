@@ -38,7 +38,7 @@ SAMPLE_OF = 8
 #: Words that a task counts at once.
 STRETCH = 1 << 21
 #: Keys that may be broadcast (eight bytes each).
-KNOWN_KEYS = 2 << 20
+KNOWN_KEYS = 4 << 20
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,7 +212,8 @@ def frequent_phrases(
     rows = docs.select(lang.alias("lang"), F.encode(text, "utf-8").alias("data"))
     sample = rows.filter(F.pmod(F.xxhash64("lang", "data"), F.lit(sample_of)) == 0)
     expected = min_count / sample_of
-    lowered = min(min_count, max(2, int(expected - expected ** 0.5)))
+    # Half a deviation below what is expected: lower, and what is proposed outgrows what is frequent; what is missed, the border tells.
+    lowered = min(min_count, max(2, round(expected - expected ** 0.5 / 2)))
 
     proposed, written = None, []
     for size in range(1, most_words):
