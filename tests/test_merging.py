@@ -14,7 +14,7 @@ from venuesift.operators.classify import keyword_extract
 from venuesift.operators.cleaning import clean_evidence
 from venuesift.operators.flat import keyword_decisions
 from venuesift.operators.ordering import rank_rows
-from venuesift.plans.gathering import matched_evidence
+from venuesift.plans.gathering import match, matched_evidence
 from venuesift.sources import catalog as CAT
 from venuesift.sources import places as PL
 
@@ -177,6 +177,44 @@ def test_flat_decision_of_a_hot_group(spark, monkeypatch):
 UNITS = [("The Quay", "Oslo"), ("THE QUAY", "oslo"), ("Nowhere", "Rome")]
 
 
+def text_shuffles(frame):
+    """Shuffles that a snippet goes through, in the plan before it runs."""
+    plan = frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum("Exchange" in part.splitlines()[0] and "snippet#" in part for part in plan.split("\n\n") if part.startswith("("))
+
+
+def entry_source(spark, rows):
+    frame = spark.createDataFrame([(k, p, u, s) for k, p, u, s in rows], "key string, pos int, url string, snippet string")
+    return {"reviews": CAT.static_source("static_reviews", "review", frame)}
+
+
+def test_texts_cross_once_however_much_is_decided(spark):
+    rows = [("the quay|oslo", n, None, f"text {n % 7}") for n in range(20)] + [("nowhere|rome", 0, None, None)]
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matched = match(units(spark), CAT.build_catalog(spark, **entry_source(spark, rows)))
+        frames = [matched.evidence(), matched.deduped(), matched.ranked()]
+        assert [text_shuffles(frame) for frame in frames] == [1, 1, 1]
+        assert [frame.count() for frame in frames] == [40, 14, 14]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+@pytest.mark.parametrize("prefix", ["", "same words " * 9])
+def test_links_rank_and_dedup_as_rows_with_texts_do(spark, prefix):
+    """Keys that begin alike, rows that share even their place, venues that share a key."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["the quay|oslo", "nowhere|rome"]), rng.randrange(30), rng.choice([None, "", "u", "v"]),
+             prefix + rng.choice(["", " ", "\n"]) + rng.choice(["A", "a", "b", "é", "z", ""]) + rng.choice("xyz")) for _ in range(300)]
+    matched = match(units(spark), CAT.build_catalog(spark, **entry_source(spark, rows)))
+    plain = M.dedup_evidence(matched.evidence(), ["name", "city"])
+    wanted = M.rank_evidence(plain, ["name", "city"])
+    columns = sorted(wanted.columns)
+    assert Counter(matched.ranked().select(columns).collect()) == Counter(wanted.select(columns).collect())
+    assert Counter(matched.deduped().select(plain.columns).collect()) == Counter(plain.collect())
+
+
 def units(spark):
     return spark.createDataFrame(UNITS, "name string, city string")
 

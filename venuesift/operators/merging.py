@@ -1,5 +1,8 @@
 """Match evidence to requests, then deduplicate, rank and combine it.
 
+Entries of the sources are written once, with a number. Matching, failures, deduplication and ranks go by links: rows
+with that number and what decides, but without texts. The texts cross once, in ``fetch``, for the links that are left.
+
 ``group`` is the list of columns that identify what evidence is merged for. The
 gather job uses (name, city), so requests that ask for the same venue share the work.
 """
@@ -14,18 +17,41 @@ from venuesift.functions import rules as R
 from venuesift.functions import text as X
 from venuesift.operators.flat import block_text
 from venuesift.operators.ordering import rank_rows
+from venuesift.session import cut_lineage
 
 MATCH = ["key_kind", "match_key"]
 
 
+#: Number of a written entry, and the beginning of its snippet key.
+ENTRY, HEAD = "entry", "key_head"
+HEAD_CHARS = 48
+DIGEST = "snippet_digest"
+
+
+def numbered_entries(rows: DataFrame) -> DataFrame:
+    """Write entries of sources with a number each, a digest of the form under which snippets count as the same (null
+    without a snippet), and the head of that form."""
+    key = F.col("_key")
+    told = rows.withColumn("_key", X.snippet_key(F.col("snippet"))).withColumns({
+        DIGEST: F.unhex(F.sha2(key, 256)), HEAD: F.substring(key, 1, HEAD_CHARS), ENTRY: F.monotonically_increasing_id(),
+    })
+    return cut_lineage(told.drop("_key"), "entries", "zstd")
+
+
+def fetch(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """Links with the url and the snippet of their entries: the one step in which texts cross."""
+    texts = entries.select(ENTRY, "url", "snippet")
+    return texts.join(links.hint("shuffle_hash"), ENTRY)
+
+
 def isolate_failures(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Evidence of sources that worked, and one error for each group and source that did not.
+    """Links to sources that worked, and one error for each group and source that did not.
 
     An entry without a snippet spoils all that its source has for that group; other
     groups and other sources are untouched.
     """
     errors = (
-        rows.filter(F.col("snippet").isNull()).select(*group, "source_ord", "source_name").distinct()
+        rows.filter(F.col(DIGEST).isNull()).select(*group, "source_ord", "source_name").distinct()
         .withColumn("error", F.lit(C.ERROR_MISSING_SNIPPET))
     )
     keys = [*group, "source_ord"]
@@ -54,12 +80,44 @@ def match_errors(units: DataFrame, errors: DataFrame) -> DataFrame:
     return errors.join(match_keys(units), MATCH).drop(*MATCH)
 
 
-DIGEST = "snippet_digest"
+def first_links(links: DataFrame, entries: DataFrame, group: list[str]) -> DataFrame:
+    """Of equal snippets in a group the first in source order, then item order, stays.
+
+    Links that share even the place are cut to the smallest row, which only their texts can tell.
+    """
+    own = ["source_name", "source_type", "reliability", HEAD, ENTRY]
+    keys = [*group, DIGEST, "source_ord", "item_pos"]
+    placed = links.groupBy(*keys).agg(F.min(F.struct(*own)).alias("_row"), F.count(F.lit(1)).alias("_same"))
+    first = cut_lineage(
+        placed.groupBy(*group, DIGEST).agg(F.min(F.struct("source_ord", "item_pos", "_row", "_same")).alias("_first"))
+        .select(*group, DIGEST, "_first.*").select(*keys, "_row.*", "_same"), "first-links",
+    )
+    single, twins = first.filter("_same = 1").drop("_same"), first.filter("_same > 1").select(*keys)
+    if twins.isEmpty():
+        return single
+    whole = ["source_name", "source_type", "url", "snippet", "reliability", HEAD, ENTRY]
+    told = fetch(links.join(twins, keys, "left_semi"), entries).groupBy(*keys).agg(F.min(F.struct(*whole)).alias("_row"))
+    return single.unionByName(told.select(*keys, "_row.*").select(*single.columns))
+
 
+def rank_links(first: DataFrame, entries: DataFrame, group: list[str]) -> DataFrame:
+    """Add ``rank`` from 1 to links of different snippets.
 
-def with_digest(rows: DataFrame) -> DataFrame:
-    """Add a digest of the form under which snippets count as the same."""
-    return rows.withColumn(DIGEST, F.sha2(X.snippet_key(F.col("snippet")), 256))
+    Heads of snippet keys order most links; the whole key is fetched for those alone that agree in all before it.
+    """
+    graded = first.withColumns({
+        "reliability_rank": R.rank(F.col("reliability"), C.RELIABILITY_RANK),
+        "type_rank": R.rank(F.col("source_type"), C.SOURCE_TYPE_RANK),
+    })
+    same = [*group, "reliability_rank", "type_rank", "source_name", HEAD]
+    long = F.length(HEAD) == HEAD_CHARS
+    many = graded.filter(long).groupBy(*same).agg(F.count(F.lit(1)).alias("_same")).filter("_same > 1").drop("_same")
+    tied = cut_lineage(graded.filter(long).join(many, same, "left_semi").select(*group, ENTRY), "tied-links")
+    order = [F.col(name) for name in same[len(group):]]
+    if not tied.isEmpty():
+        whole = fetch(tied, entries).select(*group, ENTRY, X.snippet_key(F.col("snippet")).alias("_key"))
+        graded, order = graded.join(whole, [*group, ENTRY], "left"), [*order, F.col("_key")]
+    return rank_rows(graded, group, order).drop("reliability_rank", "type_rank", "_key")
 
 
 def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:
@@ -67,11 +125,11 @@ def dedup_evidence(evidence: DataFrame, group: list[str]) -> DataFrame:
 
     The first is found by digests and places alone, which a hash aggregation combines before its
     shuffle; the texts then cross once, in the join that fetches the rows of the first. Places
-    are unique in a group; rows that share one are cut to the smallest. Rows that come with
-    their digest are not read for it again.
+    are unique in a group; rows that share one are cut to the smallest. (A job does the same
+    without texts: ``first_links``.)
     """
     place = ["source_ord", "item_pos"]
-    keyed = evidence if DIGEST in evidence.columns else with_digest(evidence)
+    keyed = evidence.withColumn(DIGEST, F.sha2(X.snippet_key(F.col("snippet")), 256))
     first = keyed.groupBy(*group, DIGEST).agg(F.min(F.struct(*place)).alias("_first"))
     keys = [*group, DIGEST, *place]
     met = keyed.join(first.select(*group, DIGEST, "_first.*"), keys, "left_semi")

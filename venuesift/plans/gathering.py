@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,13 @@ from venuesift.operators.cleaning import clean_evidence
 from venuesift.operators.flat import keyword_decisions
 from venuesift.operators.validation import validate_predictions
 from venuesift.plans.batch import Extract
-from venuesift.session import configure, cut_lineage, new_table_path
+from venuesift.session import (
+    configure,
+    cut_lineage,
+    new_table_path,
+    remove_tables,
+    write_table,
+)
 from venuesift.sources import requests as REQ
 from venuesift.sources import sinks
 from venuesift.sources.catalog import (
@@ -30,21 +38,53 @@ def venues(requests: DataFrame) -> DataFrame:
     return requests.select(*VENUE).distinct()
 
 
-def matched_evidence(
-    asked: DataFrame, catalog: dict[str, EvidenceSource]
-) -> tuple[DataFrame, DataFrame]:
-    """Evidence of each venue from all sources, and the errors of its sources.
+EVIDENCE = [*VENUE, "source_ord", "item_pos", "source_name", "source_type", "url", "snippet", "reliability"]
+
+
+@dataclass(frozen=True)
+class Matched:
+    """``links`` of venues to ``entries`` (with the texts) of sources that worked, and ``errors`` of the others.
+
+    ``written`` is the table of all links.
+    """
+
+    links: DataFrame
+    entries: DataFrame
+    errors: DataFrame
+    written: DataFrame
 
-    The sources are read once: what they have for the asked keys is written, and evidence and
-    errors come from that table.
+    def evidence(self) -> DataFrame:
+        return M.fetch(self.links, self.entries).select(*EVIDENCE)
+
+    def deduped(self) -> DataFrame:
+        return M.fetch(M.first_links(self.links, self.entries, VENUE), self.entries).select(*EVIDENCE)
+
+    def ranked(self) -> DataFrame:
+        first = M.first_links(self.links, self.entries, VENUE)
+        return M.fetch(M.rank_links(first, self.entries, VENUE), self.entries).select(*EVIDENCE, "rank")
+
+
+def match(asked: DataFrame, catalog: dict[str, EvidenceSource]) -> Matched:
+    """Links of each venue to what the sources have for it.
+
+    The sources are read once: their entries are written, and links, evidence and errors come from that table.
     """
-    rows = cut_lineage(M.with_digest(M.gather_sources(asked, union_sources(catalog))), "matched")
-    evidence, errors = M.isolate_failures(rows, VENUE)
+    entries = M.numbered_entries(union_sources(catalog))
+    written = cut_lineage(M.gather_sources(asked, entries.drop("url", "snippet")), "links")
+    links, errors = M.isolate_failures(written, VENUE)
     reported = union_errors(catalog)
     if reported is not None:
         errors = errors.unionByName(M.match_errors(asked, reported))
     failed = failed_sources(catalog, asked)
-    return evidence, errors if failed is None else errors.unionByName(failed)
+    return Matched(links, entries, errors if failed is None else errors.unionByName(failed), written)
+
+
+def matched_evidence(
+    asked: DataFrame, catalog: dict[str, EvidenceSource]
+) -> tuple[DataFrame, DataFrame]:
+    """Evidence of each venue from all sources, and the errors of its sources."""
+    matched = match(asked, catalog)
+    return matched.evidence(), matched.errors
 
 
 def gather_state(
@@ -90,10 +130,12 @@ def decided_venues(
 ) -> DataFrame:
     """Write the ranked evidence of the asked venues, and from it one decided row for each."""
     spark = configure(asked.sparkSession)
-    evidence, errors = matched_evidence(asked, catalog)
-    M.rank_evidence(M.dedup_evidence(evidence, VENUE), VENUE).write.mode("overwrite").parquet(evidence_path)
-    state = gather_state(asked, spark.read.parquet(evidence_path), errors, threshold, extract)
-    sinks.lists_as_json(state, ["evidence", "gather_errors"]).write.mode("overwrite").parquet(venues_path)
+    matched = match(asked, catalog)
+    write_table(matched.ranked(), evidence_path, "zstd")
+    remove_tables(matched.entries)
+    state = gather_state(asked, spark.read.parquet(evidence_path), matched.errors, threshold, extract)
+    write_table(sinks.lists_as_json(state, ["evidence", "gather_errors"]), venues_path)
+    remove_tables(matched.written)
     return spark.read.parquet(venues_path)
 
 
@@ -144,9 +186,9 @@ def run_gather_job(
     """
     spark = requests.sparkSession
     checked = REQ.check_requests(requests)
-    checked.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{out_dir}/rejected")
+    write_table(checked.filter(F.col("reject_reason").isNotNull()), f"{out_dir}/rejected")
     valid = checked.filter(F.col("reject_reason").isNull()).select("seq", *VENUE)
-    valid.write.mode("overwrite").parquet(f"{out_dir}/requests")
+    write_table(valid, f"{out_dir}/requests")
     decided_venues(
         venues(spark.read.parquet(f"{out_dir}/requests")), catalog, threshold, extract,
         f"{out_dir}/evidence", f"{out_dir}/venues",

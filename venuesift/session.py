@@ -52,17 +52,23 @@ def cut_lineage(df: DataFrame, label: str = "rows", codec: str | None = None) ->
     """Write the rows once to a table in the shared folder and go on from that table.
 
     Later steps read only the columns they need, and nothing is computed again when an
-    executor is lost. The shuffle files behind the table are removed as soon as it is written.
+    executor is lost.
     """
     spark = df.sparkSession
     path = new_table_path(spark, label)
-    with session_values(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    write_table(df, path, codec)
     table = spark.read.parquet(path)
     table._written_at = path
     return table
 
 
+def write_table(df: DataFrame, path: str, codec: str | None = None) -> None:
+    """Write a table as Parquet; the shuffle files behind it are removed as soon as it is written."""
+    with session_values(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        writer = df.write.mode("overwrite")
+        (writer.option("compression", codec) if codec else writer).parquet(path)
+
+
 def remove_tables(*tables: DataFrame) -> None:
     """Delete tables that ``cut_lineage`` wrote, once everything made from them is written too."""
     for table in tables:

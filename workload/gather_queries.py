@@ -37,14 +37,10 @@ def places(spark, sf_dir):
     )
 
 
-def _gathered(spark, sf_dir):
-    """Evidence of every customer venue from all sources, before the merge."""
+def _matched(spark, sf_dir):
+    """What all sources have for every customer venue, before the merge."""
     units = G.venues(lift.customer_venues(spark, sf_dir))
-    return G.matched_evidence(units, build_catalog(spark, sf_dir))
-
-
-def _deduped(spark, sf_dir):
-    return M.dedup_evidence(_gathered(spark, sf_dir)[0], G.VENUE)
+    return G.match(units, build_catalog(spark, sf_dir))
 
 
 @query("static_evidence", f"""
@@ -233,20 +229,20 @@ def places_source_errors(spark, sf_dir):
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, source_ord, source_name, source_type, item_pos, url, snippet, reliability FROM gathered""")
 def gather_sources(spark, sf_dir):
-    return _gathered(spark, sf_dir)[0].drop(M.DIGEST)
+    return _matched(spark, sf_dir).evidence()
 
 
 @query("source_errors", f"""
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, source_ord, source_name, '''snippet''' AS error FROM failed""")
 def source_errors(spark, sf_dir):
-    return _gathered(spark, sf_dir)[1]
+    return _matched(spark, sf_dir).errors
 
 
 @query("collect_errors", f"""
     WITH {lift.EVIDENCE_SQL} SELECT name, city, {S.json_list('errors')} AS gather_errors FROM told""")
 def collect_errors(spark, sf_dir):
-    return M.collect_errors(_gathered(spark, sf_dir)[1], G.VENUE).withColumn(
+    return M.collect_errors(_matched(spark, sf_dir).errors, G.VENUE).withColumn(
         "gather_errors", json_list(F.col("gather_errors"))
     )
 
@@ -255,20 +251,20 @@ def collect_errors(spark, sf_dir):
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, source_ord, source_name, source_type, item_pos, url, snippet, reliability FROM deduped""")
 def dedup_evidence(spark, sf_dir):
-    return _deduped(spark, sf_dir)
+    return _matched(spark, sf_dir).deduped()
 
 
 @query("rank_evidence", f"""
     WITH {lift.EVIDENCE_SQL}
     SELECT name, city, rank, source_name, source_type, url, snippet, reliability FROM ranked""")
 def rank_evidence(spark, sf_dir):
-    return M.rank_evidence(_deduped(spark, sf_dir), G.VENUE).select(
+    return _matched(spark, sf_dir).ranked().select(
         "name", "city", "rank", "source_name", "source_type", "url", "snippet", "reliability"
     )
 
 
 def _assembled(spark, sf_dir):
-    return M.assemble_evidence(_deduped(spark, sf_dir), G.VENUE)
+    return M.assemble_evidence(_matched(spark, sf_dir).ranked(), G.VENUE)
 
 
 @query("combine_evidence", f"WITH {lift.EVIDENCE_SQL} SELECT name, city, raw_text FROM combined")
@@ -294,7 +290,7 @@ def provenance_lists(spark, sf_dir):
     FROM venue LEFT JOIN combined USING (name, city)""")
 def no_evidence_gate(spark, sf_dir):
     units = G.venues(lift.customer_venues(spark, sf_dir))
-    counted = _gathered(spark, sf_dir)[0].groupBy(*G.VENUE).agg(F.count(F.lit(1)).alias("found"))
+    counted = _matched(spark, sf_dir).links.groupBy(*G.VENUE).agg(F.count(F.lit(1)).alias("found"))
     rows = units.join(counted, G.VENUE, "left")
     return M.no_evidence_gate(rows, F.col("found") > 0).drop("found")
 

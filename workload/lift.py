@@ -114,12 +114,20 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    venues = customer_venues(spark, sf_dir)
-    # Each test table is one file with one row group, which one task would read and clean.
-    rows = rows.repartition(spark.sparkContext.defaultParallelism, "pos")
-    return rows.join(venues, "c_custkey").select(
-        F.lower(F.concat_ws("|", "name", "city")).alias("key"), "pos", "url", "snippet"
-    )
+    """Rows with the ``key`` of the venue of their ``c_custkey``.
+
+    Each test table is one file with one row group, which one task would read and clean: the hint makes the join deal
+    the rows out, once, and without sorting texts.
+    """
+    venues = customer_venues(spark, sf_dir).select("c_custkey", F.lower(F.concat_ws("|", "name", "city")).alias("key"))
+    return rows.join(venues.hint("shuffle_hash"), "c_custkey")
+
+
+def _keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are: the sources made from them share one shuffle."""
+    return _keyed(spark, sf_dir, table(spark, sf_dir, "documents").select(
+        _text_venue(spark, sf_dir, "doc_id").alias("c_custkey"), "doc_id", "text"
+    ))
 
 
 def _text_venue(spark: SparkSession, sf_dir: str, key: str) -> Column:
@@ -138,28 +146,26 @@ _N_VENUES = "(SELECT count(*) FROM customer)"
 def search_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as search snippets; a few entries have none."""
     key = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(
-        _text_venue(spark, sf_dir, "doc_id").alias("c_custkey"), key.alias("pos"),
+    return _keyed_documents(spark, sf_dir).select(
+        "key", key.alias("pos"),
         F.when(key % 3 != 0, F.concat(F.lit("https://s.test/"), key.cast("string"))).alias("url"),
         F.when(key % 97 != 5, F.col("text")).alias("snippet"),
     )
-    return _keyed(spark, sf_dir, rows)
 
 
 def review_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns, and the documents again with other spacing."""
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = _keyed(spark, sf_dir, table(spark, sf_dir, "conversations").select(
         _text_venue(spark, sf_dir, "conv_id").alias("c_custkey"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
         F.lit("").alias("url"), F.col("text").alias("snippet"),
-    )
-    again = table(spark, sf_dir, "documents").select(
-        _text_venue(spark, sf_dir, "doc_id").alias("c_custkey"),
-        (F.col("doc_id") + 1_000_000_000_000).alias("pos"),
+    )).select("key", "pos", "url", "snippet")
+    again = _keyed_documents(spark, sf_dir).select(
+        "key", (F.col("doc_id") + 1_000_000_000_000).alias("pos"),
         F.lit(None).cast("string").alias("url"),
         F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))).alias("snippet"),
     )
-    return _keyed(spark, sf_dir, turns.unionByName(again))
+    return turns.unionByName(again)
 
 
 def maps_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +176,7 @@ def maps_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://m.test/"), key.cast("string")).alias("url"),
         TPL.pick(TPL.SENTENCES, key).alias("snippet"),
     )
-    return _keyed(spark, sf_dir, rows)
+    return _keyed(spark, sf_dir, rows).select("key", "pos", "url", "snippet")
 
 
 _MAPS_SQL = f"""
