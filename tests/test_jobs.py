@@ -10,7 +10,7 @@ import pytest
 from venuesift import contracts as C
 from venuesift.operators.replies import hook_extract
 from venuesift.plans.batch import process_records, run_job
-from venuesift.plans.gathering import job_review_queue, run_gather_job
+from venuesift.plans.gathering import job_results, job_review_queue, run_gather_job
 from venuesift.sources import catalog as CAT
 from venuesift.sources import places as PL
 from venuesift.sources import sinks
@@ -130,6 +130,13 @@ def test_gather_job(spark, requests, catalog, tmp_path):
     assert list(read_csv(tmp_path / "out" / "review_queue_csv").name) == ["Empty"]
 
 
+def test_returned_results_are_not_sorted_with_their_lists(spark, requests, catalog, tmp_path):
+    out = run_gather_job(requests, catalog(), str(tmp_path / "out"))
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+    listed = [r.name for r in job_results(spark, str(tmp_path / "out")).collect()]
+    assert listed == ["Pier House", "Cellar", "Pier House", "Empty"] and sorted(listed) == sorted(r.name for r in out.collect())
+
+
 def test_a_source_that_fails_as_a_whole_is_told_to_every_venue(spark, requests, catalog, tmp_path):
     (tmp_path / "maps.json").write_text("{broken", encoding="utf-8")
     out = run_gather_job(requests, catalog(), str(tmp_path / "out"))

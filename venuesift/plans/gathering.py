@@ -178,11 +178,12 @@ def run_gather_job(
     extract: Extract | None = None,
     csv: bool = False,
 ) -> DataFrame:
-    """Write the tables of a job below ``out_dir``; return the results.
+    """Write the tables of a job below ``out_dir``; return the results, in no order (``job_results`` sorts them).
 
     ``evidence`` holds ranked rows, ``venues`` a decision for each venue, ``requests`` who asked for
     what, ``rejected`` the requests that cannot be answered. Results and review queue are these
-    tables joined; only an export as CSV writes the lists of a venue for each request.
+    tables joined; only an export as CSV writes the lists of a venue for each request. A sort would
+    shuffle these lists once for each request, so only what is read in order is sorted.
     """
     spark = requests.sparkSession
     checked = REQ.check_requests(requests)
@@ -196,7 +197,7 @@ def run_gather_job(
     if csv:
         for name, rows in (("results", job_results(spark, out_dir)), ("review_queue", job_review_queue(spark, out_dir))):
             sinks.write_csv(rows, f"{out_dir}/{name}_csv")
-    return job_results(spark, out_dir)
+    return _joined(spark, out_dir).select(*C.GATHER_COLUMNS)
 
 
 def _joined(spark: SparkSession, out_dir: str) -> DataFrame:
