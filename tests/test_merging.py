@@ -201,6 +201,25 @@ def test_texts_cross_once_however_much_is_decided(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
 
+def test_only_texts_that_are_asked_for_cross(spark, monkeypatch):
+    """Two links that tie fetch their own texts and no others; copies that dedup dropped stay where they are."""
+    begins = "a beginning of more than forty-eight characters, the same "
+    rows = [("the quay|oslo", n, None, f"text {n % 7}") for n in range(300)]
+    rows += [("the quay|oslo", 300 + n, None, begins + end) for n, end in enumerate("ab")]
+    matched = match(units(spark), CAT.build_catalog(spark, **entry_source(spark, rows)))
+    wanted, seen = M.wanted, []
+
+    def counted(entries, kept):
+        got = wanted(entries, kept)
+        seen.append(sorted(r.entry for r in got.collect()) == sorted({r.entry for r in kept.collect()}) and got.count())
+        return got
+
+    monkeypatch.setattr(M, "wanted", counted)
+    assert matched.ranked().count() == 18 and seen == [2, 9]
+    monkeypatch.setattr(M, "MOST_SETS", 0)
+    assert matched.ranked().count() == 18
+
+
 @pytest.mark.parametrize("prefix", ["", "same words " * 9])
 def test_links_rank_and_dedup_as_rows_with_texts_do(spark, prefix):
     """Keys that begin alike, rows that share even their place, venues that share a key."""

@@ -26,6 +26,8 @@ MATCH = ["key_kind", "match_key"]
 ENTRY, HEAD = "entry", "key_head"
 HEAD_CHARS = 48
 DIGEST = "snippet_digest"
+#: Sets of 64 entries that are broadcast at most.
+MOST_SETS = 1 << 21
 
 
 def numbered_entries(rows: DataFrame) -> DataFrame:
@@ -38,10 +40,27 @@ def numbered_entries(rows: DataFrame) -> DataFrame:
     return cut_lineage(told.drop("_key"), "entries", "zstd")
 
 
-def fetch(links: DataFrame, entries: DataFrame) -> DataFrame:
-    """Links with the url and the snippet of their entries: the one step in which texts cross."""
+def wanted(entries: DataFrame, kept: DataFrame) -> DataFrame:
+    """Entries whose number is in ``kept``, without a shuffle of them; or all, if the numbers are too many for that.
+
+    Numbers count up in each file of entries, so sets of 64 of them, one long each, are few enough to be broadcast.
+    """
+    mask, own = F.expr(f"shiftleft(1L, cast({ENTRY} & 63 as int))"), F.shiftright(ENTRY, 6).alias("_set")
+    sets = cut_lineage(kept.groupBy(own).agg(F.bit_or(mask).alias("_mask")), "wanted")
+    if sets.count() > MOST_SETS:
+        return entries
+    met = entries.join(F.broadcast(sets), F.shiftright(ENTRY, 6) == F.col("_set"))
+    return met.filter(F.col("_mask").bitwiseAND(mask) != 0).drop("_set", "_mask")
+
+
+def fetch(links: DataFrame, entries: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Links with the url and the snippet of their entries: the one step in which texts cross.
+
+    ``kept`` is a written table of (at least) the entries that the links name. Give it where they are
+    few of all: no text of others crosses then.
+    """
     texts = entries.select(ENTRY, "url", "snippet")
-    return texts.join(links.hint("shuffle_hash"), ENTRY)
+    return (texts if kept is None else wanted(texts, kept)).join(links.hint("shuffle_hash"), ENTRY)
 
 
 def isolate_failures(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -96,8 +115,9 @@ def first_links(links: DataFrame, entries: DataFrame, group: list[str]) -> DataF
     if twins.isEmpty():
         return single
     whole = ["source_name", "source_type", "url", "snippet", "reliability", HEAD, ENTRY]
-    told = fetch(links.join(twins, keys, "left_semi"), entries).groupBy(*keys).agg(F.min(F.struct(*whole)).alias("_row"))
-    return single.unionByName(told.select(*keys, "_row.*").select(*single.columns))
+    met = cut_lineage(links.join(twins, keys, "left_semi"), "twin-links")
+    told = fetch(met, entries, met).groupBy(*keys).agg(F.min(F.struct(*whole)).alias("_row"))
+    return single.unionByName(cut_lineage(told.select(*keys, "_row.*").select(*single.columns), "told-twins"))
 
 
 def rank_links(first: DataFrame, entries: DataFrame, group: list[str]) -> DataFrame:
@@ -115,7 +135,7 @@ def rank_links(first: DataFrame, entries: DataFrame, group: list[str]) -> DataFr
     tied = cut_lineage(graded.filter(long).join(many, same, "left_semi").select(*group, ENTRY), "tied-links")
     order = [F.col(name) for name in same[len(group):]]
     if not tied.isEmpty():
-        whole = fetch(tied, entries).select(*group, ENTRY, X.snippet_key(F.col("snippet")).alias("_key"))
+        whole = fetch(tied, entries, tied).select(*group, ENTRY, X.snippet_key(F.col("snippet")).alias("_key"))
         graded, order = graded.join(whole, [*group, ENTRY], "left"), [*order, F.col("_key")]
     return rank_rows(graded, group, order).drop("reliability_rank", "type_rank", "_key")
 

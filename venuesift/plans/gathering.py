@@ -57,11 +57,12 @@ class Matched:
         return M.fetch(self.links, self.entries).select(*EVIDENCE)
 
     def deduped(self) -> DataFrame:
-        return M.fetch(M.first_links(self.links, self.entries, VENUE), self.entries).select(*EVIDENCE)
+        first = M.first_links(self.links, self.entries, VENUE)
+        return M.fetch(first, self.entries, first).select(*EVIDENCE)
 
     def ranked(self) -> DataFrame:
         first = M.first_links(self.links, self.entries, VENUE)
-        return M.fetch(M.rank_links(first, self.entries, VENUE), self.entries).select(*EVIDENCE, "rank")
+        return M.fetch(M.rank_links(first, self.entries, VENUE), self.entries, first).select(*EVIDENCE, "rank")
 
 
 def match(asked: DataFrame, catalog: dict[str, EvidenceSource]) -> Matched:
