@@ -199,6 +199,13 @@ def test_evidence_is_kept_flat_and_ranked(spark, requests, catalog, tmp_path):
     assert [r.name for r in job_review_queue(spark, str(tmp_path / "out")).collect()] == ["Empty"]
 
 
+def test_a_queue_in_no_order_is_not_sorted_with_its_lists(spark, requests, catalog, tmp_path):
+    run_gather_job(requests, catalog(), str(tmp_path / "out"))
+    queue = job_review_queue(spark, str(tmp_path / "out"), in_order=False)
+    assert "rangepartitioning" not in queue._jdf.queryExecution().toString()
+    assert queue.collect() == job_review_queue(spark, str(tmp_path / "out")).collect()
+
+
 def test_rejected_records_do_not_reach_the_model(records, tmp_path):
     log = tmp_path / "calls"
     log.mkdir()

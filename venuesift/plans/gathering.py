@@ -211,6 +211,7 @@ def job_results(spark: SparkSession, out_dir: str) -> DataFrame:
     return sinks.gather_results_rows(_joined(spark, out_dir))
 
 
-def job_review_queue(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Results for people to look at."""
-    return sinks.gather_review_queue(_joined(spark, out_dir))
+def job_review_queue(spark: SparkSession, out_dir: str, in_order: bool = True) -> DataFrame:
+    """Results for people to look at, in request order unless that is not needed: a sort shuffles the lists of each row."""
+    rows = _joined(spark, out_dir)
+    return sinks.gather_review_queue(rows) if in_order else rows.filter("needs_review").select(*C.GATHER_COLUMNS)

@@ -337,7 +337,7 @@ def gather_results_rows(spark, sf_dir):
 def gather_review_queue(spark, sf_dir):
     out = new_table_path(spark, "gather-queue")
     G.run_gather_job(_customer_requests(spark, sf_dir), build_catalog(spark, sf_dir), out)
-    return G.job_review_queue(spark, out)
+    return G.job_review_queue(spark, out, in_order=False)
 
 
 @query("gather_job", gather_sql(_ORDERS))
