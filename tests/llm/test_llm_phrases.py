@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents
 
@@ -117,3 +118,41 @@ def test_equal_keys_of_different_phrases_are_told_apart():
     words = [np.array([1, 2, 1, 3]), np.array([5, 5, 5, 5])]
     first, counts = phrases._distinct(keys, words)
     assert sorted(zip(words[0][first].tolist(), counts.tolist(), strict=True)) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_rare_phrases_leave_a_task_only_as_keys():
+    rows = [("en", f"ice cream van w{i} x{i} y{i}.".encode()) for i in range(50)] + [("de", b"ice cream van")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "data"])
+    ranges = pa.Table.from_batches(list(phrases._key_counts(4, 2)(iter([batch]))))
+    assert len(set(ranges["part"].to_pylist())) == 4
+    keys = [
+        phrases._summed(30)(ranges.filter(pa.array([p == part for p in ranges["part"].to_pylist()])))["key"].to_numpy()
+        for part in range(4)
+    ]
+    table = np.zeros(1 << 21, np.uint8)
+    for key in np.concatenate(keys).view(np.uint64):
+        place = int(key) >> 40
+        table[place >> 3] |= 1 << (place & 7)
+
+    class Shared:
+        value = (table, 24)
+
+    sent = pa.Table.from_batches(list(phrases._counts(4, Shared)(iter([batch])))).to_pylist()
+    assert {(r["lang"], r["phrase"]): r["f"] for r in sent} == {
+        ("en", ""): 300, ("de", ""): 3, **{("en", p): 50 for p in ("ice", "cream", "van", "ice cream", "cream van", "ice cream van")}
+    }
+
+
+def test_bits_that_phrases_share_change_no_result(spark, monkeypatch):
+    """Every bit is set, so that each phrase is counted by its text."""
+    monkeypatch.setattr(phrases, "key_table", lambda keys: (np.full(1 << 12, 255, np.uint8), 15))
+    rows = texts(14, 60)
+    assert mined(spark, rows, min_count=4) == plain(rows, 4, 4, 2000)
+
+
+def test_table_of_bits(spark):
+    keys = [0, -1, 1, 1 << 62, -(1 << 63), 12345678901234567]
+    table, bits = phrases.key_table(spark.createDataFrame([(k,) for k in keys], "key long"))
+    known = phrases.Known(table, bits)
+    assert known.holds(np.array(keys, dtype=np.int64).view(np.uint64)).all()
+    assert int(np.unpackbits(table).sum()) == len({(k % (1 << 64)) >> (64 - bits) for k in keys})

@@ -1,16 +1,17 @@
-"""Phrases whose words keep together, found by mining a sample and counting its border (Toivonen).
+"""Phrases whose words keep together, from exact counts of all words and phrases that are frequent.
 
-Words and phrases of up to four words are frequent from ``min_count`` occurrences on. A sample of the documents, by a hash of
-each and so growing with the corpus, proposes phrases level by level with a lowered threshold. One pass over
-all documents counts exactly what is proposed and the negative border: all single words, and all phrases whose
-first words and last words (all but one) are proposed while they themselves are not. Where a phrase of the border turns
-out to be frequent, longer phrases may have been missed: it joins the proposed ones, and another pass counts
-what is now in the border and was not counted. Passes end when the border holds nothing frequent, so the result is
-that of counting everything.
+Words and phrases of up to four words are frequent from ``min_count`` occurrences on. They are found in two passes over the
+documents:
 
-A task counts its own words in arrays first and sends each phrase once for each stretch of words. What is proposed is
-known to the tasks by 64-bit keys, broadcast up to ``KNOWN_KEYS`` of them; beyond that phrases meet the keys in
-joins. Keys only decide what is counted; counts are by language and text, so equal keys do no harm.
+1. All words and phrases are counted by 64-bit keys. A task counts a stretch of its words in arrays and sends the keys and
+   their counts as bytes, one row for each range of keys; a range is summed up by one task, and there are as many ranges as the
+   texts need. A frequent phrase has a frequent key.
+2. The frequent keys set bits in a table that the tasks get, ``KEY_BITS`` bits for each key and of at most ``KNOWN_KEYS`` times
+   as many. Words and phrases whose bit is set, and whose first and last words (all but one) have theirs set, are counted by
+   language and text.
+
+Keys and bits only decide what is counted by its text, so equal keys and shared bits add rows that the count drops, and never
+change a result.
 
 Defined results: a null text is empty, a null language is ``und``; texts without words add nothing; repeated
 rows and null ids count like other rows; ties go to the larger count, then to the smaller phrase by its bytes; an empty
@@ -28,25 +29,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuesift.llm.common import rows_of, small_batches, text_of
+from venuesift.llm.common import batched, rows_of, small_batches, text_of
 from venuesift.operators.lookup import lookup_join
+from venuesift.operators.ordering import rank_rows
 from venuesift.session import cut_lineage, remove_tables
 
 MIN_COUNT, MOST_WORDS, TOP = 30, 4, 2000
-#: One in so many documents is in the sample.
+#: Without effect: all documents are counted, and callers that name a sample get the same result.
 SAMPLE_OF = 8
 #: Words that a task counts at once.
-STRETCH = 1 << 21
-#: Keys that may be broadcast (eight bytes each).
-KNOWN_KEYS = 4 << 20
+STRETCH = 1 << 20
+#: Bytes of text for each range of keys, and the most ranges as a power of two.
+RANGE_BYTES, MOST_RANGES = 1 << 22, 16
+#: Bits of the table for each frequent key, and keys that the table grows for (at 64 million it has 128 MB).
+KEY_BITS, KNOWN_KEYS = 16, 64 << 20
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a batch of counts.
+_ROWS = 1 << 15
+#: Bits of a block of ``bitmap_construct_agg`` as a power of two.
+_BLOCK_BITS = 15
 
 _COUNTS = pa.schema([
-    ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("key", pa.int64()),
-    ("prefix", pa.int64()), ("suffix", pa.int64()), ("f", pa.int64()),
+    ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("key", pa.int64()), ("f", pa.int64()),
 ])
-_COUNTS_SPARK = "lang string, phrase string, words int, key long, prefix long, suffix long, f long"
+_COUNTS_SPARK = "lang string, phrase string, words int, key long, f long"
+_KEYS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -56,27 +64,14 @@ def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """Keys of proposed phrases, and which of them were known in the pass before."""
-
-    def __init__(self, keys: np.ndarray, old: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.old = keys[order], old[order]
-        # Most keys that are asked for miss; a table by their first bits turns most of these away.
-        self.shift = np.uint64(64 - max(10, len(keys).bit_length() + 3))
-        self.table = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
-        self.table[self.keys >> self.shift] = True
-
-    def states(self, keys: np.ndarray) -> np.ndarray:
-        """0 for keys that are not known, 1 for new ones, 2 for old ones."""
-        found = np.zeros(len(keys), dtype=np.int8)
-        if len(self.keys):
-            asked = np.flatnonzero(self.table[keys >> self.shift])
-            at = np.minimum(np.searchsorted(self.keys, keys[asked]), len(self.keys) - 1)
-            found[asked] = np.where(self.keys[at] == keys[asked], np.where(self.old[at], 2, 1), 0)
-        return found
+    """A table of bits, one of which is set by the first bits of each frequent key."""
 
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.shift = table, np.uint64(64 - bits)
 
-_NOTHING_KNOWN = Known(np.zeros(0, np.uint64), np.zeros(0, bool))
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        places = keys >> self.shift
+        return (self.table[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 class Stretch:
@@ -94,48 +89,58 @@ class Stretch:
         self.found += map(self.ids.__getitem__, marked.split(b" "))
         self.found.append(1)
 
-    def counts(self, sizes: list[int], known: Known | None, whole: bool = False) -> Iterator[pa.RecordBatch]:
-        """Counts of the phrases with a number of words in ``sizes``.
+    def phrases(self, most_words: int, known: Known | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of words the places where a phrase begins, their keys, and the words of all places.
 
-        These are single words, and longer phrases of whose parts, all words but the last and all but the first, both are
-        known and not both are old; with ``whole`` all of them.
+        With ``known`` only phrases whose bit is set, and so are those of all their parts.
         """
-        words = [word.decode("utf-8", "surrogatepass") for word in self.ids]
         seed = xxhash.xxh64_intdigest(self.lang.encode())
-        singles = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in self.ids), np.uint64, len(words))
-        places = np.array(self.found, dtype=np.int64)
+        singles = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in self.ids), np.uint64, len(self.ids))
+        held = known.holds(singles) if known else np.ones(len(singles), dtype=bool)
+        held[:2] = False
+        places = np.array(self.found, dtype=np.int32)
         places = places[places > 0]
-        known = known or _NOTHING_KNOWN
-        keys, good = singles[places], places > 1
-        states = known.states(singles)[places]
-        for size in range(1, max(sizes) + 1):
+        good, keys = held[places], singles[places]
+        for size in range(1, most_words + 1):
             if size > 1:
                 # The phrase that begins here, of the one that begins here and the word behind it.
-                prefix, suffix = (keys[:-1], states[:-1]), (keys[1:], states[1:])
                 good = good[:-1] & good[1:]
-                if not whole:
-                    good &= (prefix[1] > 0) & (suffix[1] > 0)
-                keys = np.zeros(len(good), dtype=np.uint64)
                 at = np.flatnonzero(good)
-                keys[at] = _joined(prefix[0][at], singles[places[at + size - 1]])
-                states = np.zeros(len(good), dtype=np.int8)
-                states[at] = known.states(keys[at])
-            if size not in sizes:
-                continue
-            asked = good if size == 1 or whole else good & ((prefix[1] < 2) | (suffix[1] < 2))
-            at = np.flatnonzero(asked)
-            first, counts = _distinct(keys[at], [places[at + i] for i in range(size)])
-            first = at[first]
-            heads = [side[0][first].view(np.int64) for side in (prefix, suffix)] if size > 1 else [np.zeros(len(first), np.int64)] * 2
-            for k in range(0, len(first), STRETCH >> 5):
-                part = slice(k, k + (STRETCH >> 5))
-                spelled = [[words[i] for i in places[first[part] + n].tolist()] for n in range(size)]
+                found = _joined(keys[at], singles[places[at + size - 1]])
+                if known:
+                    stays = known.holds(found)
+                    good[at[~stays]] = False
+                    at, found = at[stays], found[stays]
+                keys = np.zeros(len(good), dtype=np.uint64)
+                keys[at] = found
+            at = np.flatnonzero(good)
+            yield size, at, keys[at], places
+
+    def counts(self, most_words: int, known: Known) -> Iterator[pa.RecordBatch]:
+        """Counts of the phrases that ``known`` holds, and of all words as a phrase of none."""
+        words = [word.decode("utf-8", "surrogatepass") for word in self.ids]
+        total = sum(1 for place in self.found if place > 1)
+        if total:
+            yield self._batch([""], 0, np.zeros(1, np.int64), np.array([total]))
+        for size, at, keys, places in self.phrases(most_words, known):
+            first, counts = _distinct(keys, [places[at + i] for i in range(size)])
+            for k in range(0, len(first), _ROWS):
+                part = slice(k, k + _ROWS)
+                spelled = [[words[i] for i in places[at[first[part]] + n].tolist()] for n in range(size)]
                 names = spelled[0] if size == 1 else list(map(" ".join, zip(*spelled, strict=True)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([self.lang] * len(names), pa.string()), pa.array(names, pa.string()),
-                    pa.array(np.full(len(names), size, np.int32)), pa.array(keys[first[part]].view(np.int64)),
-                    pa.array(heads[0][part]), pa.array(heads[1][part]), pa.array(counts[part]),
-                ], schema=_COUNTS)
+                yield self._batch(names, size, keys[first[part]].view(np.int64), counts[part])
+
+    def _batch(self, names: list[str], size: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([self.lang] * len(names), pa.string()), pa.array(names, pa.string()),
+            pa.array(np.full(len(names), size, np.int32)), pa.array(keys), pa.array(counts, pa.int64()),
+        ], schema=_COUNTS)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin in sorted ``keys``, and their lengths."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return starts, np.diff(np.append(starts, len(keys)))
 
 
 def _distinct(keys: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,62 +149,92 @@ def _distinct(keys: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np
     Equal keys of different rows are seen by comparing all rows with the first of their key; then the rows themselves are
     sorted.
     """
-    _, first, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    if all((column[first][back] == column).all() for column in words):
+    order = np.argsort(keys)
+    starts, counts = _runs(keys[order])
+    first = order[starts]
+    if all((column[order] == np.repeat(column[first], counts)).all() for column in words):
         return first, counts
     _, first, counts = np.unique(np.stack(words, axis=1), axis=0, return_index=True, return_counts=True)
     return first, counts
 
 
-def _count(sizes: list[int], known, whole: bool) -> Callable:
-    """``known`` is a broadcast of keys and marks, or None."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Stretch]]:
+    """The texts of a task as stretches of each language, as many at once as ``STRETCH`` words take."""
+    stretches: dict[str, Stretch] = {}
+    held = 0
+    for lang, text in rows_of(batches):
+        stretch = stretches.setdefault(lang, Stretch(lang))
+        before = len(stretch.found)
+        stretch.add(text)
+        held += len(stretch.found) - before
+        if held >= STRETCH:
+            yield list(stretches.values())
+            stretches, held = {}, 0
+    if stretches:
+        yield list(stretches.values())
+
+
+def _key_counts(most_words: int, bits: int) -> Callable:
+    """Keys of all phrases and their counts, as bytes for each of ``1 << bits`` ranges of keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Known(*known.value) if known else None
-        stretches: dict[str, Stretch] = {}
-        held = 0
-        for lang, text in rows_of(batches):
-            stretch = stretches.setdefault(lang, Stretch(lang))
-            before = len(stretch.found)
-            stretch.add(text)
-            held += len(stretch.found) - before
-            if held >= STRETCH:
-                for each in stretches.values():
-                    yield from each.counts(sizes, table, whole)
-                stretches, held = {}, 0
-        for each in stretches.values():
-            yield from each.counts(sizes, table, whole)
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits if bits else 0)
+        for stretches in _stretches(batches):
+            keys = np.empty(most_words * sum(len(each.found) for each in stretches), dtype=np.uint64)
+            end = 0
+            for each in stretches:
+                for _, _, found, _ in each.phrases(most_words):
+                    keys[end:end + len(found)] = found
+                    end += len(found)
+            keys = keys[:end]
+            keys.sort()
+            starts, counts = _runs(keys)
+            keys, counts = keys[starts], counts.astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            rows = ((part, *(column[cuts[part]:cuts[part + 1]].tobytes() for column in (keys, counts)))
+                    for part in np.flatnonzero(np.diff(cuts)).tolist())
+            yield from batched(rows, _KEYS, 16)
+
+    return run
+
+
+def _summed(min_count: int) -> Callable:
+    """The keys of a range that occur ``min_count`` times."""
+    def run(range_: pa.Table) -> pa.Table:
+        keys, counts = (
+            np.concatenate([np.frombuffer(blob, kind) for blob in range_.column(name).to_pylist()])
+            for name, kind in (("keys", np.uint64), ("counts", np.uint32))
+        )
+        order = np.argsort(keys)
+        starts, _ = _runs(keys[order])
+        sums = np.add.reduceat(counts[order], starts, dtype=np.int64)
+        return pa.table({"key": keys[order[starts[sums >= min_count]]].view(np.int64)})
 
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys and marks of a batch as bytes, so that the driver gets few rows."""
-    for batch in batches:
-        blobs = batch.column(0).to_numpy().tobytes(), batch.column(1).to_numpy(zero_copy_only=False).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()) for blob in blobs], names=["keys", "old"])
+def _counts(most_words: int, shared) -> Callable:
+    """``shared`` is a broadcast of a table of bits and the power of two of its size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(*shared.value)
+        for stretches in _stretches(batches):
+            for each in stretches:
+                yield from each.counts(most_words, known)
 
+    return run
 
-def counted(rows: DataFrame, sizes: list[int], known: DataFrame | None) -> DataFrame:
-    """``lang, phrase, words, key, f`` of phrases in ``rows`` (``lang, data``).
 
-    ``known``: None counts single words only; else a written table ``key, old``.
-    """
-    spark = rows.sparkSession
-    small_batches(spark)
-    shared = None
-    joined = known is not None and known.count() > KNOWN_KEYS
-    if known is not None and not joined:
-        blobs = known.select("key", "old").mapInArrow(_packed, "keys binary, old binary").collect()  # at most KNOWN_KEYS keys
-        keys, old = (np.frombuffer(b"".join(blob[name] for blob in blobs), kind) for name, kind in (("keys", np.uint64), ("old", bool)))
-        shared = spark.sparkContext.broadcast((keys, old))
-    found = rows.mapInArrow(_count(sizes, shared, joined), _COUNTS_SPARK)
-    if joined:
-        single = found.filter("words = 1")
-        for side in ("prefix", "suffix"):
-            keys = known.select(F.col("key").alias(side), F.col("old").alias(f"{side}_old"))
-            found = lookup_join(found.filter("words > 1"), keys, [side], spread=["phrase"])
-        found = found.filter("NOT (prefix_old AND suffix_old)").select(*single.columns).unionByName(single)
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min("key").alias("key"))
+def key_table(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A table of bits for a written table of keys, and the power of two of its size."""
+    room = KEY_BITS * min(keys.count(), KNOWN_KEYS)
+    bits = max(_BLOCK_BITS, room.bit_length())
+    place = F.shiftrightunsigned("key", 64 - bits) + 1
+    blocks = keys.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("set")
+    ).collect()  # 4 KB each, 128 MB at most
+    table = np.zeros((1 << (bits - _BLOCK_BITS), 1 << (_BLOCK_BITS - 3)), dtype=np.uint8)
+    for block, set_bits in blocks:
+        table[block - 1] = np.frombuffer(set_bits, np.uint8)
+    return table.ravel(), bits
 
 
 def frequent_phrases(
@@ -207,49 +242,23 @@ def frequent_phrases(
     sample_of: int = SAMPLE_OF,
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases with their exact counts (``lang, phrase, words, key, f``), and the words of each language (``lang, n``)."""
+    spark = docs.sparkSession
+    small_batches(spark)
     text = text_of(docs, text_col)
     lang = F.coalesce(docs[lang_col].cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), F.encode(text, "utf-8").alias("data"))
-    sample = rows.filter(F.pmod(F.xxhash64("lang", "data"), F.lit(sample_of)) == 0)
-    expected = min_count / sample_of
-    # Half a deviation below what is expected: lower, and what is proposed outgrows what is frequent; what is missed, the border tells.
-    lowered = min(min_count, max(2, round(expected - expected ** 0.5 / 2)))
-
-    proposed, written = None, []
-    for size in range(1, most_words):
-        level = cut_lineage(
-            counted(sample, [size], proposed).filter(F.col("f") >= lowered).select("key", F.lit(False).alias("old")).distinct(),
-            "proposed-phrases",
-        )
-        written.append(level)
-        proposed = level if proposed is None else cut_lineage(proposed.unionByName(level).distinct(), "proposed-phrases")
-        written.append(proposed)
-
-    frequent, totals, sizes = None, None, list(range(1, most_words + 1))
-    while True:
-        exact = counted(rows, sizes, proposed)
-        if totals is None:
-            # The first pass counts all single words; their sums and the frequent phrases come from one table.
-            exact = cut_lineage(exact.filter((F.col("words") == 1) | (F.col("f") >= min_count)), "phrase-counts")
-            totals = cut_lineage(exact.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")), "language-words")
-            written.append(exact)
-        else:
-            exact = cut_lineage(exact, "phrase-counts")
-        exact = exact.filter(F.col("f") >= min_count)
-        failed = cut_lineage(
-            exact.filter(F.col("words") < most_words).join(proposed, "key", "left_anti")
-            .select("key", F.lit(False).alias("old")).distinct(),
-            "failed-border",
-        )
-        frequent = exact if frequent is None else frequent.unionByName(exact)
-        if failed.isEmpty():
-            break
-        proposed = cut_lineage(proposed.select("key", F.lit(True).alias("old")).unionByName(failed), "known-phrases")
-        # Single words are all counted; new phrases have a part that was not known before.
-        sizes = list(range(2, most_words + 1))
-    result = cut_lineage(frequent, "frequent-phrases")
-    remove_tables(*{table._written_at: table for table in written}.values())
-    return result, totals
+    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    bits = min(MOST_RANGES, (size // RANGE_BYTES).bit_length())
+    ranges = rows.mapInArrow(_key_counts(most_words, bits), "part int, keys binary, counts binary")
+    keys = cut_lineage(ranges.groupBy("part").applyInArrow(_summed(min_count), "key long"), "frequent-keys")
+    shared = spark.sparkContext.broadcast(key_table(keys))
+    counted = rows.mapInArrow(_counts(most_words, shared), _COUNTS_SPARK).groupBy("lang", "phrase", "words").agg(
+        F.sum("f").alias("f"), F.min("key").alias("key")
+    )
+    exact = cut_lineage(counted.filter((F.col("words") == 0) | (F.col("f") >= min_count)), "phrase-counts")
+    shared.destroy()
+    remove_tables(keys)
+    return exact.filter("words > 0"), exact.filter("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def _part(phrase: Column, first: Column | int, count: Column) -> Column:
@@ -296,8 +305,8 @@ def scored(frequent: DataFrame, totals: DataFrame, top: int = TOP) -> DataFrame:
     longest = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     swallowed = F.coalesce(big("longer") * 100 >= big("a") * 80, F.lit(False))
     kept = weakest.join(longest, ["lang", "phrase"], "left").filter(~swallowed)
-    order = "row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase)"
-    ranked = kept.withColumn("rank", F.expr(order)).filter(F.col("rank") <= top)
+    order = [F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase")]
+    ranked = rank_rows(kept, ["lang"], order).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score"
     )
