@@ -121,3 +121,23 @@ def test_names_tell_substrings_and_salts_apart():
     strings = [piece[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
     assert len(set(zip(found, strings, strict=True))) == len(set(found)) == len(set(strings))
     assert not set(zip(*(part.tolist() for part in names.of(firsts, ends, 1)), strict=True)) & set(found)
+
+
+def test_equal_ranks_of_different_bytes_only_add_windows_to_compare(spark):
+    """A rank is 64 bits; what repeats is told by the 128 bits of the windows."""
+    rows = [(1, 1, 1, 10), (1, 1, 1, 11), (1, 2, 2, 12), (2, 3, 3, 13)]
+    samples = spark.createDataFrame(
+        [(*row, 0, 5, 9) for row in rows], "rank long, w1 long, w2 long, text_id long, start long, low long, high long"
+    )
+    judged = {r["text_id"]: (r["ties"], r["speaks"]) for r in repeats.judged_samples(samples).collect()}
+    assert sorted(judged) == [10, 11, 12] and judged[12] == (False, True)
+    assert sorted([judged[10], judged[11]]) == [(True, False), (True, True)]
+
+
+@pytest.mark.parametrize(("length", "period"), [(200, 73), (61, 30), (2, 1)])
+def test_cover_samples_are_all_places_of_the_cover(length, period):
+    for size in (length, length + 1, 5 * period + length, 1000):
+        places, low, high = repeats.cover_samples(b"x" * size, length, period)
+        last = size - length
+        assert places.tolist() == [p for p in range(last + period) if p % period in repeats.difference_cover(period)]
+        assert low.tolist() == [max(p - period + 1, 0) for p in places] and high.tolist() == [min(p, last) for p in places]

@@ -7,9 +7,10 @@ meet at a cover position of both, at which the same ``length - v + 1`` bytes sta
 
 1. Anchors. The smallest hash of the short strings in a window is found; a window whose smallest hash is at one
    place only cannot repeat. What is left are stretches of possible repeats.
-2. Cover samples of the stretches get the rank (a 128-bit name) of the bytes behind them, and a second one of all
+2. Cover samples of the stretches get the rank (a 64-bit name) of the bytes behind them, and a second one (of 128 bits) of all
    windows that meet them. Samples with the same second rank are long ties: all their windows repeat, and are
-   resolved here without a look at single suffixes. Samples without partner say that nothing repeats there.
+   resolved here without a look at single suffixes. Samples without partner say that nothing repeats there. (Equal
+   first ranks of different bytes only add windows to compare.)
 3. Where samples tie at first and part within the windows, the suffixes around one sample of each kind are dealt into
    buckets by their ranks; each bucket is aggregated by one task, and a suffix repeats if its bucket has
    its rank twice.
@@ -41,7 +42,6 @@ LENGTH = 200
 #: Window starts that are worked on at once.
 BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
-_WORD = (1 << 64) - 1
 _ROWS = 1 << 16
 
 
@@ -83,16 +83,13 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(29))
 
 
-def _sliding(values: np.ndarray, width: int, best: np.ufunc, worst: int) -> np.ndarray:
-    """``best`` over each ``width`` values in a row, by running bests inside blocks of that width."""
-    count = len(values) - width + 1
-    blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, worst, dtype=np.uint64)
-    padded[:len(values)] = values
-    grid = padded.reshape(blocks, width)
-    ahead = best.accumulate(grid, axis=1).ravel()
-    behind = best.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(behind[:count], ahead[width - 1:width - 1 + count])
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` over each ``width`` values in a row, by bests of twice as many at each step."""
+    reach = 1
+    while 2 * reach <= width:
+        values = best(values[:-reach], values[reach:])
+        reach *= 2
+    return best(values[:-(width - reach)], values[width - reach:]) if width > reach else values
 
 
 def _gram(length: int) -> int:
@@ -109,7 +106,7 @@ def _blocks(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
 def least_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """For each window the smallest hash of its short strings."""
     gram = _gram(length)
-    return _sliding(gram_hashes(data, gram), length - gram + 1, np.minimum, _WORD)
+    return _sliding(gram_hashes(data, gram), length - gram + 1, np.minimum)
 
 
 def chosen_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -117,9 +114,9 @@ def chosen_hashes(data: np.ndarray, length: int) -> np.ndarray:
     gram = _gram(length)
     hashes = gram_hashes(data, gram)
     width = length - gram + 1
-    least = _sliding(hashes, width, np.minimum, _WORD)
+    least = _sliding(hashes, width, np.minimum)
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return hashes[hashes == _sliding(around, width, np.maximum, 0)]
+    return hashes[hashes == _sliding(around, width, np.maximum)]
 
 
 _ANCHORS = pa.schema([("hash", pa.int64()), ("text_id", pa.int64())])
@@ -179,22 +176,23 @@ class Names:
     BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
     def __init__(self, piece: bytes):
-        data = np.frombuffer(piece, dtype=np.uint8)
-        self.sums = []
-        for base, digits in zip(self.BASES, _digits(), strict=True):
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(digits[data] * _powers(base)[0][:len(data)], out=sums[1:])
-            self.sums.append(sums)
+        self.data = np.frombuffer(piece, dtype=np.uint8)
+        self.sums: dict[int, np.ndarray] = {}
+
+    def half(self, which: int, first: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        """One half of the names of the bytes from ``first`` to ``end``; a different ``salt`` gives other names to equal bytes."""
+        base = self.BASES[which]
+        if which not in self.sums:
+            self.sums[which] = np.zeros(len(self.data) + 1, dtype=np.uint64)
+            np.cumsum(_digits()[which][self.data] * _powers(base)[0][:len(self.data)], out=self.sums[which][1:])
+        hashes = (self.sums[which][end] - self.sums[which][first]) * _powers(base)[1][first]
+        hashes ^= hashes >> np.uint64(32)
+        salted = np.asarray(salt, dtype=np.uint64) * np.uint64(_BASE)
+        return (hashes * np.uint64(0xBF58476D1CE4E5B9) + salted).view(np.int64)
 
     def of(self, first: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the bytes from ``first`` to ``end``; a different ``salt`` gives other names to equal bytes."""
-        salted = np.asarray(salt, dtype=np.uint64) * np.uint64(_BASE)
-        names = []
-        for base, sums in zip(self.BASES, self.sums, strict=True):
-            hashes = (sums[end] - sums[first]) * _powers(base)[1][first]
-            hashes ^= hashes >> np.uint64(32)
-            names.append((hashes * np.uint64(0xBF58476D1CE4E5B9) + salted).view(np.int64))
-        return tuple(names)
+        """Names of the bytes from ``first`` to ``end``, in two halves."""
+        return self.half(0, first, end, salt), self.half(1, first, end, salt)
 
 
 @lru_cache(maxsize=1)
@@ -205,16 +203,21 @@ def _digits() -> tuple[np.ndarray, np.ndarray]:
 
 
 _SAMPLES = pa.schema([
-    ("r1", pa.int64()), ("r2", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()),
+    ("rank", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()),
     ("text_id", pa.int64()), ("start", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
 ])
 
 
+@lru_cache(maxsize=4)
+def _cover(period: int) -> np.ndarray:
+    return np.array(difference_cover(period))
+
+
 def cover_samples(piece: bytes, length: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cover positions of a stretch, with the first and last window that each one meets."""
     last = len(piece) - length
-    places = np.arange(last + period)
-    places = places[np.isin(places % period, difference_cover(period))]
+    places = np.add.outer(np.arange(0, last + period, period), _cover(period)).ravel()
+    places = places[:np.searchsorted(places, last + period)]
     return places, np.maximum(places - period + 1, 0), np.minimum(places, last)
 
 
@@ -227,11 +230,11 @@ def _samples(length: int, period: int) -> Callable:
             for text_id, start, piece in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 places, low, high = cover_samples(piece, length, period)
                 names = Names(piece)
-                ranks = names.of(places, places + depth)
+                rank = names.half(0, places, places + depth)
                 # Where the sample stands among its windows belongs to the name, so that equal names mean equal windows.
                 wide = names.of(low, high + length, (places - low) * (period + 1) + (high - low))
                 same = [np.full(len(places), value, dtype=np.int64) for value in (text_id, start)]
-                parts.append((*ranks, *wide, *same, low, high))
+                parts.append((rank, *wide, *same, low, high))
             if parts:
                 columns = [pa.array(np.concatenate(column)) for column in zip(*parts, strict=True)]
                 whole = pa.RecordBatch.from_arrays(columns, schema=_SAMPLES)
@@ -246,7 +249,7 @@ def judged_samples(samples: DataFrame) -> DataFrame:
     Of the samples with the same wide name one speaks for all (or several, if their hashes are equal), and only where
     others with the same rank differ from them and have no tie. ``samples`` are made twice, which is cheaper than a table of them.
     """
-    rank, wide = ["r1", "r2"], ["w1", "w2"]
+    rank, wide = ["rank"], ["w1", "w2"]
     places = samples.withColumn("place", F.xxhash64("text_id", "start", "low"))
     kinds = cut_lineage(
         places.groupBy(*rank, *wide).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("speaker")), "sample-kinds"
@@ -302,7 +305,7 @@ def _suffixes(length: int) -> Callable:
                 spans = runs_of(tied)
                 asked = np.flatnonzero(_covered(low[own][speak], high[own][speak], size))
                 ranks = Names(piece).of(asked, asked + length) if len(asked) else (asked, asked)
-                # Spans first, without ranks.
+                # Spans first, without ranks; suffixes have one length and are written without their ends.
                 parts.append((
                     len(spans), *(np.concatenate([np.zeros(len(spans), np.int64), rank]) for rank in ranks),
                     np.full(len(spans) + len(asked), ids[row]), starts[row] + np.concatenate([spans[:, 0], asked]),
@@ -313,7 +316,8 @@ def _suffixes(length: int) -> Callable:
                     nameless = np.concatenate([np.arange(len(part[1])) < part[0] for part in parts])
                     columns = dict(zip(names, (np.concatenate(column) for column in list(zip(*parts, strict=True))[1:]), strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[name], mask=nameless if name[0] == "w" else None) for name in names], schema=_FOUND
+                        [pa.array(columns[name], mask={"w1": nameless, "w2": nameless, "to": ~nameless}.get(name)) for name in names],
+                        schema=_FOUND,
                     )
                     parts = []
 
@@ -331,11 +335,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     stretches = cut_lineage(
         long.join(by_text, "text_id", "left").select("text_id", "data", "single")
         .mapInArrow(_stretches(length), "text_id long, start long, piece binary"),
-        "stretches",
+        "stretches", "zstd",
     )
     remove_tables(by_text)
     judged = judged_samples(stretches.mapInArrow(
-        _samples(length, period), "r1 long, r2 long, w1 long, w2 long, text_id long, start long, low long, high long"
+        _samples(length, period), "rank long, w1 long, w2 long, text_id long, start long, low long, high long"
     ))
     by_stretch = judged.groupBy("text_id", "start").agg(
         F.collect_list(F.struct("low", "high", "ties", "speaks")).alias("samples")
@@ -343,13 +347,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     found = cut_lineage(
         stretches.join(by_stretch, ["text_id", "start"]).select("text_id", "start", "piece", "samples")
         .mapInArrow(_suffixes(length), "w1 long, w2 long, text_id long, from long, to long, open boolean"),
-        "suffixes",
+        "suffixes", "zstd",
     )
     remove_tables(stretches, judged)
     suffixes = found.filter("w1 IS NOT NULL")
     twice = cut_lineage(suffixes.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-ranks")
-    more = lookup_join(suffixes.filter("open"), twice.drop("n"), ["w1", "w2"], counts=twice, spread=["text_id", "from"])
-    spans = found.filter("w1 IS NULL").unionByName(more.select(*found.columns)).select("text_id", "from", "to")
+    more = lookup_join(suffixes.filter("open").select("w1", "w2", "text_id", "from"), twice.drop("n"), ["w1", "w2"], counts=twice, spread=["text_id", "from"])
+    ends = (F.col("from") + length).alias("to")
+    spans = found.filter("w1 IS NULL").select("text_id", "from", "to").unionByName(more.select("text_id", "from", ends))
     written = cut_lineage(spans, "repeated-spans")
     remove_tables(found, twice)
     return written
