@@ -54,6 +54,23 @@ def test_normalise_cases(out_of):
     ]
 
 
+def test_steps_that_are_passed_over_change_nothing(out_of, random_texts):
+    ends = [f"{a}{b}{c}" for a in ("", *X.SPACES, "é") for b in ("", "x", "x y") for c in ("", *X.SPACES, "日", "~")]
+    texts = [*random_texts, *ends, None]
+    assert out_of(X.strip_seldom, texts) == out_of(X.strip, texts) == [t if t is None else t.strip() for t in texts]
+    assert out_of(X.plain_blanks, texts) == [t if t is None else t.replace("\xa0", " ") for t in texts]
+    assert out_of(X.one_line_end, texts) == [t if t is None else re.sub("\r\n?", "\n", t) for t in texts]
+    assert out_of(X.single_blanks, texts) == [t if t is None else re.sub("[ \t]+", " ", t) for t in texts]
+    marked = [*texts, "a\nReturn JSON b", "a\n\nReturn JSON b\nReturn JSON", "Return JSON a", "\nReturn JSON"]
+    assert out_of(X.before_markers, marked) == [t if t is None else re.split("\n\n?Return JSON", t)[0] for t in marked]
+
+
+def test_lists_with_every_control_character(spark):
+    texts = ["plain", "", "é日", 'a"b', "a\\b", *(f"a{chr(code)}b" for code in range(0x20)), "\x01\t\"\\\x7f"]
+    got = spark.createDataFrame([([text, None],) for text in texts], "v array<string>").select(json_list(F.col("v"))).collect()
+    assert [row[0] for row in got] == [json.dumps([text, None], ensure_ascii=False) for text in texts]
+
+
 def _frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "i int, t string")
 

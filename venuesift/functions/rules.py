@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
-from venuesift.functions.text import strip
+from venuesift.functions.text import strip_seldom
 
 
 def confidence_valid(confidence: Column) -> Column:
@@ -15,7 +15,7 @@ def confidence_valid(confidence: Column) -> Column:
 
 def supporting_evidence(label: Column, quotes: Column) -> Column:
     """``unknown`` needs no quote; the other labels need one that is not blank."""
-    has_quote = F.exists(quotes, lambda quote: F.coalesce(strip(quote) != "", F.lit(False)))
+    has_quote = F.exists(quotes, lambda quote: F.coalesce(strip_seldom(quote) != "", F.lit(False)))
     return (label == "unknown") | F.coalesce(has_quote, F.lit(False))
 
 

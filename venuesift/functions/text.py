@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,14 +52,43 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def strip_seldom(text: Column) -> Column:
+    """``strip`` for a column whose texts seldom have white space at an end: one that begins and ends with a visible ASCII
+    character, of which only the bytes at the ends are looked at, is passed over. Name the column, it is asked for thrice."""
+    data, first, last = text.cast("binary"), F.lit(b"!"), F.lit(b"~")
+    visible = F.substring(data, 1, 1).between(first, last) & F.substring(data, -1, 1).between(first, last)
+    return F.when(visible, text).otherwise(strip(text))
+
+
+def replace_seldom(text: Column, old: str, new: str) -> Column:
+    """``replace`` for a column that seldom holds ``old``: looking for it is much cheaper. Name the column as well."""
+    return F.when(text.contains(old), F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+
+
+def one_line_end(text: Column) -> Column:
+    """Every line ends with a newline alone."""
+    ends = text
+    for line_end in ("\r\n", "\r"):
+        ends = F.replace(ends, F.lit(line_end), F.lit("\n"))
+    return F.when(text.contains("\r"), ends).otherwise(text)
+
+
+def single_blanks(text: Column) -> Column:
+    """Runs of blanks and tabs as one blank; a blank that stands alone is left as it is."""
+    runs = text.contains("\t") | text.contains("  ")
+    return F.when(runs, F.regexp_replace(text, r"\t[ \t]*+| [ \t]++", " ")).otherwise(text)
+
+
+def trim_lines(text: Column) -> Column:
+    """Trimmed lines, at most one empty line in a row, nothing empty at the ends; missing text is empty."""
+    lines = F.array_join(F.transform(F.split(text, "\n", -1), strip_seldom), "\n")
+    many = strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    return F.coalesce(F.when(text.contains("\n"), many).otherwise(strip_seldom(text)), F.lit(""))
+
+
 def normalise_whitespace(text: Column) -> Column:
     """One newline style, single blanks, trimmed lines, at most one empty line in a row."""
-    for line_end in ("\r\n", "\r"):
-        text = F.replace(text, F.lit(line_end), F.lit("\n"))
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.array_join(F.transform(F.split(text, "\n", -1), strip), "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.coalesce(strip(text), F.lit(""))
+    return trim_lines(single_blanks(one_line_end(text)))
 
 
 def drop_tags(text: Column) -> Column:
@@ -87,12 +119,17 @@ def decode_all_entities(text: Column) -> Column:
     return F.pandas_udf(unescape, T.StringType())(text)
 
 
+def plain_blanks(text: Column) -> Column:
+    return replace_seldom(text, "\u00a0", " ")
+
+
+def drop_lines(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, _HEADER_LINE, ""), _SEPARATOR_LINE, "")
+
+
 def drop_boilerplate_lines(text: Column) -> Column:
     """Remove header and separator lines from text whose entities are decoded."""
-    text = F.replace(text, F.lit("\u00a0"), F.lit(" "))
-    text = F.regexp_replace(text, _HEADER_LINE, "")
-    text = F.regexp_replace(text, _SEPARATOR_LINE, "")
-    return F.coalesce(text, F.lit(""))
+    return F.coalesce(drop_lines(plain_blanks(text)), F.lit(""))
 
 
 def snippet_key(text: Column) -> Column:
@@ -122,19 +159,29 @@ def strip_fences(text: Column) -> Column:
     return F.when(text.rlike(_FENCE), strip(F.regexp_extract(text, _FENCE, 1))).otherwise(text)
 
 
-def first_sentence(text: Column) -> Column:
-    """Text up to the first full stop, or the head of text that is only punctuation."""
+def sentence_text(text: Column) -> Column:
+    """Text up to the first full stop, or the head of text that is only punctuation; not yet trimmed."""
     return (
-        F.when(text.rlike("[^.!?]"), strip(F.regexp_extract(text, _SENTENCE, 0)))
-        .otherwise(strip(F.substring(text, 1, 120)))
+        F.when(text.rlike("[^.!?]"), F.regexp_extract(text, _SENTENCE, 0))
+        .otherwise(F.substring(text, 1, 120))
     )
 
 
+def first_sentence(text: Column) -> Column:
+    return strip(sentence_text(text))
+
+
+def before_markers(text: Column) -> Column:
+    head = text
+    for marker in C.EVIDENCE_END_MARKERS:
+        head = F.substring_index(head, marker, 1)
+    some = reduce(or_, [text.contains(marker) for marker in C.EVIDENCE_END_MARKERS])
+    return F.when(some, head).otherwise(text)
+
+
 def cut_evidence(text: Column) -> Column:
     """Evidence ends where the closing instruction of a prompt begins."""
-    for marker in C.EVIDENCE_END_MARKERS:
-        text = F.substring_index(text, marker, 1)
-    return strip(text)
+    return strip(before_markers(text))
 
 
 def prompt_evidence(prompt: Column) -> Column:

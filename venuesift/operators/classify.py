@@ -78,17 +78,19 @@ def keyword_classify(
     Both give the same answer for cleaned evidence.
     """
     whole = F.col(text_col)
-    evidence = X.prompt_evidence(whole) if is_prompt else X.cut_evidence(whole)
+    evidence = X.prompt_evidence(whole) if is_prompt else X.before_markers(whole)
     flag = rule_flags(F.col("_low"), outdoor_hints, indoor_hints, explicit_no)
     kept = {name: flag[name] for name in ("outdoor", "indoor")}  # each is asked for twice
     flag |= {name: F.col(f"_{name}") for name in kept}
     label, confidence = F.col("_verdict.label"), F.col("_verdict.confidence")
     return (
-        df.withColumn("_evidence", evidence)
+        df.withColumn("_cut", evidence)
+        .withColumn("_evidence", X.strip_seldom(F.col("_cut")))
         .withColumn("_low", F.lower(F.col("_evidence")))
         .withColumns({f"_{name}": column for name, column in kept.items()})
         .withColumn("_verdict", verdict(flag, whole.contains(C.REPAIR_SENTENCE)))
-        .withColumn("_quote", F.when(label != "unknown", X.first_sentence(F.col("_evidence"))))
+        .withColumn("_sentence", F.when(label != "unknown", X.sentence_text(F.col("_evidence"))))
+        .withColumn("_quote", X.strip_seldom(F.col("_sentence")))
         .withColumn(
             out,
             F.struct(
@@ -96,7 +98,7 @@ def keyword_classify(
                 quotes(F.col("_quote")).alias("evidence"), reason(label, confidence).alias("reasoning"),
             ),
         )
-        .drop("_evidence", "_low", "_outdoor", "_indoor", "_verdict", "_quote")
+        .drop("_cut", "_evidence", "_low", "_outdoor", "_indoor", "_verdict", "_sentence", "_quote")
     )
 
 

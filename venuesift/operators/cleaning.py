@@ -26,11 +26,17 @@ def strip_boilerplate(df: DataFrame, text_col: str, out: str) -> DataFrame:
     plain = X.decode_common_entities(F.col("_untagged"))
     text = F.when(F.col("_rare"), F.col("_by_table")).otherwise(plain)
     return (
-        decoded.withColumn(out, X.drop_boilerplate_lines(text))
-        .drop("_untagged", "_rare", "_by_table")
+        decoded.withColumn("_decoded", text)
+        .withColumn(out, X.drop_boilerplate_lines(F.col("_decoded")))
+        .drop("_untagged", "_rare", "_by_table", "_decoded")
     )
 
 
 def clean_evidence(df: DataFrame, text_col: str, out: str = "cleaned_text") -> DataFrame:
     bare = strip_boilerplate(df, text_col, "_bare")
-    return bare.withColumn(out, X.normalise_whitespace(F.col("_bare"))).drop("_bare")
+    return (
+        bare.withColumn("_lines", X.one_line_end(F.col("_bare")))
+        .withColumn("_single", X.single_blanks(F.col("_lines")))
+        .withColumn(out, X.trim_lines(F.col("_single")))
+        .drop("_bare", "_lines", "_single")
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuesift import contracts as C
-from venuesift.functions.text import strip
+from venuesift.functions.text import strip_seldom
 from venuesift.operators.lookup import lookup_join
 from venuesift.operators.ordering import rank_rows
 from venuesift.sources.csvtext import MOST_FILES, read_columns
@@ -34,7 +34,7 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def check_records(records: DataFrame) -> DataFrame:
     """Make blank labels null and name the first reason why a row cannot be used."""
-    label = F.when(strip(F.col("expected_label")) != "", F.col("expected_label"))
+    label = F.when(strip_seldom(F.col("expected_label")) != "", F.col("expected_label"))
     reason = F.coalesce(
         F.when(F.col("id").isNull(), "id is missing"),
         F.when(F.col("name").isNull(), "name is missing"),
