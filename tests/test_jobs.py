@@ -67,6 +67,23 @@ def test_records_job(spark, records, tmp_path):
         "expected_label is not a known label", "id is missing"]
 
 
+def test_quotes_are_written_as_text_once_before_any_sort(spark, records, tmp_path, monkeypatch):
+    sorted_plans = []
+
+    def in_order(rows):
+        sorted_plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return own(rows)
+
+    own = getattr(sinks, "in_order", None)
+    monkeypatch.setattr(sinks, "in_order", in_order, raising=False)
+    run_job(records, str(tmp_path / "out"))
+    state = spark.read.parquet(str(tmp_path / "out" / "state"))
+    assert dict(state.dtypes)["evidence"] == "string" and dict(state.dtypes)["is_correct"] == "boolean"
+    assert len(sorted_plans) == 2 and not any("transform(" in plan for plan in sorted_plans)
+    queue = [r.restaurant_id for r in spark.read.parquet(str(tmp_path / "out" / "review_queue")).collect()]
+    assert sorted(queue) == ["v5", "v6", "v7", "v8"]
+
+
 def test_limit_counts_valid_records(records):
     assert [r.restaurant_id for r in process_records(records, limit=3).orderBy("seq").collect()] == ["v1", "v2", "v3"]
     assert process_records(records, limit=0).count() == 0

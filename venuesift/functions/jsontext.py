@@ -20,13 +20,16 @@ _LEVEL_CHARS = len('{"text":')
 
 
 def _quoted(value: Column) -> Column:
+    """Most texts hold nothing to escape, and of the others most no control character without an escape of its own."""
+    usual = value
     for char, escape in _ESCAPES.items():
-        value = F.replace(value, F.lit(char), F.lit(escape))
-    escaped = value
+        usual = F.replace(usual, F.lit(char), F.lit(escape))
+    escaped = usual
     for code in range(0x20):
         if chr(code) not in _ESCAPES:
             escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
-    value = F.when(value.rlike(r"[\x00-\x1f]"), escaped).otherwise(value)
+    escaped = F.when(value.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), escaped).otherwise(usual)
+    value = F.when(value.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(value)
     return F.concat(F.lit('"'), value, F.lit('"'))
 
 

@@ -62,8 +62,8 @@ def run_job(
 ) -> DataFrame:
     """Write results, review queue, rejected rows and summary below ``out_dir``; return the summary.
 
-    Rows are checked once. The valid go through the stages and are written without their texts, the
-    rejected beside them as they came, in one pass over the input; all outputs are made from that
+    Rows are checked once. The valid go through the stages and are written as results without their texts,
+    the rejected beside them as they came, in one pass over the input; all outputs are made from that
     table. A limit takes further passes to find its boundary, and one for the rejected rows.
     """
     spark = configure(records.sparkSession)
@@ -76,11 +76,12 @@ def run_job(
     as_read = F.when(~valid, F.struct(*checked.columns))
     tagged = checked.withColumns({"rejected": as_read, "evidence_text": F.when(valid, F.col("evidence_text"))})
     state = _stages(REC.seed_state(tagged, keep=("rejected",)), threshold, extract)
-    state.drop("raw_text", "cleaned_text").write.mode("overwrite").parquet(f"{out_dir}/state")
+    told = sinks.with_results(state).select("seq", *C.RESULT_COLUMNS, "expected_label", "rejected")
+    told.write.mode("overwrite").parquet(f"{out_dir}/state")
     written = spark.read.parquet(f"{out_dir}/state")
     saved = written.filter(F.col("rejected").isNull()).drop("rejected")
 
-    results, queue = sinks.results_rows(saved), sinks.review_queue(saved)
+    results, queue = sinks.in_order(saved), sinks.in_order(saved.filter("needs_review"))
     results.write.mode("overwrite").parquet(f"{out_dir}/results")
     queue.write.mode("overwrite").parquet(f"{out_dir}/review_queue")
     written.filter(F.col("rejected").isNotNull()).select("rejected.*").write.mode("overwrite").parquet(f"{out_dir}/rejected")

@@ -10,15 +10,25 @@ from venuesift.functions import rules as R
 from venuesift.functions.jsontext import json_list
 
 
-def results_rows(state: DataFrame) -> DataFrame:
-    """The result columns, with quotes as JSON text, in input order."""
+def with_results(state: DataFrame) -> DataFrame:
+    """Working rows with ``is_correct``, and the quotes as JSON text."""
     correct = R.is_correct(
         F.col("prediction"), F.col("expected_label"), F.col("error"), F.col("validation_status")
     )
-    rows = state.withColumns({"is_correct": correct, "evidence": json_list(F.col("evidence"))})
+    return state.withColumns({"is_correct": correct, "evidence": json_list(F.col("evidence"))})
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The result columns of rows ``with_results``, in input order. Call it on saved rows: what a sort reads is
+    computed twice, as Spark takes a sample first."""
     return rows.orderBy("seq").select(*C.RESULT_COLUMNS)
 
 
+def results_rows(state: DataFrame) -> DataFrame:
+    """The result columns, with quotes as JSON text, in input order."""
+    return in_order(with_results(state))
+
+
 def review_queue(state: DataFrame) -> DataFrame:
     """Rows for people to look at. Call it on saved rows: Spark would move the filter
     below the stages that compute the flag and run them once more for it."""
